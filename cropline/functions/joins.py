@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -11,10 +12,18 @@ HOT_SHARE = 0.001
 HOT_SPLITS = 512
 
 
+_sizes: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows. Runs a job: ``df`` should be
-    a stored or materialised table."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows.
+
+    Runs a job, once per table: ``df`` should be stored or materialised.
+    """
+    known = _sizes.setdefault(df, {})
+    if rows not in known:
+        known[rows] = df.limit(rows + 1).count() <= rows
+    return known[rows]
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -42,7 +51,7 @@ def split_hot_keys(
     """
     keys = list(on)
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = left.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    total = counts.agg(F.sum("_rows").alias("_total")).scalar()
     hot = F.broadcast(
         counts.filter(F.col("_rows") > total * share).select(
             *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(splits).alias("_parts")
@@ -86,16 +95,18 @@ def lookup(
     right: DataFrame,
     on: dict[str, str],
     how: str = "left",
+    source: DataFrame | None = None,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Join ``left`` with a stored or materialised lookup table.
+    """Join ``left`` with a lookup table.
 
     ``on`` maps columns of ``left`` to key columns of ``right``; only the other
-    columns of ``right`` are added. The table is counted: up to
-    ``broadcast_rows`` rows it is broadcast and ``left`` is not shuffled, beyond
-    that the join is shuffled with its hot keys split.
+    columns of ``right`` are added. The table, or the materialised ``source`` that
+    it has at most as many rows as, is counted: up to ``broadcast_rows`` rows it
+    is broadcast and ``left`` is not shuffled, beyond that the join is shuffled
+    with its hot keys split.
     """
-    if not fits_broadcast(right, broadcast_rows):
+    if not fits_broadcast(source if source is not None else right, broadcast_rows):
         return split_hot_keys(left, right, on, how)
     named = F.broadcast(_rename_keys(right, on))
     condition = _all([F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)])

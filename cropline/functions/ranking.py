@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cropline.functions.joins import fits_broadcast, split_hot_keys
+from cropline.functions.scalars import not_nan
 from cropline.session import materialise
 
+ACCURACY = 100_000
 
-def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal") -> DataFrame:
+
+# Up to this many rows a window may number a group in one task.
+WINDOW_ROWS = 100_000
+
+
+def ordinals(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "ordinal", window_rows: int = WINDOW_ROWS
+) -> DataFrame:
     """0-based position of each row inside its key group, in ``order``.
 
-    The rows are range-sorted across the cluster and numbered inside each
-    sorted partition; the few partition sizes give the offsets. A plain window
-    would sort each whole group in one task.
+    A table of at most ``window_rows`` rows is numbered by a window. A larger
+    one is range-sorted across the cluster and numbered inside each sorted
+    partition; the few partition sizes give the offsets. A window would sort
+    each whole group in one task.
     """
+    rows = materialise(df)
+    if fits_broadcast(rows, window_rows):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn(name, place - 1)
     numbered = materialise(
-        df.orderBy(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
+        rows.orderBy(*keys, *order).withColumn("_id", F.monotonically_increasing_id())
     )
     # The id holds the partition in its upper 31 bits and the row in its lower 33.
     numbered = numbered.withColumn("_slice", F.shiftright("_id", 33)).withColumn(
@@ -29,28 +44,36 @@ def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "ordi
     placed = numbered.join(F.broadcast(offsets), F.col("_slice") == F.col("_s")).withColumn(
         "_position", F.col("_offset") + F.col("_row")
     )
-    if keys:
-        starts = placed.groupBy(*keys).agg(F.min("_position").alias("_start"))
-        placed = placed.join(starts, keys)
-    else:
-        placed = placed.withColumn("_start", F.lit(0))
+    starts = placed.groupBy(*keys).agg(F.min("_position").alias("_start"))
+    placed = split_hot_keys(placed, starts, {k: k for k in keys}, "inner")
     return placed.select(*df.columns, (F.col("_position") - F.col("_start")).cast("int").alias(name))
 
 
-def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], accuracy: int = 10_000) -> DataFrame:
-    """Quantiles with linear interpolation, one row ``(probability, quantile)`` each.
-
-    A sketch brackets every quantile first. Only the distinct values inside the
-    brackets, a share of about ``8 / accuracy`` of the rows, are then counted
-    and walked in order, so that no task sees the whole column.
-    """
-    rows = df.select(F.col(value).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+def sketch(value: str, probabilities: list[float], accuracy: int) -> Column:
+    """Aggregate with two values around each quantile, as one array."""
     margin = 4.0 / accuracy
     edges: list[float] = []
     for p in probabilities:
         edges += [max(0.0, p - margin), min(1.0, p + margin)]
-    sketch = rows.agg(F.percentile_approx("_v", edges, accuracy).alias("_e")).scalar()
-    total = rows.agg(F.count(F.lit(1)).alias("_n")).scalar()
+    return F.percentile_approx(not_nan(value), edges, accuracy)
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, probabilities: list[float], summary: DataFrame | None = None, accuracy: int = ACCURACY
+) -> DataFrame:
+    """Quantiles with linear interpolation, one row ``(probability, quantile)`` each.
+
+    A sketch brackets every quantile first. Only the distinct values inside the
+    brackets, a share of ``8 / accuracy`` of the rows each, are then counted and
+    walked in order, so that no task sees the whole column. ``summary`` may hold
+    the :func:`sketch` and the number of values in its row as ``_edges`` and
+    ``_total``.
+    """
+    if summary is None:
+        summary = materialise(
+            df.agg(sketch(value, probabilities, accuracy).alias("_edges"), F.count(not_nan(value)).alias("_total"))
+        )
+    edges, total = summary.select("_edges").scalar(), summary.select("_total").scalar()
     targets = F.array(
         *[
             F.struct(
@@ -61,10 +84,12 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], accur
             for i, p in enumerate(probabilities)
         ]
     )
-    # One row per value and quantile it is relevant to: values below a bracket
-    # only add to its starting rank, values above it are not needed.
+    # Values below a bracket only add to its starting rank and are counted
+    # together, values above it are not needed.
     placed = (
-        rows.withColumn("_e", sketch)
+        df.select(not_nan(value).alias("_v"))
+        .filter(F.col("_v").isNotNull())
+        .withColumn("_e", edges)
         .withColumn("_t", F.explode(targets))
         .filter(F.col("_v") <= F.col("_t.high"))
         .groupBy(
@@ -74,15 +99,14 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], accur
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     upto = Window.partitionBy("probability").orderBy(F.col("_v").asc_nulls_first())
-    last = F.sum("_n").over(upto)
     position = F.col("probability") * (F.col("_total") - 1)
     ranked = (
-        placed.withColumn("_last", last - 1)
+        placed.withColumn("_last", F.sum("_n").over(upto) - 1)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
         .withColumn("_total", total)
     )
 
-    def at(rank):
+    def at(rank: Column) -> Column:
         inside = (F.col("_first") <= rank) & (rank <= F.col("_last"))
         return F.max(F.when(inside, F.col("_v")))
 
@@ -92,9 +116,6 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: list[float], accur
         F.first(position - F.floor(position)).alias("_part"),
     )
     missed = F.col("_low").isNull() | F.col("_high").isNull()
-    return picked.select(
-        "probability",
-        F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double"))
-        .otherwise(F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part"))
-        .alias("quantile"),
-    )
+    between = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_part")
+    problem = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+    return picked.select("probability", F.when(missed, problem).otherwise(between).alias("quantile"))

@@ -42,11 +42,9 @@ def explode_list(df: DataFrame, array: str, name: str) -> DataFrame:
     return df.select(*others, F.posexplode(array).alias("ordinal", name))
 
 
-def vocabulary(df: DataFrame, features: dict[str, str], model: str) -> DataFrame:
-    """Sorted distinct values of each category with their 0-based code.
-
-    ``features`` maps a feature to its column. All features come from one scan.
-    """
+def category_values(df: DataFrame, features: dict[str, str], model: str) -> DataFrame:
+    """Distinct values of each category; ``features`` maps a feature to its column.
+    All features come from one scan."""
     values = df.select(
         F.explode(
             F.array(
@@ -56,11 +54,14 @@ def vocabulary(df: DataFrame, features: dict[str, str], model: str) -> DataFrame
                 ]
             )
         ).alias("v")
-    ).select("v.feature", "v.value")
-    entries = values.filter(F.col("value").isNotNull()).distinct()
-    return ordinals(entries, ["feature"], ["value"]).select(
-        F.lit(model).alias("model"), "feature", "ordinal", "value"
-    )
+    ).select(F.lit(model).alias("model"), "v.feature", "v.value")
+    return values.filter(F.col("value").isNotNull()).distinct()
+
+
+def vocabulary(values: DataFrame) -> DataFrame:
+    """Values of :func:`category_values`, of one or more models, with their 0-based
+    code in sorted order."""
+    return ordinals(values, ["model", "feature"], ["value"]).select("model", "feature", "ordinal", "value")
 
 
 def metadata(agri: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -159,7 +160,7 @@ def defaults_with_fallback(requests: DataFrame, defaults: DataFrame) -> DataFram
     exact = defaults.select(
         *KEY, *[F.col(c).alias(f"_exact_{c}") for c in features], F.lit(True).alias("_known")
     )
-    df = lookup(requests, exact, {"state": "State", "district": "District", "crop": "Crop"})
+    df = lookup(requests, exact, dict(zip(("state", "district", "crop"), KEY)), source=defaults)
     groups = {
         "state": {"state": "State"},
         "crop": {"crop": "Crop"},
@@ -170,7 +171,7 @@ def defaults_with_fallback(requests: DataFrame, defaults: DataFrame) -> DataFram
             F.count(F.lit(1)).alias(f"_n_{name}"),
             *[F.sum(F.col(c).cast("decimal(28,8)")).alias(f"_{name}_{c}") for c in features],
         )
-        df = lookup(df, sums, on)
+        df = lookup(df, sums, on, source=defaults)
 
     def either(prefix: str, suffix: str = "") -> Column:
         a, b, both = (F.coalesce(F.col(f"_{prefix}{g}{suffix}"), F.lit(0)) for g in groups)
@@ -274,7 +275,7 @@ def fallback_yield(
     df = requests.withColumns({"_state": upper_key("state"), "_district": upper_key("district")})
     for i, keys in enumerate(levels):
         means = trends.groupBy(*keys).agg(exact_mean("yield").alias(f"_yield{i}"))
-        df = lookup(df, means, {sides[k]: k for k in keys})
+        df = lookup(df, means, {sides[k]: k for k in keys}, source=trends)
     found = [F.col(f"_yield{i}") for i in range(len(levels))]
     level = F.lit(len(levels) + 1)
     for i in reversed(range(len(levels))):

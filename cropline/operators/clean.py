@@ -177,7 +177,8 @@ def resolve_inputs(requests: DataFrame, defaults: DataFrame) -> DataFrame:
         *[F.col(c).alias(f"_d_{c}") for c in K.SCALING],
         F.lit(True).alias("_known"),
     )
-    df = lookup(requests, known, {"state": "State", "district": "District", "crop": "Crop"})
+    key = {"state": "State", "district": "District", "crop": "Crop"}
+    df = lookup(requests, known, key, source=defaults)
     matched = F.coalesce(F.col("_known"), F.lit(False))
     base = {c: F.when(matched, F.col(f"_d_{c}")).otherwise(v) for c, v in K.DEFAULT_SCALED.items()}
     given = F.col("has_rainfall")

@@ -1,4 +1,5 @@
-"""Matching request fields to vocabulary entries."""
+"""Matching request fields to vocabulary entries. A vocabulary is read many times
+and should be stored or materialised."""
 
 from __future__ import annotations
 
@@ -38,7 +39,7 @@ def match_category(
     else the first entry of all. Adds ``<out>_value`` and ``<out>_code``."""
     feature, out = feature or name, out or name
     df = lookup(
-        requests.withColumn("_field", lower_key(name)), _by_folded_name(vocab, feature), {"_field": "_name"}
+        requests.withColumn("_field", lower_key(name)), _by_folded_name(vocab, feature), {"_field": "_name"}, source=vocab
     )
     value, ordinal = _first(vocab, feature)
     return df.withColumns(
@@ -58,7 +59,8 @@ def match_either(
     df = requests
     for i, name in enumerate((a, b)):
         side = names.select("_name", F.struct("_ordinal", "_value").alias(f"_hit{i}"))
-        df = lookup(df.withColumn("_field", lower_key(name)), side, {"_field": "_name"}).drop("_field")
+        df = lookup(df.withColumn("_field", lower_key(name)), side, {"_field": "_name"}, source=vocab)
+        df = df.drop("_field")
     value, ordinal = _first(vocab, feature)
     hit = F.least("_hit0", "_hit1")
     return df.withColumns(

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cropline.functions import constants as K
 from cropline.functions.joins import lookup
 from cropline.functions.scalars import clamp, round_even, safe_ratio, scale
+from cropline.operators.aggregates import nest_trends
 from cropline.operators.matching import encode
+from cropline.session import materialise
 
+REQUEST_KEY = {"state": "State", "district": "District", "crop": "Crop"}
 YIELD_CATEGORIES = {"State": "state", "Crop": "crop", "Season": "season"}
 PRICE_CATEGORIES = {
     "State": "state",
@@ -55,7 +58,8 @@ def _fit(df: DataFrame, names: list[str], label: str, seed: int, **options) -> M
         featuresCol="features", labelCol=label, predictionCol="prediction", seed=seed, **options
     )
     complete = df.na.drop(subset=[*names, label])
-    return trainer.fit(_features(complete, names).select("features", label))
+    # The trainer reads its input several times; its rows are joined only once.
+    return trainer.fit(materialise(_features(complete, names).select("features", label)))
 
 
 def yield_training_rows(agri: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -117,7 +121,7 @@ def confidence_rating(has_history: Column) -> Column:
 def confidence(requests: DataFrame, defaults: DataFrame) -> DataFrame:
     """HIGH where the key of a request has history, else MODERATE."""
     known = defaults.select("State", "District", "Crop", F.lit(True).alias("_known"))
-    df = lookup(requests, known, {"state": "State", "district": "District", "crop": "Crop"})
+    df = lookup(requests, known, REQUEST_KEY, source=defaults)
     rating = confidence_rating(F.coalesce("_known", F.lit(False)))
     return df.withColumn("confidence_rating", rating).drop("_known")
 
@@ -137,15 +141,13 @@ def synthetic_history() -> Column:
     )
 
 
-def history_or_synthetic(predictions: DataFrame, nested_trends: DataFrame) -> DataFrame:
-    """Add ``historical_trend``: the known trend of the key or a synthetic one."""
-    df = lookup(
-        predictions, nested_trends.withColumnRenamed("historical_trend", "_trend"),
-        {"state": "State", "district": "District", "crop": "Crop"},
-    )
-    known = F.col("_trend").isNotNull() & (F.size("_trend") > 0)
+def history_or_synthetic(predictions: DataFrame, trends: DataFrame) -> DataFrame:
+    """Add ``historical_trend``: the known trend of the key or a synthetic one.
+    ``trends`` should be stored or materialised."""
+    nested = nest_trends(trends).withColumnRenamed("historical_trend", "_trend")
+    df = lookup(predictions, nested, REQUEST_KEY, source=trends)
     kind = "array<struct<year:int,yield:double,price:double>>"
-    trend = F.when(known, F.col("_trend").cast(kind)).otherwise(synthetic_history().cast(kind))
+    trend = F.coalesce(F.col("_trend").cast(kind), synthetic_history().cast(kind))
     return df.withColumn("historical_trend", trend).drop("_trend")
 
 

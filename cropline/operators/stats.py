@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cropline.functions.constants import RAIN_COLUMNS, SEASON_TOTALS
 from cropline.functions.joins import split_hot_keys
-from cropline.functions.ranking import exact_quantiles
+from cropline.functions.ranking import ACCURACY, exact_quantiles, sketch
 from cropline.functions.scalars import not_nan, strip, upper_key
 from cropline.operators.clean import drop_nulls, standardise, to_numeric
+from cropline.session import materialise
 
 
 def join_rainfall(agri: DataFrame, rain: DataFrame) -> DataFrame:
@@ -65,24 +66,38 @@ def column_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*stats).alias("stats")).select(F.inline("stats"))
 
 
+QUARTILES = [0.25, 0.5, 0.75]
+
+
 def describe(df: DataFrame, name: str) -> DataFrame:
-    """Count, mean, standard deviation, extremes and quartiles of one column."""
+    """Count, mean, standard deviation, extremes and quartiles of one column.
+
+    Two passes: one for the moments and the sketch of the quartiles, one to make
+    the quartiles exact.
+    """
     value = not_nan(name)
-    moments = df.agg(
-        F.count(value).cast("double").alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    moments = {
+        "count": F.count(value).cast("double"),
+        "mean": F.avg(value),
+        "std": F.stddev_samp(value),
+        "min": F.min(value),
+        "max": F.max(value),
+    }
+    summary = materialise(
+        df.agg(
+            *[c.alias(n) for n, c in moments.items()],
+            sketch(name, QUARTILES, ACCURACY).alias("_edges"),
+            F.count(value).alias("_total"),
+        )
     )
     wide = F.array(
-        *[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("value")) for s in moments.columns]
+        *[F.struct(F.lit(n).alias("statistic"), F.col(n).alias("value")) for n in moments]
     )
-    quartiles = exact_quantiles(df, name, [0.25, 0.5, 0.75]).select(
+    quartiles = exact_quantiles(df, name, QUARTILES, summary).select(
         F.concat((F.col("probability") * 100).cast("int").cast("string"), F.lit("%")).alias("statistic"),
         F.col("quantile").alias("value"),
     )
-    return moments.select(F.inline(wide)).unionByName(quartiles)
+    return summary.select(F.inline(wide)).unionByName(quartiles)
 
 
 def describe_difference(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cropline.operators.aggregates import (
+    category_values,
     district_crops,
-    nest_trends,
     rollup_defaults,
     rollup_trends,
     state_districts,
@@ -39,17 +40,19 @@ class Artefacts:
     trends: DataFrame
     vocab: DataFrame | None = None
 
-    def vocabulary_of(self, model: str) -> DataFrame:
-        return self.vocab.filter(F.col("model") == model)
+    @cached_property
+    def production_vocab(self) -> DataFrame:
+        return self.vocab.filter(F.col("model") == "production")
 
-    def nested_trends(self) -> DataFrame:
-        return nest_trends(self.trends)
+    @cached_property
+    def price_vocab(self) -> DataFrame:
+        return self.vocab.filter(F.col("model") == "price")
 
 
 def fit_vocabulary(agri: DataFrame, prices: DataFrame) -> DataFrame:
     """Categories of both models in one table."""
-    production = vocabulary(agri, YIELD_VOCABULARY, "production")
-    return production.unionByName(vocabulary(prices, PRICE_VOCABULARY, "price"))
+    production = category_values(agri, YIELD_VOCABULARY, "production")
+    return vocabulary(production.unionByName(category_values(prices, PRICE_VOCABULARY, "price")))
 
 
 def derive_artefacts(agri: DataFrame, vocab: DataFrame | None = None) -> Artefacts:

@@ -545,7 +545,7 @@ oracle(
     {r('correlation')} AS correlation FROM ({_CORRS})""",
 )
 _SEASONAL = " UNION ALL ".join(
-    f"""SELECT trim(Season) AS Season, {i} AS position, '{c}' AS "column", corr(Rainfall, {c}) AS correlation, count(*) AS n,
+    f"""SELECT trim(Season) AS Season, {i} AS position, '{c}' AS "column", corr(Rainfall, {c}) AS correlation, regr_count({c}, Rainfall) AS n,
     regr_slope({c}, Rainfall) AS slope, regr_intercept({c}, Rainfall) AS intercept, regr_r2({c}, Rainfall) AS r2
     FROM joined GROUP BY trim(Season)"""
     for i, c in enumerate(TOTALS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -58,18 +59,11 @@ def _agri(spark, sf):
     return view(spark, sf, "agri")
 
 
-def _defaults(spark, sf):
-    return materialise(A.crop_defaults(_agri(spark, sf)))
-
-
-def _trends(spark, sf):
-    return materialise(A.crop_trends(_agri(spark, sf)))
-
-
-def _vocab(spark, sf, model):
-    if model == "production":
-        return materialise(A.vocabulary(_agri(spark, sf), YIELD_VOCABULARY, model))
-    return materialise(A.vocabulary(view(spark, sf, "price_facts"), PRICE_VOCABULARY, model))
+@lru_cache(maxsize=4)
+def _artefacts(spark, sf) -> Artefacts:
+    """Lookup tables, built once per session and folder as a service would."""
+    agri = _agri(spark, sf)
+    return derive_artefacts(agri, fit_vocabulary(agri, view(spark, sf, "price_facts")))
 
 
 def _keys(spark, sf):
@@ -83,11 +77,6 @@ def _valid(spark, sf):
     return checked.filter("reason IS NULL")
 
 
-def _artefacts(spark, sf) -> Artefacts:
-    agri = _agri(spark, sf)
-    return derive_artefacts(agri, fit_vocabulary(agri, view(spark, sf, "price_facts")))
-
-
 def _predictions(spark, sf):
     """Predictions from history and given prices."""
     return predict(view(spark, sf, "full_requests"), _artefacts(spark, sf), AS_OF)
@@ -200,7 +189,7 @@ def validate_requests(spark, sf):
 
 @query
 def resolve_inputs(spark, sf):
-    df = C.resolve_inputs(_valid(spark, sf), _defaults(spark, sf))
+    df = C.resolve_inputs(_valid(spark, sf), _artefacts(spark, sf).defaults)
     values = [f"{c}_{kind}" for c in ("rainfall", "min_price", "max_price") for kind in ("raw", "scaled")]
     return rounded(df.select("req_id", "has_history", *values))
 
@@ -233,14 +222,14 @@ def join_prices(spark, sf):
 def lookup_defaults(spark, sf):
     df = C.resolve_inputs(
         C.normalise_requests(view(spark, sf, "requests").drop("rainfall", "has_rainfall", "min_price", "max_price"), AS_OF),
-        _defaults(spark, sf),
+        _artefacts(spark, sf).defaults,
     )
     return df.select("req_id", "has_history", "rainfall_scaled", *[f"{c}_price_scaled" for c in ("min", "max")])
 
 
 @query
 def match_category(spark, sf):
-    df, vocab = view(spark, sf, "requests"), _vocab(spark, sf, "production")
+    df, vocab = view(spark, sf, "requests"), _artefacts(spark, sf).production_vocab
     for c in ("state", "crop", "season"):
         df = J.match_category(df, vocab, c)
     return df.select("req_id", "state_value", "crop_value", "season_value")
@@ -249,26 +238,26 @@ def match_category(spark, sf):
 @query
 def match_either(spark, sf):
     df = C.normalise_requests(view(spark, sf, "full_requests"), AS_OF)
-    df = J.match_either(df, _vocab(spark, sf, "price"), "commodity", "crop", "commodity", "matched")
+    df = J.match_either(df, _artefacts(spark, sf).price_vocab, "commodity", "crop", "commodity", "matched")
     return df.select("req_id", "matched_value", "matched_code")
 
 
 @query
 def market_for_district(spark, sf):
-    df = J.match_contains(view(spark, sf, "requests"), _vocab(spark, sf, "price"), "district", "market", "market")
+    df = J.match_contains(view(spark, sf, "requests"), _artefacts(spark, sf).price_vocab, "district", "market", "market")
     return df.select("req_id", "district", "market")
 
 
 @query
 def variety_for_crop(spark, sf):
-    vocab = _vocab(spark, sf, "price")
+    vocab = _artefacts(spark, sf).price_vocab
     df = J.match_contains(view(spark, sf, "requests"), vocab, "crop", "variety", "variety", "local")
     return df.select("req_id", "crop", "variety")
 
 
 @query
 def preferred_grade(spark, sf):
-    vocab = _vocab(spark, sf, "price")
+    vocab = _artefacts(spark, sf).price_vocab
     df = view(spark, sf, "requests").select("req_id")
     return df.withColumn("grade", J.preferred(vocab, "grade", "FAQ"))
 
@@ -298,7 +287,7 @@ def rain_means(spark, sf):
 
 @query
 def region_lookup(spark, sf):
-    meta = materialise(A.metadata(_agri(spark, sf), _vocab(spark, sf, "production")))
+    meta = materialise(A.metadata(_agri(spark, sf), _artefacts(spark, sf).production_vocab))
     states = J.regions(meta).select(F.lit("states").alias("selector"), "value")
     districts = J.regions(meta, COLD_STATE).select(F.lit("districts").alias("selector"), "value")
     crops = J.regions(meta, "AFRICA", "NATION_5").select(F.lit("crops").alias("selector"), "value")
@@ -365,12 +354,12 @@ def artefact_trends(spark, sf):
 
 @query
 def defaults_fallback(spark, sf):
-    return A.defaults_with_fallback(_keys(spark, sf), _defaults(spark, sf))
+    return A.defaults_with_fallback(_keys(spark, sf), _artefacts(spark, sf).defaults)
 
 
 @query
 def region_defaults(spark, sf):
-    return A.region_defaults(_keys(spark, sf), _defaults(spark, sf), _vocab(spark, sf, "price"))
+    return A.region_defaults(_keys(spark, sf), _artefacts(spark, sf).defaults, _artefacts(spark, sf).price_vocab)
 
 
 @query
@@ -449,7 +438,7 @@ def fit_rain_scale(spark, sf):
 
 @query
 def fallback_yield(spark, sf):
-    df = A.fallback_yield(_valid(spark, sf), _trends(spark, sf), (COLD_STATE,))
+    df = A.fallback_yield(_valid(spark, sf), _artefacts(spark, sf).trends, (COLD_STATE,))
     return rounded(df.select("req_id", "avg_yield_ha", "yield_level", "predicted_yield"))
 
 
@@ -522,21 +511,21 @@ def replace_state(spark, sf):
 @query
 def ordinal_encode(spark, sf):
     df = C.normalise_requests(view(spark, sf, "full_requests"), AS_OF)
-    vocab = _vocab(spark, sf, "price")
+    vocab = _artefacts(spark, sf).price_vocab
     df = df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("market", "variety", "grade")})
     coded = encode_price_inputs(df, vocab)
     return coded.select("req_id", *[f"{c}_code" for c in PRICE_VOCABULARY])
 
 
 def _models(spark, sf, artefacts):
-    yields = M.fit_yield(_agri(spark, sf), artefacts.vocabulary_of("production"), **TREES)
-    prices = M.fit_price(view(spark, sf, "price_facts"), artefacts.vocabulary_of("price"), **TREES)
+    yields = M.fit_yield(_agri(spark, sf), artefacts.production_vocab, **TREES)
+    prices = M.fit_price(view(spark, sf, "price_facts"), artefacts.price_vocab, **TREES)
     return yields, prices
 
 
 @query
 def score_yield(spark, sf):
-    agri, vocab = _agri(spark, sf), _vocab(spark, sf, "production")
+    agri, vocab = _agri(spark, sf), _artefacts(spark, sf).production_vocab
     model = M.fit_yield(agri, vocab, **TREES)
     scored = M.score_yield(M.yield_training_rows(agri, vocab), model)
     return scored.select("state", "District", "crop", "season", "Year", "area", "Production", "predicted_yield")
@@ -544,7 +533,7 @@ def score_yield(spark, sf):
 
 @query
 def score_price(spark, sf):
-    facts, vocab = view(spark, sf, "price_facts"), _vocab(spark, sf, "price")
+    facts, vocab = view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab
     model = M.fit_price(facts, vocab, **TREES)
     scored = M.score_price(M.price_training_rows(facts, vocab), model)
     return scored.select("state", "market", "commodity", "Year", "Month", "Modal_Price", "predicted_price")
@@ -552,7 +541,7 @@ def score_price(spark, sf):
 
 @query
 def score_direct(spark, sf):
-    facts, vocab = view(spark, sf, "price_facts"), _vocab(spark, sf, "price")
+    facts, vocab = view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab
     model = M.fit_price(facts, vocab, **TREES)
     chosen = M.price_training_rows(facts, vocab).withColumnsRenamed(
         {"Min_Price": "min_price", "Max_Price": "max_price"}
@@ -565,9 +554,9 @@ def score_direct(spark, sf):
 def fit_models(spark, sf):
     artefacts = _artefacts(spark, sf)
     yields, prices = _models(spark, sf, artefacts)
-    agri = M.score_yield(M.yield_training_rows(_agri(spark, sf), artefacts.vocabulary_of("production")), yields)
+    agri = M.score_yield(M.yield_training_rows(_agri(spark, sf), artefacts.production_vocab), yields)
     facts = M.score_price(
-        M.price_training_rows(view(spark, sf, "price_facts"), artefacts.vocabulary_of("price")), prices
+        M.price_training_rows(view(spark, sf, "price_facts"), artefacts.price_vocab), prices
     )
     found = S.r2(agri, "Production", "predicted_yield").withColumn("model", F.lit("yield"))
     return found.unionByName(S.r2(facts, "Modal_Price", "predicted_price").withColumn("model", F.lit("price")))
@@ -587,7 +576,7 @@ def valuation(spark, sf):
 
 @query
 def confidence(spark, sf):
-    return M.confidence(_keys(spark, sf), _defaults(spark, sf)).select("req_id", "confidence_rating")
+    return M.confidence(_keys(spark, sf), _artefacts(spark, sf).defaults).select("req_id", "confidence_rating")
 
 
 @query

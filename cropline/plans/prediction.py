@@ -65,10 +65,10 @@ def predict(
     A rejected request has a ``reason`` and no results. The working columns that
     the log needs are kept: see :func:`published`.
     """
+    price_vocab = artefacts.price_vocab
     df = validate_requests(normalise_requests(requests, as_of))
-    df = resolve_inputs(df, artefacts.defaults)
-    price_vocab = artefacts.vocabulary_of("price")
     df = choose_market_inputs(df, price_vocab)
+    df = resolve_inputs(df, artefacts.defaults)
 
     if yield_model is None:
         df = fallback_yield(df, artefacts.trends)
@@ -76,7 +76,7 @@ def predict(
         df = fallback_yield(df, artefacts.trends, cold_start_states).withColumnRenamed(
             "predicted_yield", "_cold_yield"
         )
-        production = artefacts.vocabulary_of("production")
+        production = artefacts.production_vocab
         for c in ("state", "crop", "season"):
             df = match_category(df, production, c, c)
         df = score_yield(df, yield_model)
@@ -90,7 +90,7 @@ def predict(
     valid = F.col("reason").isNull()
     df = df.withColumns({c: F.when(valid, F.col(c)) for c in ("predicted_yield", "predicted_price")})
     df = valuation(df).withColumn("latency_ms", F.lit(0.0) if latency_ms is None else latency_ms)
-    return history_or_synthetic(df, artefacts.nested_trends())
+    return history_or_synthetic(df, artefacts.trends)
 
 
 def published(predictions: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ tables do not have.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -88,7 +91,7 @@ _RAINFALL = (
     + f", {_month(3)} + {_month(4)} + {_month(5)} AS MAM"
     + f", {_month(6)} + {_month(7)} + {_month(8)} + {_month(9)} AS JJAS"
     + f", {_month(10)} + {_month(11)} + {_month(12)} AS OND"
-    + ", cast(sum(cast(mm AS decimal(18,6))) AS double) AS ANNUAL"
+    + ", cast(sum(cast(mm AS decimal(18,7))) AS double) AS ANNUAL"
     + " FROM rain_months GROUP BY SUBDIVISION, YEAR"
 )
 
@@ -178,8 +181,19 @@ def with_clause(names: list[str], views: dict[str, tuple[tuple[str, ...], str]]
     return "WITH " + ",\n".join(f"{n} AS ({views[n][1].strip()})" for n in needed(names, views))
 
 
+def tables_of(name: str) -> list[str]:
+    """Benchmark tables a view reads, directly or through other views."""
+    text = " ".join(VIEWS[n][1] for n in needed([name]))
+    return [t for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)]
+
+
+@lru_cache(maxsize=256)
+def _table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the Parquet tables of a folder."""
-    for table in TABLES:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+    for table in tables_of(name):
+        _table(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
     return spark.sql(f"{with_clause([name])} SELECT * FROM {name}")
