@@ -8,8 +8,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
-HOT_SHARE = 0.001
-HOT_SPLITS = 512
+HOT_SHARE = 1e-5
+HOT_ROWS = 1_000_000
 
 
 _sizes: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
@@ -36,25 +36,30 @@ def split_hot_keys(
     on: dict[str, str],
     how: str = "left",
     share: float = HOT_SHARE,
-    splits: int = HOT_SPLITS,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Shuffle join of ``left`` with ``right`` that splits the hot keys of ``left``.
 
     Adaptive execution splits a skewed partition only where both inputs are
     bare shuffles. Here ``right`` is often an aggregate on the join keys, which
-    hides its shuffle, so the hot keys are split in the plan: a key with more
-    than ``share`` of the rows of ``left`` is spread over ``splits`` parts and
-    its rows of ``right`` are repeated once per part. There are fewer than
-    ``1 / share`` such keys, which bounds the broadcast. All other keys are
-    joined as usual. The part of a row is a hash of the row, hence the same
-    when a task is run again.
+    hides its shuffle, so the hot keys are split in the plan. A key is hot if it
+    has more than ``share`` of the rows of ``left``, and at least ``min_rows``;
+    it is spread over parts of about that many rows and its rows of ``right``
+    are repeated once per part. There are fewer than ``1 / share`` hot keys with
+    at most ``2 / share`` parts together, which bounds the broadcast and the
+    repetition. All other keys are joined as usual. The part of a row is a hash
+    of the row, hence the same when a task is run again.
     """
     keys = list(on)
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows").alias("_total")).scalar()
+    limit = F.greatest(total * share, F.lit(float(min_rows)))
     hot = F.broadcast(
-        counts.filter(F.col("_rows") > total * share).select(
-            *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)], F.lit(splits).alias("_parts")
+        counts.withColumn("_limit", limit)
+        .filter(F.col("_rows") > F.col("_limit"))
+        .select(
+            *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)],
+            F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("_parts"),
         )
     )
 

@@ -121,35 +121,69 @@ def correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.agg(F.array(*found).alias("found")).select(F.inline("found"))
 
 
+def _pairwise(df: DataFrame, target: str, cols: list[str], by: list[str]) -> DataFrame:
+    """Rows ``(by, position, column, x, y)``: ``target`` with each of ``cols``.
+
+    One aggregate over this form replaces an aggregate with several buffers per
+    column, which grows too large for generated code.
+    """
+    numeric = to_numeric(df, [c for c in cols if dict(df.dtypes)[c] == "string"])
+    pairs = [
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(c).cast("double").alias("y"))
+        for i, c in enumerate(cols)
+    ]
+    return numeric.select(*by, F.col(target).alias("x"), F.inline(F.array(*pairs)))
+
+
 def rank_correlations(df: DataFrame, target: str, cols: list[str] = RAIN_COLUMNS) -> DataFrame:
     """Columns by absolute correlation with ``target``; undefined counts as 0 and
     ties keep the order of ``cols``."""
-    found = [
-        F.struct(
-            F.lit(i).alias("position"), F.lit(c).alias("column"), correlation(target, c).alias("correlation")
-        )
-        for i, c in enumerate(cols)
-    ]
-    long = to_numeric(df, cols).agg(F.array(*found).alias("found")).select(F.inline("found"))
+    found = (
+        _pairwise(df, target, cols, [])
+        .groupBy("position", "column")
+        .agg(correlation("x", "y").alias("correlation"))
+    )
     order = Window.orderBy(F.abs(F.coalesce("correlation", F.lit(0.0))).desc(), "position")
-    return long.select(F.row_number().over(order).alias("rank"), "column", "correlation")
+    return found.select(F.row_number().over(order).alias("rank"), "column", "correlation")
+
+
+def _best_by_season(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Per season, correlation and fit of the rainfall column most correlated with
+    the scaled rainfall; the first of equals wins."""
+    pairs = _pairwise(df.withColumn("Season", strip("Season")), "Rainfall", cols, ["Season"])
+    slope, intercept, share, size = _fit("x", "y")
+    found = pairs.groupBy("Season", "position", "column").agg(
+        correlation("x", "y").alias("correlation"),
+        size.alias("n"),
+        slope.alias("slope"),
+        intercept.alias("intercept"),
+        share.alias("r2"),
+    )
+    strength = F.struct(F.abs(F.coalesce("correlation", F.lit(0.0))), -F.col("position"))
+    details = F.struct("column", "correlation", "n", "slope", "intercept", "r2")
+    return found.groupBy("Season").agg(F.max_by(details, strength).alias("best")).select("Season", "best.*")
 
 
 def best_rain_column(df: DataFrame, cols: list[str] = SEASON_TOTALS) -> DataFrame:
-    """Per season, the rainfall column most correlated with the scaled rainfall;
-    the first of equals wins."""
-    found = [
-        F.struct(
-            F.abs(F.coalesce(correlation("Rainfall", c), F.lit(0.0))).alias("strength"),
-            F.lit(-i).alias("position"),
-            F.lit(c).alias("column"),
-            correlation("Rainfall", c).alias("correlation"),
-        )
-        for i, c in enumerate(cols)
-    ]
-    numeric = to_numeric(df, cols)
-    best = numeric.groupBy(strip("Season").alias("Season")).agg(F.array_max(F.array(*found)).alias("best"))
-    return best.select("Season", F.col("best.column").alias("column"), F.col("best.correlation").alias("correlation"))
+    """Per season, the rainfall column most correlated with the scaled rainfall."""
+    return _best_by_season(df, cols).select("Season", "column", "correlation")
+
+
+def fit_best_rain(df: DataFrame, cols: list[str] = SEASON_TOTALS, min_rows: int = 5) -> DataFrame:
+    """Per season, the fit of its best rainfall column, given more than ``min_rows`` pairs."""
+    return _best_by_season(df, cols).filter(F.col("n") > min_rows)
+
+
+def _fit(x: str, y: str) -> tuple[Column, Column, Column, Column]:
+    """Slope, intercept, R² and number of complete pairs; R² of a constant ``y`` is null."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    return (
+        F.regr_slope(b, a),
+        F.regr_intercept(b, a),
+        F.when(F.var_pop(b) > 0, F.regr_r2(b, a)),
+        F.count(a),
+    )
 
 
 def fit_scale(
@@ -159,31 +193,19 @@ def fit_scale(
 
     Slope and intercept are the standard deviation and mean behind a z-score
     ``x``. Groups need more than ``min_rows`` rows, counted over complete pairs
-    or, without ``count_pairs``, over all rows. R² of a constant ``y`` is null.
+    or, without ``count_pairs``, over all rows.
     """
-    both = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    size = F.count(a) if count_pairs else F.count(F.lit(1))
+    slope, intercept, share, pairs = _fit(x, y)
     fits = df.groupBy(*by).agg(
-        F.count(a).alias("n"),
-        F.regr_slope(b, a).alias("slope"),
-        F.regr_intercept(b, a).alias("intercept"),
-        F.when(F.var_pop(b) > 0, F.regr_r2(b, a)).alias("r2"),
-        size.alias("_size"),
+        pairs.alias("n"),
+        slope.alias("slope"),
+        intercept.alias("intercept"),
+        share.alias("r2"),
+        (pairs if count_pairs else F.count(F.lit(1))).alias("_size"),
     )
     return fits.filter(F.col("_size") > min_rows).drop("_size")
 
 
-def fit_best_rain(df: DataFrame, cols: list[str] = SEASON_TOTALS, min_rows: int = 5) -> DataFrame:
-    """Per season, the fit of its best rainfall column."""
-    numeric = to_numeric(df, cols).withColumn("Season", strip("Season"))
-    fits = None
-    for c in cols:
-        fit = fit_scale(numeric, "Rainfall", c, ["Season"], min_rows).withColumn("column", F.lit(c))
-        fits = fit if fits is None else fits.unionByName(fit)
-    return best_rain_column(numeric, cols).join(fits, ["Season", "column"])
-
-
 def r2(df: DataFrame, y: str, fitted: str) -> DataFrame:
     """Share of the variance of ``y`` that ``fitted`` explains."""
     complete = drop_nulls(df, [y, fitted])

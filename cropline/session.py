@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,11 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and read it back from the shared folder.
+    """Compute ``df`` once and read it back from a table in the shared folder.
 
-    Used for tables that several joins of one query read, so that their
-    lineage is neither planned nor run more than once and a lost executor
-    does not restart it.
+    Used for tables that several joins of one query read, so that their lineage
+    is neither planned nor run more than once and a lost executor does not
+    restart it. As Parquet the table can be pruned, and its size is known to the
+    planner. The folder is not emptied: give it a retention.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/cropline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
