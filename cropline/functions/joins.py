@@ -30,27 +30,20 @@ def _all(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
-def split_hot_keys(
-    left: DataFrame,
-    right: DataFrame,
-    on: dict[str, str],
-    how: str = "left",
-    share: float = HOT_SHARE,
-    min_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Shuffle join of ``left`` with ``right`` that splits the hot keys of ``left``.
-
-    Adaptive execution splits a skewed partition only where both inputs are
-    bare shuffles. Here ``right`` is often an aggregate on the join keys, which
-    hides its shuffle, so the hot keys are split in the plan. A key is hot if it
-    has more than ``share`` of the rows of ``left``, and at least ``min_rows``;
-    it is spread over parts of about that many rows and its rows of ``right``
-    are repeated once per part. There are fewer than ``1 / share`` hot keys with
-    at most ``2 / share`` parts together, which bounds the broadcast and the
-    repetition. All other keys are joined as usual. The part of a row is a hash
-    of the row, hence the same when a task is run again.
+def spread_hot_keys(
+    left: DataFrame, right: DataFrame, on: dict[str, str], share: float = HOT_SHARE, min_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a part number, ``_part`` and ``_rpart``.
+
+    A key is hot if it has more than ``share`` of the rows of ``left``, and at
+    least ``min_rows``; it is spread over parts of about that many rows and its
+    rows of ``right`` are repeated once per part. There are fewer than
+    ``1 / share`` hot keys with at most ``2 / share`` parts together, which
+    bounds the broadcast and the repetition. Every other key has one part. The
+    part of a row is a hash of the row, hence the same when a task is run again.
     """
-    keys = list(on)
+    keys, right_keys = list(on), [f"_k{i}" for i in range(len(on))]
+    hidden = [f"_h{i}" for i in range(len(on))]
     counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows").alias("_total")).scalar()
     limit = F.greatest(total * share, F.lit(float(min_rows)))
@@ -58,33 +51,41 @@ def split_hot_keys(
         counts.withColumn("_limit", limit)
         .filter(F.col("_rows") > F.col("_limit"))
         .select(
-            *[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)],
+            *[F.col(k).alias(h) for k, h in zip(keys, hidden)],
             F.ceil(F.col("_rows") / F.col("_limit")).cast("int").alias("_parts"),
         )
     )
 
-    def same(df: DataFrame, columns: list[str]) -> Column:
-        return _all([F.col(c).eqNullSafe(F.col(f"_h{i}")) for i, c in enumerate(columns)])
+    def tagged(df: DataFrame, columns: list[str]) -> DataFrame:
+        same = _all([F.col(c).eqNullSafe(F.col(h)) for c, h in zip(columns, hidden)])
+        return df.join(hot, same, "left").drop(*hidden)
 
-    hidden = [f"_h{i}" for i in range(len(keys))]
     whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
-    spread = (
-        left.join(hot, same(left, keys), "left")
-        .withColumn("_part", F.coalesce(F.pmod(whole_row, F.col("_parts")), F.lit(0)).cast("int"))
-        .drop(*hidden, "_parts")
-    )
-    right_keys = [f"_k{i}" for i in range(len(keys))]
-    named = _rename_keys(right, on)
-    repeated = (
-        named.join(hot, same(named, right_keys), "left")
-        .withColumn(
-            "_rpart", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
-        )
-        .drop(*hidden, "_parts")
-    )
-    condition = _all([F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)])
+    part = F.coalesce(F.pmod(whole_row, F.col("_parts")), F.lit(0)).cast("int")
+    spread = tagged(left, keys).withColumn("_part", part).drop("_parts")
+    every_part = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    repeated = tagged(_rename_keys(right, on), right_keys).withColumn("_rpart", F.explode(every_part))
+    return spread, repeated.drop("_parts")
+
+
+def split_hot_keys(
+    left: DataFrame,
+    right: DataFrame,
+    on: dict[str, str],
+    how: str = "left",
+    share: float = HOT_SHARE,
+    min_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Shuffle join of ``left`` with ``right`` that splits the hot keys of ``left``.
+
+    Adaptive execution splits a skewed partition only where both inputs are
+    bare shuffles. Here ``right`` is often an aggregate on the join keys, which
+    hides its shuffle, so the hot keys are split in the plan.
+    """
+    spread, repeated = spread_hot_keys(left, right, on, share, min_rows)
+    condition = _all([F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)])
     joined = spread.join(repeated, condition & (F.col("_part") == F.col("_rpart")), how)
-    return joined.drop("_part", "_rpart", *right_keys)
+    return joined.drop("_part", "_rpart", *[f"_k{i}" for i in range(len(on))])
 
 
 def _rename_keys(right: DataFrame, on: dict[str, str]) -> DataFrame:

@@ -60,7 +60,7 @@ def read_prices(spark: SparkSession, path: Paths, columns: list[str] | None = No
 
 def empty_prices(spark: SparkSession) -> DataFrame:
     """Typed price table without rows, for a run that finds no files."""
-    return spark.createDataFrame([], schemas.PRICES.add("Year", T.IntegerType()))
+    return spark.createDataFrame([], T.StructType([*schemas.PRICES, T.StructField("Year", T.IntegerType())]))
 
 
 def read_rainfall(spark: SparkSession, path: Paths, subdivision: str | None = None) -> DataFrame:
