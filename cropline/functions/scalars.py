@@ -52,15 +52,26 @@ def round_even(c: Column | str, digits: int) -> Column:
     return F.rint(column(c) * power) / power
 
 
-def exact_mean(c: Column | str) -> Column:
-    """Mean whose sum does not depend on the order of the rows.
+def exact_sum(c: Column | str) -> Column:
+    """Sum to eight decimals that does not depend on the order of the rows.
 
     Prices and yields are short decimals, whose means often sit exactly on a
     rounding boundary; a sum of doubles would fall on either side of it
-    depending on how the rows are partitioned.
+    depending on how the rows are partitioned. The whole part and two halves of
+    the decimals are summed as integers, which is as fast as a sum of doubles and
+    has room for 10^14 rows; only the totals are put together as a decimal.
     """
     value = not_nan(c)
-    return F.try_divide(F.sum(value.cast("decimal(28,8)")).cast("double"), F.count(value))
+    whole = F.floor(value)
+    digits = F.rint((value - whole) * 1e8).cast("bigint")
+    high = F.sum(F.shiftright(digits, 13)).cast("decimal(20,0)")
+    low = F.sum(digits.bitwiseAND(F.lit(8191).cast("bigint"))).cast("decimal(20,0)")
+    decimals = high * F.lit(8192).cast("decimal(4,0)") + low
+    return F.sum(whole).cast("decimal(20,0)") + decimals * F.lit("0.00000001").cast("decimal(8,8)")
+
+
+def exact_mean(c: Column | str) -> Column:
+    return F.try_divide(exact_sum(c).cast("double"), F.count(not_nan(c)))
 
 
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:

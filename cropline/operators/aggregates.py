@@ -10,6 +10,7 @@ from cropline.functions.ranking import ordinals
 from cropline.functions.scalars import (
     clamp,
     exact_mean,
+    exact_sum,
     not_nan,
     order_bounds,
     round_even,
@@ -118,10 +119,7 @@ def yearly_rollup(agri: DataFrame) -> DataFrame:
     sums = []
     for name, value in exact.items():
         value = F.when(ok, not_nan(value))
-        sums += [
-            F.sum(value.cast("decimal(28,8)")).alias(f"{name}_sum"),
-            F.count(value).alias(f"{name}_n"),
-        ]
+        sums += [exact_sum(value).alias(f"{name}_sum"), F.count(value).alias(f"{name}_n")]
     for name, c in {"rainfall": "Rainfall", "min_price": "Min_Price", "max_price": "Max_Price"}.items():
         sums += [F.sum(c).alias(f"{name}_sum"), F.count(c).alias(f"{name}_n")]
     return agri.groupBy(*KEY, "Year").agg(*sums, F.count_if(ok).alias("trend_rows"))
@@ -169,7 +167,7 @@ def defaults_with_fallback(requests: DataFrame, defaults: DataFrame) -> DataFram
     for name, on in groups.items():
         sums = defaults.groupBy(*on.values()).agg(
             F.count(F.lit(1)).alias(f"_n_{name}"),
-            *[F.sum(F.col(c).cast("decimal(28,8)")).alias(f"_{name}_{c}") for c in features],
+            *[exact_sum(c).alias(f"_{name}_{c}") for c in features],
         )
         df = lookup(df, sums, on, source=defaults)
 
@@ -217,7 +215,7 @@ def price_means(prices: DataFrame) -> DataFrame:
     """
     keys = ["District", "Year", "Commodity"]
     sums = prices.groupBy(*keys).agg(
-        *[F.sum(not_nan(c).cast("decimal(28,8)")).alias(f"s_{c}") for c in PRICE_COLUMNS],
+        *[exact_sum(c).alias(f"s_{c}") for c in PRICE_COLUMNS],
         *[F.count(not_nan(c)).alias(f"n_{c}") for c in PRICE_COLUMNS],
     )
     district, year, commodity = (F.col(k) for k in keys)
