@@ -4,29 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from cropline.functions.joins import fits_broadcast
+
 REGEX_BLOCKS = 64
 
 
+def _words(df: DataFrame, word: str) -> DataFrame:
+    return df.select(word).filter(F.length(word) > 0).distinct()
+
+
+def pieces(names: DataFrame, name: str, words: DataFrame, word: str) -> DataFrame:
+    """``names`` with every different ``_piece`` of the name that is as long as some
+    word. Work grows with the text of the names."""
+    lengths = words.agg(F.collect_set(F.length(word)).alias("_lengths")).scalar()
+    last = F.length(name) - F.col("_length") + 1
+    cut = F.transform(
+        F.sequence(F.lit(1), last), lambda at: F.substring(F.col(name), at, F.col("_length"))
+    )
+    return (
+        names.withColumn("_lengths", lengths)
+        .withColumn("_length", F.explode("_lengths"))
+        .filter(last >= 1)
+        .withColumn("_piece", F.explode(F.array_distinct(cut)))
+        .drop("_lengths", "_length")
+    )
+
+
 def containing(words: DataFrame, names: DataFrame, word: str, name: str) -> DataFrame:
     """Pairs ``(word, name)`` where the name contains the non-empty word.
 
-    Every name is cut into its pieces of the lengths that occur among the
-    words, and the pieces are joined to the words by equality. Work grows with
-    the text of the distinct names; names and words are never paired to be
-    compared.
+    The pieces of the names are joined to the words by equality; names and words
+    are never paired to be compared.
     """
-    wanted = words.select(F.col(word).alias(word)).filter(F.length(word) > 0).distinct()
-    lengths = wanted.agg(F.collect_set(F.length(word)).alias("_lengths")).scalar()
-    pieces = (
-        names.select(F.col(name)).filter(F.col(name).isNotNull()).distinct()
-        .withColumn("_lengths", lengths)
-        .withColumn("_length", F.explode("_lengths"))
-        .filter(F.col("_length") <= F.length(name))
-        .withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(name) - F.col("_length") + 1)))
-        .select(name, F.substring(F.col(name), F.col("_at"), F.col("_length")).alias("_piece"))
-        .distinct()
-    )
-    return pieces.join(wanted, F.col("_piece") == F.col(word)).select(word, name)
+    wanted = _words(words, word)
+    distinct = names.select(name).filter(F.col(name).isNotNull()).distinct()
+    return pieces(distinct, name, wanted, word).join(wanted, F.col("_piece") == F.col(word)).select(word, name)
+
+
+def first_containing(
+    words: DataFrame, names: DataFrame, word: str, name: str, rank: str
+) -> DataFrame:
+    """For each non-empty word of a materialised table, the lowest ``rank`` among the
+    names that contain it. Words in no name are left out.
+
+    The ranks are reduced per piece before the shuffle, so that a word in most
+    names costs no more than any other.
+    """
+    wanted = _words(words, word)
+    found = pieces(names.select(name, rank), name, wanted, word)
+    if fits_broadcast(words):
+        found = found.join(F.broadcast(wanted), F.col("_piece") == F.col(word), "left_semi")
+    best = found.groupBy("_piece").agg(F.min(rank).alias(rank))
+    return best.join(wanted, F.col("_piece") == F.col(word)).select(word, rank)
 
 
 def matching_regex(patterns: DataFrame, names: DataFrame, pattern: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from cropline import schemas
 from cropline.functions import constants as K
 from cropline.functions.joins import lookup
 from cropline.functions.matching import containing, matching_regex
-from cropline.functions.scalars import lower_key, not_nan, scale, strip, upper_key
+from cropline.functions.scalars import exact_mean, lower_key, not_nan, scale, strip, upper_key
 from cropline.operators.aggregates import PRICE_COLUMNS, price_means
 from cropline.operators.clean import only_state
 from cropline.session import materialise
@@ -98,14 +98,14 @@ def season_rain(rain: DataFrame) -> DataFrame:
 
 def rain_means(rain: DataFrame) -> DataFrame:
     """Mean of each seasonal rainfall column over all years."""
-    return season_rain(rain).groupBy("rain_column").agg(F.avg("mm").alias("mean_mm"))
+    return season_rain(rain).groupBy("rain_column").agg(exact_mean("mm").alias("mean_mm"))
 
 
 def rainfall_for(targets: DataFrame, rain: DataFrame) -> DataFrame:
     """Add ``rain_column`` and ``rain_mm``, the rainfall of the season in its year,
     or over all years where that is missing."""
     long = materialise(season_rain(rain))
-    means = long.groupBy("rain_column").agg(F.avg("mm").alias("_mean"))
+    means = long.groupBy("rain_column").agg(exact_mean("mm").alias("_mean"))
     column = F.coalesce(F.try_element_at(_map_literal(K.SEASON_RAIN), F.col("Season")), F.lit(K.ANY_SEASON_RAIN))
     df = targets.withColumn("rain_column", column)
     df = lookup(df, long.withColumnRenamed("mm", "_mm"), {"Year": "YEAR", "rain_column": "rain_column"})

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cropline.functions.joins import lookup
-from cropline.functions.matching import containing
+from cropline.functions.matching import first_containing
 from cropline.functions.scalars import lower_key, strip
 from cropline.session import materialise
 
@@ -77,18 +77,14 @@ def match_contains(
     """First vocabulary entry that contains a field, or the word ``extra``, without
     regard to case; else the first entry. An empty field matches the first entry."""
     entries = _entries(vocab, feature).withColumn("_name", F.lower("value"))
-    words = requests.select(F.lower(name).alias("_word")).distinct()
-    names = entries.groupBy("_name").agg(
-        F.min("ordinal").alias("_ordinal"), F.min_by("value", "ordinal").alias("_value")
-    )
-    pairs = containing(words, names, "_word", "_name")
+    words = materialise(requests.select(F.lower(name).alias("_word")).distinct())
+    values = entries.select(F.col("ordinal").alias("_ordinal"), F.col("value").alias("_value"))
     hits = (
-        pairs.join(names, "_name")
-        .groupBy("_word")
-        .agg(F.min(F.struct("_ordinal", "_value")).alias("_hit"))
+        first_containing(words, entries, "_word", "_name", "ordinal")
+        .join(values, F.col("ordinal") == F.col("_ordinal"))
+        .select("_word", F.struct("_ordinal", "_value").alias("_hit"))
     )
-    hits = materialise(hits)
-    df = lookup(requests.withColumn("_field", F.lower(name)), hits, {"_field": "_word"})
+    df = lookup(requests.withColumn("_field", F.lower(name)), hits, {"_field": "_word"}, source=words)
     value, _ = _first(vocab, feature)
     hit = F.when(F.col("_field") != "", F.col("_hit"))
     if extra is not None:

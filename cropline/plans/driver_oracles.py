@@ -117,7 +117,8 @@ SELECT a.l_orderkey, a.l_linenumber, a.Year, a.Season, a.rain_column, coalesce(y
     WHEN 'Autumn' THEN 'OND' WHEN 'Summer' THEN 'MAM' WHEN 'Winter' THEN 'JF' ELSE 'ANNUAL' END AS rain_column
   FROM asia) a
 LEFT JOIN asia_rain y ON y.YEAR = a.Year AND y.rain_column = a.rain_column
-LEFT JOIN (SELECT rain_column, avg(mm) AS mm FROM asia_rain GROUP BY rain_column) m ON m.rain_column = a.rain_column
+LEFT JOIN (SELECT rain_column, cast(sum(cast(mm AS decimal(28,8))) AS double) / count(mm) AS mm
+           FROM asia_rain GROUP BY rain_column) m ON m.rain_column = a.rain_column
 """
 
 _ASIA_RAIN = " UNION ALL ".join(
@@ -399,7 +400,7 @@ oracle(
     f"SELECT l_orderkey, l_linenumber, Year, Season, rain_column, {r('rain_mm')} AS rain_mm FROM season_rain",
 )
 oracle(
-    "rain_means", ["asia_rain"], f"SELECT rain_column, {r('avg(mm)')} AS mean_mm FROM asia_rain GROUP BY rain_column"
+    "rain_means", ["asia_rain"], f"SELECT rain_column, {r(mean('mm'))} AS mean_mm FROM asia_rain GROUP BY rain_column"
 )
 oracle(
     "region_lookup",

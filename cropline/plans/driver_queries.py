@@ -29,7 +29,7 @@ from cropline.plans.artefacts import (
     derive_artefacts,
     fit_vocabulary,
 )
-from cropline.plans.prediction import encode_price_inputs, predict, published
+from cropline.plans.prediction import encode_price_inputs, predict as score_requests, published
 from cropline.plans.views import ALIASES, COLD_STATE, VIEWS, view
 from cropline.session import materialise, shared_folder
 from cropline.streaming import monitor as T
@@ -79,7 +79,7 @@ def _valid(spark, sf):
 
 def _predictions(spark, sf):
     """Predictions from history and given prices."""
-    return predict(view(spark, sf, "full_requests"), _artefacts(spark, sf), AS_OF)
+    return score_requests(view(spark, sf, "full_requests"), _artefacts(spark, sf), AS_OF)
 
 
 def _published(spark, sf):
@@ -593,11 +593,11 @@ def predict_fallback(spark, sf):
 
 
 @query
-def predict_batch(spark, sf):
+def predict(spark, sf):
     artefacts = _artefacts(spark, sf)
     yields, prices = _models(spark, sf, artefacts)
     requests = view(spark, sf, "full_requests")
-    scored = published(predict(requests, artefacts, AS_OF, yields, prices, (COLD_STATE,)))
+    scored = published(score_requests(requests, artefacts, AS_OF, yields, prices, (COLD_STATE,)))
     return scored.select("*", "inputs_used.*", F.size("historical_trend").alias("trend_points")).drop(
         "inputs_used", "historical_trend"
     )
@@ -697,9 +697,13 @@ def monitoring(spark, sf):
     return R.monitoring(_log(spark, sf), view(spark, sf, "auth_events"))
 
 
+def _without_zone(windows: DataFrame) -> DataFrame:
+    return windows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
 @query
 def monitor_windows(spark, sf):
-    return T.monitor_windows(_log(spark, sf))
+    return _without_zone(T.monitor_windows(_log(spark, sf)))
 
 
 @query
@@ -711,4 +715,4 @@ def monitor_stream(spark, sf):
     log = spark.sql(VIEWS["prediction_logs"][1].replace("FROM events", "FROM event_stream"))
     run = f"{shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
     T.write_windows(T.monitor_stream(log), f"{run}/windows", f"{run}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{run}/windows")
+    return _without_zone(spark.read.parquet(f"{run}/windows"))

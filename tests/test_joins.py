@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cropline.functions import joins
-from cropline.functions.matching import containing, matching_regex
+from cropline.functions import matching
+from cropline.functions.matching import containing, first_containing, matching_regex
 from cropline.functions.ranking import exact_quantiles, ordinals
 
 
@@ -66,6 +67,17 @@ def test_containing_equals_brute_force(frame):
     assert Counter(tuple(r) for r in pairs.collect()) == Counter(expected)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_first_containing_equals_brute_force(frame, monkeypatch, small):
+    monkeypatch.setattr(matching, "fits_broadcast", lambda df: small)
+    ranked = [(n, i) for i, n in enumerate(NAMES) if n]
+    found = first_containing(
+        frame("w string", [(w,) for w in WORDS]), frame("n string, r int", ranked), "w", "n", "r"
+    )
+    expected = {w: min(i for n, i in ranked if w in n) for w in WORDS if w and any(w in n for n, _ in ranked)}
+    assert dict(map(tuple, found.collect())) == expected
+
+
 PATTERNS = ["x(y)", "ring", "a|b", "^r", "r.d", "", "(lobia) cow", "dal+", "m(n)(o)p"]
 TARGETS = ["xy", "x(y)", "a", "red", "rid", "boring", "lobia cow", "dall", "mnop", "moong(green gram)"]
 
