@@ -7,6 +7,7 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Lookup rows are a key and a few values, so this many take some tens of megabytes.
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 1e-5
 HOT_ROWS = 1_000_000

@@ -813,6 +813,14 @@ oracle(
 
 # Pipelines
 
+oracle(
+    "build_artefacts",
+    ["agri", "defaults", "trends", "vocab"],
+    """SELECT 'state_districts' AS artefact, count(DISTINCT State) AS rows FROM agri
+    UNION ALL SELECT 'district_crops', count(*) FROM (SELECT DISTINCT State, District FROM agri)
+    UNION ALL SELECT 'defaults', count(*) FROM defaults UNION ALL SELECT 'trends', count(*) FROM trends
+    UNION ALL SELECT 'vocab', count(*) FROM vocab""",
+)
 oracle(
     "align_state",
     ["asia", "ladder", "season_rain"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from datetime import date
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,8 +24,9 @@ from cropline.operators import (
 from cropline.operators.keyed import insert_if_absent as insert_new
 from cropline.plans.artefacts import (
     PRICE_VOCABULARY,
-    YIELD_VOCABULARY,
+    TABLES as ARTEFACT_TABLES,
     Artefacts,
+    build_artefacts as store_artefacts,
     derive_artefacts,
     fit_vocabulary,
 )
@@ -673,6 +674,18 @@ def valuation_report_technical(spark, sf):
 # Pipelines
 
 
+@query
+def build_artefacts(spark, sf):
+    """Builds and stores all lookup tables, without the tables of the session."""
+    agri, root = _agri(spark, sf), f"{shared_folder(spark)}/artefacts-{uuid.uuid4().hex}"
+    built = store_artefacts(agri, root, "1", fit_vocabulary(agri, view(spark, sf, "price_facts")))
+    sizes = [
+        getattr(built, name).agg(F.lit(name).alias("artefact"), F.count(F.lit(1)).alias("rows"))
+        for name in ARTEFACT_TABLES
+    ]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 @query
 def align_state(spark, sf):
     df = L.align_state(
