@@ -6,7 +6,48 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cropline.llm.common import read
 from cropline.llm.exact_dedup import resolve_copies
+from cropline.llm.line_dedup import MIN_LINES, MIN_WORDS, line_dedup
+from cropline.llm.mixing import mix_sources
+from cropline.llm.sharding import SHARDS, SLOTS, fill_table, place
 from cropline.llm.simhash import near_groups
+from cropline.llm.url_filter import Rule, canonical, host_and_path, judge_urls
+
+# Fixed values of the URL query: rules of the contract, host labels whose pages are listed.
+URL_RULES = (
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+)
+LISTED_LABELS = ("spam-farm", "cheap-pills", "casino-win", "adult-x", "free-bets", "ads-track")
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the runs of lines that an earlier place has."""
+    cleaned = line_dedup(read(spark, sf_dir, "documents"))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
+    return cleaned.select("doc_id", "lines", "removed_lines", sha)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page; listed are the URLs of hosts with a listed label."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    host, _ = host_and_path("url")
+    listed = pages.filter(F.arrays_overlap(F.split(host, r"\."), F.array(*[F.lit(x) for x in LISTED_LABELS])))
+    judged = judge_urls(pages, listed.select(canonical("url").alias("url")), URL_RULES)
+    return judged.select(F.col("_id").alias("page_id"), "host", "path", "rule", "verdict", "canonical", "listed")
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    mixed = mix_sources(read(spark, sf_dir, "documents"))
+    return mixed.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", "taken", "copies")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document."""
+    return place(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,11 +65,79 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_mixing": op3_mixing,
+    "op4_sharding": op4_sharding,
     "op7_simhash": op7_simhash,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_TABLE = ",".join(map(str, fill_table(SHARDS)))
+
 ORACLES = {
+    "op1_line_dedup": f"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line_list FROM documents
+), line AS (
+  SELECT doc_id, unnest(line_list) AS line, generate_subscripts(line_list, 1) AS pos, len(line_list) AS lines FROM split
+), sized AS (
+  SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w FROM line
+), ahead AS (
+  SELECT doc_id, pos, lines, line, w, lead(line) OVER d AS line2, lead(line, 2) OVER d AS line3,
+         w + coalesce(lead(w) OVER d, 0) AS w2, w + coalesce(lead(w) OVER d, 0) + coalesce(lead(w, 2) OVER d, 0) AS w3
+  FROM sized WINDOW d AS (PARTITION BY doc_id ORDER BY pos)
+), window_ AS (
+  SELECT doc_id, pos, CASE WHEN w >= {MIN_WORDS} THEN 1 WHEN w2 >= {MIN_WORDS} THEN 2 ELSE {MIN_LINES} END AS n,
+         line, line2, line3, lines, w3 FROM ahead
+), content AS (
+  SELECT doc_id, pos, n, n || chr(10) || line || CASE WHEN n > 1 THEN chr(10) || line2 ELSE '' END
+         || CASE WHEN n > 2 THEN chr(10) || line3 ELSE '' END AS whole
+  FROM window_ WHERE pos + n - 1 <= lines AND w3 > 0
+), later AS (
+  SELECT doc_id, pos, n FROM content QUALIFY row_number() OVER (PARTITION BY whole ORDER BY doc_id, pos) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM later
+)
+SELECT doc_id, CAST(max(line.lines) AS INTEGER) AS lines, CAST(count(gone.pos) AS INTEGER) AS removed_lines,
+       sha256(coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY line.pos), '')) AS text_sha256
+FROM line LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+""",
+    "op2_url_filter": """
+WITH cut AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path,
+         regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query
+  FROM cut
+), canon AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)$', '')
+           || regexp_replace(path, '/+$', '')
+           || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS canonical
+  FROM (SELECT *, coalesce(array_to_string(list_sort(list_filter(string_split(query, '&'),
+          lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)'))), '&'), '') AS q FROM parts)
+), listed AS (
+  SELECT DISTINCT canonical FROM canon WHERE list_has_any(string_split(host, '.'),
+    ['spam-farm', 'cheap-pills', 'casino-win', 'adult-x', 'free-bets', 'ads-track'])
+), judged AS (
+  SELECT page_id, host, path, canonical, coalesce(canonical IN (SELECT canonical FROM listed), FALSE) AS listed,
+    CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+         WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM canon
+)
+SELECT page_id, host, path, rule, canonical, listed,
+       CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL OR listed THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+""",
+    "op4_sharding": f"""
+SELECT doc_id, slot, printf('shard-%03d', [{_TABLE}][slot + 1]) AS shard
+FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce('k' || doc_id, 'n')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents)
+""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
