@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cropline.llm.common import read
 from cropline.llm.exact_dedup import resolve_copies
 from cropline.llm.line_dedup import MIN_LINES, MIN_WORDS, line_dedup
 from cropline.llm.mixing import mix_sources
+from cropline.llm.pieces import encode_texts
+from cropline.llm.secret_scan import scan_secrets
 from cropline.llm.sharding import SHARDS, SLOTS, fill_table, place
 from cropline.llm.simhash import near_groups
+from cropline.llm.topk import top_k
+from cropline.llm.toxicity import fit_severity, score_severity
 from cropline.llm.url_filter import Rule, canonical, host_and_path, judge_urls
 
-# Fixed values of the URL query: rules of the contract, host labels whose pages are listed.
+# The tokenizer's model; rules of the URL contract, host labels whose pages are listed.
+MODEL = "piece_bpe_32k.model"
 URL_RULES = (
     Rule("allow", "org", "/"),
     Rule("block", "example.org", "/es/"),
@@ -50,6 +56,26 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(read(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document and the layers encoded in it."""
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+        "layers",
+        "skipped_layers",
+    )
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth one."""
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("_id") % 50 == 0)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate group of every document."""
     groups = near_groups(read(spark, sf_dir, "documents"))
@@ -57,6 +83,29 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("_id").alias("doc_id"), text.alias("fingerprint"), "component_id")
 
 
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """Number and digest of every document's ids, and digest of what they decode to."""
+    coded = encode_texts(docs, public_tokenizers.path(MODEL))
+    return coded.select(
+        F.col("_id").alias("doc_id"),
+        F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    return pieces_of(read(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, by a model of the labelled ones."""
+    docs = read(spark, sf_dir, "documents")
+    model = fit_severity(docs, read(spark, sf_dir, "labels"))
+    return score_severity(docs, model).withColumnRenamed("_id", "doc_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays in its place."""
     rows = resolve_copies(read(spark, sf_dir, "documents"))
@@ -69,7 +118,11 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op3_mixing": op3_mixing,
     "op4_sharding": op4_sharding,
+    "op5_secrets": op5_secrets,
+    "op6_top_k": op6_top_k,
     "op7_simhash": op7_simhash,
+    "op8_pieces": op8_pieces,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
@@ -137,6 +190,19 @@ FROM judged
     "op4_sharding": f"""
 SELECT doc_id, slot, printf('shard-%03d', [{_TABLE}][slot + 1]) AS shard
 FROM (SELECT doc_id, CAST('0x' || substr(md5(coalesce('k' || doc_id, 'n')), 1, 15) AS BIGINT) % {SLOTS} AS slot FROM documents)
+""",
+    "op6_top_k": """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """,
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
