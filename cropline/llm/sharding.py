@@ -73,8 +73,8 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 def place(rows: DataFrame, key_column: str, shards: Sequence[str] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """``rows`` with columns ``slot`` and ``shard``."""
     slot, shard = fresh(rows.columns, "slot"), fresh(rows.columns, "shard")
-    table = lookup_table(rows.sparkSession, shards, slots).select(F.col("_slot").alias(fresh(rows.columns, "_slot")), F.col("_shard").alias(shard))
-    own = table.columns[0]
+    own = fresh([*rows.columns, slot, shard], "_own_slot")
+    table = lookup_table(rows.sparkSession, shards, slots).select(F.col("_slot").alias(own), F.col("_shard").alias(shard))
     placed = rows.withColumn(slot, slot_of(column(key_column), slots))
     return placed.join(F.broadcast(table), F.col(slot) == F.col(own)).drop(own)
 
