@@ -52,26 +52,61 @@ def round_even(c: Column | str, digits: int) -> Column:
     return F.rint(column(c) * power) / power
 
 
+def round_mean(c: Column | str, digits: int) -> Column:
+    """Rounding for means of quotients: the last bits of a double, which depend on
+    the order of the sum, are rounded off first, so that a tie stays a tie."""
+    return round_even(round_even(c, digits + 5), digits)
+
+
+# Below this a value is summed as integers; 10^12 such values fit their sums.
+_WHOLE = float(1 << 43)
+
+
 def exact_sum(c: Column | str) -> Column:
-    """Sum to eight decimals that does not depend on the order of the rows.
+    """Sum in two parts, ``exact`` and ``rest``; see :func:`sum_value`.
 
     Prices and yields are short decimals, whose means often sit exactly on a
     rounding boundary; a sum of doubles would fall on either side of it
-    depending on how the rows are partitioned. The whole part and two halves of
-    the decimals are summed as integers, which is as fast as a sum of doubles and
-    has room for 10^14 rows; only the totals are put together as a decimal.
+    depending on how the rows are partitioned. Their whole parts and eight
+    decimals are summed as integers, in halves that do not overflow, and put
+    together as a decimal once per group. What a value has beyond its eighth
+    decimal, and values too large to split, are summed as doubles in ``rest``:
+    nothing is cut off, infinities stay infinite and opposite ones give NaN. NaN
+    counts as missing.
     """
     value = not_nan(c)
-    whole = F.floor(value)
-    digits = F.rint((value - whole) * 1e8).cast("bigint")
-    high = F.sum(F.shiftright(digits, 13)).cast("decimal(20,0)")
-    low = F.sum(digits.bitwiseAND(F.lit(8191).cast("bigint"))).cast("decimal(20,0)")
-    decimals = high * F.lit(8192).cast("decimal(4,0)") + low
-    return F.sum(whole).cast("decimal(20,0)") + decimals * F.lit("0.00000001").cast("decimal(8,8)")
+    split = F.abs(value) < _WHOLE
+    small = F.when(split, value)
+    whole = F.floor(small)
+    digits = F.rint((small - whole) * 1e8).cast("bigint")
+    left = small - whole - digits / F.lit(1e8)
+    # A smaller remainder is the rounding of the value itself.
+    beyond = F.when(F.abs(left) > F.abs(small) * 2.3e-16, left).otherwise(0.0)
+
+    def halves(n: Column, bits: int) -> Column:
+        high = F.sum(F.shiftright(n, bits)).cast("decimal(19,0)")
+        low = F.sum(n.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))).cast("decimal(19,0)")
+        return high * F.lit(1 << bits).cast(f"decimal({len(str(1 << bits))},0)") + low
+
+    exact = halves(whole, 20) + halves(digits, 13) * F.lit("0.00000001").cast("decimal(8,8)")
+    rest = F.sum(F.when(split, beyond).otherwise(value))
+    return F.struct(exact.cast("decimal(38,8)").alias("exact"), rest.alias("rest"))
+
+
+def add_sums(c: Column | str) -> Column:
+    """Total of two-part sums."""
+    c = column(c)
+    return F.struct(F.sum(c["exact"]).cast("decimal(38,8)").alias("exact"), F.sum(c["rest"]).alias("rest"))
+
+
+def sum_value(c: Column | str) -> Column:
+    """A two-part sum as a number; null if nothing was summed."""
+    c = column(c)
+    return F.coalesce(c["exact"].cast("double") + c["rest"], c["rest"])
 
 
 def exact_mean(c: Column | str) -> Column:
-    return F.try_divide(exact_sum(c).cast("double"), F.count(not_nan(c)))
+    return F.try_divide(sum_value(exact_sum(c)), F.count(not_nan(c)))
 
 
 def safe_ratio(numerator: Column | str, denominator: Column | str) -> Column:

@@ -8,13 +8,16 @@ from cropline.functions import constants as K
 from cropline.functions.joins import lookup
 from cropline.functions.ranking import ordinals
 from cropline.functions.scalars import (
+    add_sums,
     clamp,
     exact_mean,
     exact_sum,
     not_nan,
     order_bounds,
     round_even,
+    round_mean,
     strip,
+    sum_value,
     unscale,
     upper_key,
 )
@@ -82,10 +85,12 @@ def metadata(agri: DataFrame, vocab: DataFrame) -> DataFrame:
     return regions.unionByName(crops).unionByName(entries)
 
 
+DEFAULT_COLUMNS = {"rainfall": "Rainfall", "min_price": "Min_Price", "max_price": "Max_Price"}
+
+
 def crop_defaults(agri: DataFrame) -> DataFrame:
     """Mean scaled rainfall and prices of each (state, district, crop)."""
-    columns = {"rainfall": "Rainfall", "min_price": "Min_Price", "max_price": "Max_Price"}
-    return agri.groupBy(*KEY).agg(*[round_even(F.avg(c), 4).alias(n) for n, c in columns.items()])
+    return agri.groupBy(*KEY).agg(*[round_even(exact_mean(c), 4).alias(n) for n, c in DEFAULT_COLUMNS.items()])
 
 
 def _trend_rows(agri: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def crop_trends(agri: DataFrame) -> DataFrame:
         _trend_rows(agri)
         .groupBy(*KEY, F.col("Year").alias("year"))
         .agg(
-            round_even(exact_mean(yield_per_area("Production", "Area")), 4).alias("yield"),
+            round_mean(exact_mean(yield_per_area("Production", "Area")), 4).alias("yield"),
             round_even(exact_mean("Modal_Price"), 2).alias("price"),
         )
     )
@@ -120,28 +125,28 @@ def yearly_rollup(agri: DataFrame) -> DataFrame:
     for name, value in exact.items():
         value = F.when(ok, not_nan(value))
         sums += [exact_sum(value).alias(f"{name}_sum"), F.count(value).alias(f"{name}_n")]
-    for name, c in {"rainfall": "Rainfall", "min_price": "Min_Price", "max_price": "Max_Price"}.items():
-        sums += [F.sum(c).alias(f"{name}_sum"), F.count(c).alias(f"{name}_n")]
+    for name, c in DEFAULT_COLUMNS.items():
+        sums += [exact_sum(c).alias(f"{name}_sum"), F.count(not_nan(c)).alias(f"{name}_n")]
     return agri.groupBy(*KEY, "Year").agg(*sums, F.count_if(ok).alias("trend_rows"))
 
 
 def rollup_defaults(yearly: DataFrame) -> DataFrame:
     return yearly.groupBy(*KEY).agg(
         *[
-            round_even(F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")), 4).alias(c)
-            for c in ("rainfall", "min_price", "max_price")
+            round_even(F.try_divide(sum_value(add_sums(f"{c}_sum")), F.sum(f"{c}_n")), 4).alias(c)
+            for c in DEFAULT_COLUMNS
         ]
     )
 
 
 def rollup_trends(yearly: DataFrame) -> DataFrame:
     def mean(name: str) -> Column:
-        return F.try_divide(F.col(f"{name}_sum").cast("double"), F.col(f"{name}_n"))
+        return F.try_divide(sum_value(f"{name}_sum"), F.col(f"{name}_n"))
 
     return yearly.filter("trend_rows > 0").select(
         *KEY,
         F.col("Year").alias("year"),
-        round_even(mean("yield"), 4).alias("yield"),
+        round_mean(mean("yield"), 4).alias("yield"),
         round_even(mean("price"), 2).alias("price"),
     )
 
@@ -178,7 +183,8 @@ def defaults_with_fallback(requests: DataFrame, defaults: DataFrame) -> DataFram
     n = either("n_")
     filled = {}
     for c in features:
-        mean = round_even(F.try_divide(either("", f"_{c}").cast("double"), n), 4)
+        exact, rest = either("", f"_{c}.exact"), either("", f"_{c}.rest")
+        mean = round_even(F.try_divide(exact.cast("double") + rest, n), 4)
         filled[c] = F.when(F.col("_known"), F.col(f"_exact_{c}")).otherwise(
             F.when(n > 0, mean).otherwise(K.DEFAULT_SCALED[c])
         )
@@ -222,7 +228,7 @@ def price_means(prices: DataFrame) -> DataFrame:
     grains = sums.groupingSets([keys, ["Year", "Commodity"], ["Commodity"]], *keys).agg(
         F.grouping_id().alias("_grain"),
         *[
-            F.try_divide(F.sum(f"s_{c}").cast("double"), F.sum(f"n_{c}")).alias(c)
+            F.try_divide(sum_value(add_sums(f"s_{c}")), F.sum(f"n_{c}")).alias(c)
             for c in PRICE_COLUMNS
         ],
     )

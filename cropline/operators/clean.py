@@ -74,8 +74,10 @@ def parse_agri(raw: DataFrame) -> DataFrame:
     changes = {c: F.coalesce(parse_double(c), bad) for c in strict}
     changes |= {c: parse_double(c) for c in soft}
     changes["Year"] = parse_int("Year")
+    # The strict columns are part of the flag, so that their check runs wherever
+    # the rows are used, also where the columns themselves are pruned.
     readable = F.lit(True)
-    for c in [*soft, "Year"]:
+    for c in [*strict, *soft, "Year"]:
         readable = readable & F.col(c).isNotNull()
     return raw.withColumns(changes).withColumn("trend_ok", readable)
 
@@ -211,6 +213,5 @@ def resolve_inputs(requests: DataFrame, defaults: DataFrame) -> DataFrame:
 
 def standardise(df: DataFrame, name: str, out: str | None = None) -> DataFrame:
     """Z-score of a column by its own mean and sample standard deviation."""
-    moments = df.agg(F.avg(name).alias("m"), F.stddev_samp(name).alias("s"))
-    mean, std = moments.select("m").scalar(), moments.select("s").scalar()
-    return df.withColumn(out or name, F.try_divide(F.col(name) - mean, std))
+    moments = df.agg(F.struct(F.avg(name).alias("m"), F.stddev_samp(name).alias("s")).alias("x")).scalar()
+    return df.withColumn(out or name, F.try_divide(F.col(name) - moments["m"], moments["s"]))

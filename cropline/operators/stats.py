@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cropline.functions.constants import RAIN_COLUMNS, SEASON_TOTALS
-from cropline.functions.joins import split_hot_keys
+from cropline.functions.joins import lookup
 from cropline.functions.ranking import ACCURACY, exact_quantiles, sketch
 from cropline.functions.scalars import not_nan, strip, upper_key
 from cropline.operators.clean import drop_nulls, standardise, to_numeric
@@ -15,8 +15,9 @@ from cropline.session import materialise
 def join_rainfall(agri: DataFrame, rain: DataFrame) -> DataFrame:
     """Facts with the rainfall of their subdivision and year.
 
-    Both inputs of the join are bare shuffles or a broadcast, so that adaptive
-    execution splits a large subdivision.
+    Rainfall has one row per subdivision and year; it is stored, counted and
+    broadcast, so the facts are not shuffled. Beyond the size limit the hot keys
+    of the facts are split.
     """
     left = agri.withColumn("sub_clean", upper_key("SUBDIVISION")).withColumnRenamed(
         "SUBDIVISION", "SUBDIVISION_x"
@@ -24,18 +25,123 @@ def join_rainfall(agri: DataFrame, rain: DataFrame) -> DataFrame:
     right = rain.withColumn("_sub", upper_key("SUBDIVISION")).withColumnsRenamed(
         {"SUBDIVISION": "SUBDIVISION_y", "YEAR": "_year"}
     )
-    same = (F.col("sub_clean") == F.col("_sub")) & (F.col("Year") == F.col("_year"))
-    return left.join(right, same, "inner").drop("_sub", "_year")
+    return lookup(left, materialise(right), {"sub_clean": "_sub", "Year": "_year"}, "inner")
 
 
 def join_prices(agri: DataFrame, means: DataFrame) -> DataFrame:
     """Facts with the mean prices of their state, district and year; the scaled
-    prices of the facts end in ``_x``, the raw means in ``_y``."""
+    prices of the facts end in ``_x``, the raw means in ``_y``. The means are few
+    and broadcast after a check of their number."""
     left = agri.withColumns({"State": upper_key("State"), "District": upper_key("District")})
     left = left.withColumnsRenamed({"Min_Price": "Min_Price_x", "Max_Price": "Max_Price_x"})
     right = means.withColumnsRenamed({"Min_Price": "Min_Price_y", "Max_Price": "Max_Price_y"})
-    keys = {k: k for k in ("State", "District", "Year")}
-    return split_hot_keys(left, right, keys, "inner")
+    return lookup(left, materialise(right), {k: k for k in ("State", "District", "Year")}, "inner")
+
+
+def _moments(x: str) -> list[Column]:
+    """Count, mean, sum of squared deviations and extremes of a column."""
+    value = not_nan(x)
+    return [
+        F.count(value).alias("n"),
+        F.avg(value).alias("x"),
+        (F.var_pop(value) * F.count(value)).alias("xx"),
+        F.min(value).alias("x_low"),
+        F.max(value).alias("x_high"),
+    ]
+
+
+def _fits_of_moments(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Correlation and least squares of ``x`` against ``y`` per group.
+
+    ``groups`` holds moments of ``x`` over rows that share one ``y``, so it is
+    as small as the table ``y`` comes from. Deviations are taken from the means
+    of the whole group first, as sums of squares would cancel.
+    """
+    whole = Window.partitionBy(*by)
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    complete = groups.filter((n > 0) & y.isNotNull() & ~F.isnan(y))
+    centred = complete.withColumn("_n", F.sum(n).over(whole))
+    centred = centred.withColumns({"_x": F.sum(n * x).over(whole) / F.col("_n"), "_y": F.sum(n * y).over(whole) / F.col("_n")})
+    dx, dy = x - F.col("_x"), y - F.col("_y")
+    sums = centred.groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        F.first("_x").alias("_x"),
+        F.first("_y").alias("_y"),
+        F.sum(F.col("xx") + n * dx * dx).alias("_xx"),
+        F.sum(n * dy * dy).alias("_yy"),
+        F.sum(n * dx * dy).alias("_xy"),
+        (F.min("x_low") < F.max("x_high")).alias("_x_varies"),
+        (F.min("y") < F.max("y")).alias("_y_varies"),
+    )
+    slope = F.when(F.col("_x_varies"), F.try_divide("_xy", "_xx"))
+    both = F.col("_x_varies") & F.col("_y_varies")
+    return sums.select(
+        *by,
+        F.when(both, F.try_divide(F.col("_xy"), F.sqrt(F.col("_xx") * F.col("_yy")))).alias("correlation"),
+        "n",
+        slope.alias("slope"),
+        (F.col("_y") - slope * F.col("_x")).alias("intercept"),
+        F.when(both, F.try_divide(F.col("_xy") * F.col("_xy"), F.col("_xx") * F.col("_yy"))).alias("r2"),
+    )
+
+
+def _rain_fits(agri: DataFrame, rain: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
+    """Fits of the scaled rainfall of the facts against each rainfall column.
+
+    Rainfall is constant per subdivision and year, so the facts are reduced to
+    their moments per key before the join, and no fact row is copied per column.
+    """
+    facts = agri.withColumns({"_sub": upper_key("SUBDIVISION"), "Season": strip("Season")})
+    reduced = facts.groupBy(*by, "_sub", "Year").agg(*_moments("Rainfall"))
+    numeric = to_numeric(rain, [c for c in cols if dict(rain.dtypes)[c] == "string"])
+    pairs = [
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(c).cast("double").alias("y"))
+        for i, c in enumerate(cols)
+    ]
+    long = numeric.select(
+        upper_key("SUBDIVISION").alias("_rain_sub"), F.col("YEAR").alias("_rain_year"), F.inline(F.array(*pairs))
+    )
+    same = (F.col("_sub") == F.col("_rain_sub")) & (F.col("Year") == F.col("_rain_year"))
+    return _fits_of_moments(reduced.join(long, same), [*by, "position", "column"])
+
+
+def rank_rainfall(agri: DataFrame, rain: DataFrame, cols: list[str] = RAIN_COLUMNS) -> DataFrame:
+    """Rainfall columns by absolute correlation with the facts' rainfall; undefined
+    counts as 0 and ties keep the order of ``cols``."""
+    order = Window.orderBy(F.abs(F.coalesce("correlation", F.lit(0.0))).desc(), "position")
+    found = _rain_fits(agri, rain, cols, [])
+    return found.select(F.row_number().over(order).alias("rank"), "column", "correlation")
+
+
+def best_rainfall(agri: DataFrame, rain: DataFrame, cols: list[str] = SEASON_TOTALS) -> DataFrame:
+    """Per season, the rainfall column most correlated with the scaled rainfall of
+    the facts, with the fit; the first of equals wins."""
+    strength = F.struct(F.abs(F.coalesce("correlation", F.lit(0.0))), -F.col("position"))
+    details = F.struct("column", "correlation", "n", "slope", "intercept", "r2")
+    found = _rain_fits(agri, rain, cols, ["Season"])
+    return found.groupBy("Season").agg(F.max_by(details, strength).alias("best")).select("Season", "best.*")
+
+
+def fit_price_scale(
+    agri: DataFrame, means: DataFrame, cols: list[str] = ["Min_Price", "Max_Price"], min_rows: int = 10
+) -> DataFrame:
+    """Per price column, least squares of the district means against the scaled
+    prices of the facts, over more than ``min_rows`` joined rows.
+
+    A mean is constant per state, district and year: the facts are reduced to
+    moments by that key before the join.
+    """
+    keys = ["State", "District", "Year"]
+    facts = agri.withColumns({"State": upper_key("State"), "District": upper_key("District")})
+    reduced = facts.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.struct(*_moments(c)).alias(f"_of_{c}") for c in cols]
+    )
+    joined = reduced.join(means.select(*keys, *cols), keys)
+    sides = [F.struct(F.lit(c).alias("price"), F.col(c).alias("y"), F.col(f"_of_{c}").alias("m")) for c in cols]
+    long = joined.select("_rows", F.inline(F.array(*sides))).select("_rows", "price", "y", "m.*")
+    sizes = long.groupBy("price").agg(F.sum("_rows").alias("_size"))
+    fits = _fits_of_moments(long, ["price"]).join(sizes, "price")
+    return fits.filter(F.col("_size") > min_rows).select("price", "n", "slope", "intercept", "r2")
 
 
 def global_moments(prices: DataFrame) -> DataFrame:

@@ -17,6 +17,11 @@ def mean(x: str) -> str:
     return f"cast(sum(cast({x} AS decimal(28,8))) AS double) / nullif(count({x}), 0)"
 
 
+def ratio_mean(x: str) -> str:
+    """Mean of quotients, which have more than eight decimals."""
+    return f"fsum({x}) / nullif(count({x}), 0)"
+
+
 def _wide(columns: list[str], digits: int = 6) -> str:
     return ", ".join(f"{r(c, digits)} AS {c}" for c in columns)
 
@@ -149,7 +154,7 @@ _DEFAULTS = (
 )
 
 _TRENDS = (
-    f"SELECT {KEY}, Year AS year, {r(mean('y'), 4)} AS yield, {r(mean('Modal_Price'), 2)} AS price"
+    f"SELECT {KEY}, Year AS year, {r(r(ratio_mean('y'), 9), 4)} AS yield, {r(mean('Modal_Price'), 2)} AS price"
     f" FROM (SELECT *, CASE WHEN Area > 0 THEN Production / Area ELSE 0.0 END AS y FROM agri) GROUP BY {KEY}, Year"
 )
 
@@ -343,8 +348,8 @@ oracle(
 oracle(
     "standardise",
     ["agri"],
-    f"""SELECT {KEY}, Year, Season, {r('Modal_Price')} AS Modal_Price,
-    {r('(Modal_Price - (SELECT avg(Modal_Price) FROM agri)) / (SELECT stddev_samp(Modal_Price) FROM agri)')} AS z FROM agri""",
+    f"""SELECT {KEY}, Year, Season, {r('Modal_Price')} AS Modal_Price, {r('(Modal_Price - m) / s')} AS z
+    FROM agri, (SELECT avg(Modal_Price) AS m, stddev_samp(Modal_Price) AS s FROM agri)""",
 )
 
 # Joins
@@ -442,7 +447,7 @@ oracle("artefact_trends", ["trends"], "SELECT * FROM trends")
 oracle(
     "crop_trends_tolerant",
     ["agri_raw"],
-    f"""SELECT {KEY}, Year AS year, {r(mean('y'), 4)} AS yield, {r(mean('price'), 2)} AS price FROM (
+    f"""SELECT {KEY}, Year AS year, {r(r(ratio_mean('y'), 9), 4)} AS yield, {r(mean('price'), 2)} AS price FROM (
       SELECT {KEY}, try_cast(Year AS int) AS Year, try_cast(Modal_Price AS double) AS price,
         CASE WHEN try_cast(Area AS double) > 0 THEN try_cast(Production AS double) / try_cast(Area AS double) ELSE 0.0 END AS y
       FROM agri_raw WHERE try_cast(Area AS double) IS NOT NULL AND try_cast(Production AS double) IS NOT NULL

@@ -408,33 +408,24 @@ def price_correlations(spark, sf):
 
 @query
 def rank_correlations(spark, sf):
-    joined = S.join_rainfall(_agri(spark, sf), view(spark, sf, "rainfall"))
-    return rounded(S.rank_correlations(joined, "Rainfall"))
+    return rounded(S.rank_rainfall(_agri(spark, sf), view(spark, sf, "rainfall")))
 
 
 @query
 def best_rain_column(spark, sf):
-    joined = S.join_rainfall(_agri(spark, sf), view(spark, sf, "rainfall"))
-    return rounded(S.best_rain_column(joined))
+    best = S.best_rainfall(_agri(spark, sf), view(spark, sf, "rainfall"))
+    return rounded(best.select("Season", "column", "correlation"))
 
 
 @query
 def fit_scale(spark, sf):
     means = A.price_means_by_district(view(spark, sf, "prices"))
-    joined = materialise(
-        S.join_prices(_agri(spark, sf), means).select("Min_Price_x", "Min_Price_y", "Max_Price_x", "Max_Price_y")
-    )
-    fits = [
-        S.fit_scale(joined, f"{c}_x", f"{c}_y", min_rows=10, count_pairs=False).withColumn("price", F.lit(c))
-        for c in ("Min_Price", "Max_Price")
-    ]
-    return rounded(fits[0].unionByName(fits[1]))
+    return rounded(S.fit_price_scale(_agri(spark, sf), means))
 
 
 @query
 def fit_rain_scale(spark, sf):
-    joined = S.join_rainfall(_agri(spark, sf), view(spark, sf, "rainfall"))
-    return rounded(S.fit_best_rain(joined.select("Season", "Rainfall", "JF", "MAM", "JJAS", "OND", "ANNUAL")))
+    return rounded(S.best_rainfall(_agri(spark, sf), view(spark, sf, "rainfall")).filter("n > 5"))
 
 
 @query
