@@ -53,8 +53,48 @@ DEFAULT_AREA = 10.0
 VERY_HIGH, HIGH, MODERATE = "Very High Influence", "High Influence", "Moderate Influence"
 MEDIUM, LOW, BASELINE = "Medium Influence", "Low Influence", "Baseline Influence"
 
-REPORT_SHARED = (
-    "Cultivated State", "Cultivated District", "Crop Commodity", "Cultivation Season Cycle",
-    "Land Area Profile",
-)
-REPORT_ASSUMED = ("Assumed Product Grade", "Assumed Market Center", "Crop Variety Profile")
+# Rows of the valuation report, in order.
+REPORT_ROWS = {
+    "plain": (
+        "Predicted Crop Yield",
+        "Market Price (Modal)",
+        "Expected Yearly Revenue",
+        "Revenue Bounds",
+        "Farm Scale Influence",
+        "Rainfall & Weather Impact",
+        "Soil & Local Suitability Baseline",
+        "Market Trend",
+        "Cultivated State",
+        "Cultivated District",
+        "Crop Commodity",
+        "Cultivation Season Cycle",
+        "Land Area Profile",
+        "Expected Rainfall",
+        "Assumed Product Grade",
+        "Assumed Market Center",
+        "Crop Variety Profile",
+        "Expected Price Range",
+    ),
+    "technical": (
+        "Predicted Crop Yield",
+        "Market Price (Modal)",
+        "Expected Yearly Revenue",
+        "Revenue Bounds",
+        "Farm Scale Influence",
+        "Rainfall & Weather Impact",
+        "Soil & Local Suitability Baseline",
+        "Market Trend",
+        "Cultivated State",
+        "Cultivated District",
+        "Crop Commodity",
+        "Cultivation Season Cycle",
+        "Land Area Profile",
+        "Rainfall Standard Index",
+        "Assumed Product Grade",
+        "Assumed Market Center",
+        "Crop Variety Profile",
+        "Price Model Min Spec (Scaled)",
+        "Price Model Max Spec (Scaled)",
+        "Engine Execution Latency",
+    ),
+}

@@ -138,60 +138,40 @@ def valuation_report(predictions: DataFrame, mode: str = "plain") -> DataFrame:
     def grouped(c: str) -> Column:
         return F.concat(rupee, F.format_number(F.col(c), 2))
 
-    head = {
-        "Predicted Crop Yield": F.concat(fixed(TONNES, 2), F.lit(" Tonnes")),
-        "Market Price (Modal)": F.concat(money(PRICE), F.lit(" / Quintal")),
-        "Expected Yearly Revenue": grouped(REVENUE),
-        "Revenue Bounds": F.concat(grouped("revenue_low"), F.lit(" to "), grouped("revenue_high")),
-    }
-    place = dict(
-        zip(
-            X.REPORT_SHARED,
-            [F.col("state"), F.col("district"), F.col("crop"), F.col("season"),
-             F.concat(plain_number(used_area()), F.lit(" Hectares"))],
-        )
-    )
-    assumed = dict(zip(X.REPORT_ASSUMED, [F.col("grade"), F.col("market"), F.col("variety")]))
+    def shortest(c: str) -> Column:
+        """Grouped with at most two decimals."""
+        return F.regexp_replace(grouped(c), r"\.?0+$", "")
+
+    def percent(c: str) -> Column:
+        return F.concat(F.col(c).cast("string"), F.lit("%"))
+
+    def bound(c: str, side: str) -> Column:
+        return F.concat(z[c], F.lit(f" (Raw {side}: ₹"), fixed(c, 2), F.lit(")"))
+
+    values = [
+        F.concat(fixed(TONNES, 2), F.lit(" Tonnes")),
+        F.concat(money(PRICE), F.lit(" / Quintal")),
+        grouped(REVENUE),
+        F.concat(shortest("revenue_low"), F.lit(" to "), shortest("revenue_high")),
+    ]
+    place = ["state", "district", "crop", "season"]
+    assumed = [F.col("grade"), F.col("market"), F.col("variety")]
     if mode == "plain":
-        rows = {
-            **head,
-            "Farm Scale Influence": F.col("area_influence"),
-            "Rainfall & Weather Impact": F.col("rainfall_class"),
-            "Soil & Local Suitability Baseline": F.col("base_influence"),
-            "Market Trend": F.col("market_trend"),
-            **place,
-            "Expected Rainfall": F.concat(mm, F.lit(" mm ("), F.col("rainfall_class"), F.lit(")")),
-            **assumed,
-            "Expected Price Range": F.concat(
-                money("price_low"), F.lit(" – "), money("price_high"), F.lit(" per Quintal")
-            ),
-        }
+        values += [F.col("area_influence"), F.col("rainfall_class"), F.col("base_influence"), F.col("market_trend")]
+        values += [*map(F.col, place), F.concat(plain_number(used_area()), F.lit(" Hectares"))]
+        values += [F.concat(mm, F.lit(" mm ("), F.col("rainfall_class"), F.lit(")")), *assumed]
+        values += [F.concat(money("price_low"), F.lit(" – "), money("price_high"), F.lit(" per Quintal"))]
     else:
-
-        def percent(c: str) -> Column:
-            return F.concat(F.col(c).cast("string"), F.lit("%"))
-
-        def bound(c: str, side: str) -> Column:
-            return F.concat(z[c], F.lit(f" (Raw {side}: ₹"), fixed(c, 2), F.lit(")"))
-
-        rows = {
-            **head,
-            "Farm Scale Influence": percent("area_weight"),
-            "Rainfall & Weather Impact": percent("rain_weight"),
-            "Soil & Local Suitability Baseline": percent("base_weight"),
-            "Market Trend": F.col("market_trend"),
-            **place,
-            "Rainfall Standard Index": F.concat(z["rainfall"], F.lit(" (Raw: "), mm, F.lit(" mm)")),
-            **assumed,
-            "Price Model Min Spec (Scaled)": bound("min_price", "Min"),
-            "Price Model Max Spec (Scaled)": bound("max_price", "Max"),
-        }
+        values += [percent("area_weight"), percent("rain_weight"), percent("base_weight"), F.col("market_trend")]
+        values += [*map(F.col, place), F.concat(plain_number(used_area()), F.lit(" Hectares"))]
+        values += [F.concat(z["rainfall"], F.lit(" (Raw: "), mm, F.lit(" mm)")), *assumed]
+        values += [bound("min_price", "Min"), bound("max_price", "Max")]
         if "latency_ms" in predictions.columns:
-            rows["Engine Execution Latency"] = F.concat(plain_number("latency_ms"), F.lit(" ms"))
+            values += [F.concat(plain_number("latency_ms"), F.lit(" ms"))]
     entries = F.array(
         *[
             F.struct(F.lit(i).alias("position"), F.lit(a).alias("attribute"), v.alias("value"))
-            for i, (a, v) in enumerate(rows.items())
+            for i, (a, v) in enumerate(zip(X.REPORT_ROWS[mode], values))
         ]
     )
     return df.select("req_id", F.inline(entries))

@@ -152,16 +152,26 @@ def history_or_synthetic(predictions: DataFrame, trends: DataFrame) -> DataFrame
 
 
 def prediction_log_rows(predictions: DataFrame) -> DataFrame:
-    """Log columns of predictions. A failed one, whose ``reason`` is not null, is
-    logged with zeros and its reason."""
-    failed = F.col("reason").isNotNull()
+    """Log columns of the predictions that reached scoring.
+
+    A request that validation rejects is answered and not logged, see
+    :func:`rejected_requests`. One whose scoring failed, with a text in the column
+    ``error``, is logged with zeros and that text.
+    """
+    scored = predictions.filter(F.col("reason").isNull())
+    error = F.col("error") if "error" in predictions.columns else F.lit(None).cast("string")
     zero = F.lit(0.0)
     results = {
-        c: F.when(failed, zero).otherwise(F.col(c))
+        c: F.when(error.isNotNull(), zero).otherwise(F.col(c))
         for c in ("predicted_yield", "predicted_price", "total_value")
     }
-    status = F.when(failed, F.concat(F.lit("ERROR: "), F.col("reason"))).otherwise("SUCCESS")
-    logged = predictions.withColumns({**results, "status": status})
+    status = F.when(error.isNotNull(), F.concat(F.lit("ERROR: "), error)).otherwise("SUCCESS")
+    logged = scored.withColumns({**results, "status": status})
     if "rainfall_raw" in logged.columns:
         logged = logged.withColumn("rainfall", F.col("rainfall_raw"))
     return logged
+
+
+def rejected_requests(predictions: DataFrame) -> DataFrame:
+    """Requests that validation rejected, with the reason that the caller gets."""
+    return predictions.filter(F.col("reason").isNotNull()).select("req_id", "reason")

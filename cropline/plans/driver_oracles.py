@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from cropline.functions import texts as X
 from cropline.plans.views import VIEWS, with_clause
 
 KEY = "State, District, Crop"
@@ -216,7 +215,7 @@ FROM pred WHERE reason IS NULL
 """
 
 _SHOWN = f"""
-SELECT *, CASE WHEN z < -0.3 THEN '{X.BELOW}' WHEN z > 0.3 THEN '{X.ABOVE}' ELSE '{X.NORMAL}' END AS rain_class,
+SELECT *, CASE WHEN z < -0.3 THEN 'Below Average Rainfall' WHEN z > 0.3 THEN 'Above Average Rainfall' ELSE 'Normal Rainfall' END AS rain_class,
   CASE WHEN aw + rw >= 94 THEN 58 ELSE aw END AS area_weight, CASE WHEN aw + rw >= 94 THEN 28 ELSE rw END AS rain_weight,
   CASE WHEN aw + rw >= 94 THEN 14 ELSE 100 - aw - rw END AS base_weight,
   regexp_replace(cast(cast(ha AS decimal(28,10)) AS varchar), '\\.?0+$', '') AS ha_text,
@@ -328,8 +327,8 @@ oracle(
 oracle(
     "order_bounds",
     ["requests"],
-    """SELECT req_id, least(greatest(min_price, 0.0), greatest(max_price, 0.0)) AS low,
-    greatest(min_price, max_price, 0.0) AS high FROM requests WHERE min_price IS NOT NULL AND max_price IS NOT NULL""",
+    """SELECT req_id, least(greatest(coalesce(min_price, 0.0), 0.0), greatest(coalesce(max_price, 0.0), 0.0)) AS low,
+    greatest(coalesce(min_price, 0.0), coalesce(max_price, 0.0), 0.0) AS high FROM requests""",
 )
 oracle(
     "normalise_requests",
@@ -684,10 +683,10 @@ oracle(
     "prediction_log",
     ["pred"],
     f"""SELECT req_id, crop, state, district, season, {r('area', 4)} AS area, {r('rainfall_raw', 4)} AS rainfall,
-    CASE WHEN reason IS NULL THEN 'SUCCESS' ELSE concat('ERROR: ', reason) END AS status,
-    {r('coalesce(predicted_yield, 0.0)', 4)} AS predicted_yield, {r('coalesce(predicted_price, 0.0)', 4)} AS predicted_price,
-    {r('coalesce(total_value, 0.0)', 4)} AS total_value FROM pred""",
+    'SUCCESS' AS status, {_wide(['predicted_yield', 'predicted_price', 'total_value'], 4)}
+    FROM pred WHERE reason IS NULL""",
 )
+oracle("rejected_requests", ["checked"], "SELECT req_id, reason FROM checked WHERE reason IS NOT NULL")
 
 # Insights
 
@@ -699,8 +698,8 @@ oracle(
 oracle(
     "rainfall_class",
     ["agri"],
-    f"""SELECT {KEY}, Year, Season, CASE WHEN Rainfall < -0.3 THEN '{X.BELOW}' WHEN Rainfall > 0.3 THEN '{X.ABOVE}'
-    ELSE '{X.NORMAL}' END AS rainfall_class FROM agri""",
+    f"""SELECT {KEY}, Year, Season, CASE WHEN Rainfall < -0.3 THEN 'Below Average Rainfall' WHEN Rainfall > 0.3 THEN 'Above Average Rainfall'
+    ELSE 'Normal Rainfall' END AS rainfall_class FROM agri""",
 )
 
 
@@ -714,14 +713,34 @@ def _text(template: str, *values: str) -> str:
 
 
 _MM = "printf('%.1f', rainfall)"
+# The sentences, written out here a second time on purpose.
+_SENTENCES = {
+    "Below Average Rainfall": "Expected seasonal rainfall of %s mm is below the regional average of 782.7 mm. "
+    "This deficit of moisture reduces the expected crop growth and lowers yield potential.",
+    "Normal Rainfall": "Expected seasonal rainfall of %s mm matches regional baseline averages (782.7 mm). "
+    "Normal weather conditions support steady crop development.",
+    "Above Average Rainfall": "Expected seasonal rainfall of %s mm is above the regional average of 782.7 mm. "
+    "The abundant moisture supports strong vegetation growth, which optimizes crop yield.",
+}
 _SENTENCE = (
     "CASE rain_class "
-    + " ".join(f"WHEN '{k}' THEN {_text(t, _MM)}" for k, t in X.RAIN_SENTENCES.items())
+    + " ".join(f"WHEN '{k}' THEN {_text(t, _MM)}" for k, t in _SENTENCES.items())
     + " END AS rainfall_narrative"
 )
-_PLAIN = _text(X.PLAIN_EXPLANATION, "ha_text", _MM, "lower(rain_class)", "crop", "district", "state")
+_PLAIN = _text(
+    "Our model determines this estimate based on three core features. "
+    "First, your **Farm Size of %s Hectares** scales the total output volume. "
+    "Second, the **expected rainfall of %s mm** (%s) determines crop growth conditions. "
+    "Finally, the historical performance baseline of **%s** in **%s, %s** sets the regional average.",
+    "ha_text", _MM, "lower(rain_class)", "crop", "district", "state",
+)
 _TECHNICAL = _text(
-    X.TECHNICAL_EXPLANATION,
+    "Our tree-boosted model splits feature attributions mathematically: "
+    "First, the **Farm Size of %s Hectares** scales the production volume, "
+    "contributing **%s%%** of the yield output. "
+    "Second, **Rainfall conditions (Z-score index: %s)** accounts for **%s%%** of the estimate. "
+    "Finally, the historical performance of **%s** in **%s, %s** "
+    "establishes a **%s%%** soil and climate baseline.",
     "ha_text", "cast(area_weight AS varchar)", "printf('%.4f', z)", "cast(rain_weight AS varchar)",
     "crop", "district", "state", "cast(base_weight AS varchar)",
 )
@@ -759,11 +778,16 @@ def _grouped(c: str) -> str:
     return f"concat('₹', format('{{:,.2f}}', {c}))"
 
 
+def _shortest(c: str) -> str:
+    """At most two decimals."""
+    return f"rtrim(rtrim({_grouped(c)}, '0'), '.')"
+
+
 _HEAD = [
     ("Predicted Crop Yield", "concat(printf('%.2f', predicted_yield_tonnes), ' Tonnes')"),
     ("Market Price (Modal)", f"concat({_money('predicted_price_inr_quintal')}, ' / Quintal')"),
     ("Expected Yearly Revenue", _grouped("total_estimated_value_inr")),
-    ("Revenue Bounds", f"concat({_grouped('revenue_low')}, ' to ', {_grouped('revenue_high')})"),
+    ("Revenue Bounds", f"concat({_shortest('revenue_low')}, ' to ', {_shortest('revenue_high')})"),
 ]
 _PLACE = [
     ("Cultivated State", "state"),
@@ -898,3 +922,115 @@ oracle(
     ["prediction_logs"],
     f"""SELECT * FROM ({_WINDOWS}) WHERE window_end <= (SELECT max(timestamp) FROM prediction_logs) - INTERVAL 1 HOUR""",
 )
+
+# Every fact row, without the fixture's filters
+
+
+def _defaults_of(table: str) -> str:
+    return _DEFAULTS.replace("FROM agri", f"FROM {table}")
+
+
+oracle("crop_defaults_all", ["agri_all"], _defaults_of("agri_all"))
+oracle("crop_trends_all", ["agri_all"], _TRENDS.replace("FROM agri", "FROM agri_all"))
+
+# Sources and sinks: what was written is read back
+
+_AGRI_COLUMNS = (
+    "State, District, Year, Season, Crop, "
+    + _wide(["Area", "Production"])
+    + ", SUBDIVISION, "
+    + _wide(["Rainfall", "Modal_Price", "Min_Price", "Max_Price"])
+)
+for _name in ("read_agri", "publish_agri"):
+    oracle(_name, ["agri"], f"SELECT {_AGRI_COLUMNS} FROM agri")
+oracle("publish_states", ["agri"], f"SELECT {_AGRI_COLUMNS} FROM agri WHERE State = 'EUROPE'")
+_FILE_PRICES = (
+    "State, District, {market} AS Market, Commodity, cast(NULL AS varchar) AS Variety, cast(NULL AS varchar) AS Grade, Month, "
+    + _wide(P3)
+    + ", Year"
+)
+oracle("read_prices", ["prices"], f"SELECT {_FILE_PRICES.format(market='Market')} FROM prices")
+oracle("read_prices_pruned", ["prices"], f"SELECT State, Year, {r('Modal_Price')} AS Modal_Price FROM prices")
+oracle(
+    "union_years",
+    ["prices"],
+    f"SELECT {_FILE_PRICES.format(market='CASE WHEN Year % 3 <> 1 THEN Market END')} FROM prices",
+)
+oracle("read_rainfall", ["rainfall"], f"SELECT SUBDIVISION, YEAR, {_wide([*MONTHS, *TOTALS])} FROM rainfall")
+oracle(
+    "read_production",
+    ["production"],
+    f"SELECT State_Name, District_Name, Crop_Year, Season, Crop, {_wide(['Area', 'Production'])} FROM production",
+)
+oracle(
+    "discover_columns",
+    ["prices"],
+    """SELECT role, "column", n FROM (VALUES ('state', 'State'), ('district', 'District'), ('commodity', 'Commodity'),
+      ('min', 'Min_Price'), ('max', 'Max_Price'), ('modal', 'Modal_Price')) t(role, "column")
+    JOIN (SELECT unnest(['State', 'District', 'Commodity', 'Min_Price', 'Max_Price', 'Modal_Price']) AS "column",
+      unnest([count(State), count(District), count(Commodity), count(Min_Price), count(Max_Price), count(Modal_Price)]) AS n
+      FROM prices) c USING ("column")""",
+)
+oracle(
+    "append_predictions",
+    ["pred"],
+    f"""SELECT req_id AS id, 'ada' AS username, crop, state, district, season, {_wide(['area', 'predicted_yield', 'predicted_price'], 4)},
+    'SUCCESS' AS status, DATE '2024-06-15' AS date FROM pred WHERE reason IS NULL""",
+)
+oracle(
+    "append_auth_events",
+    ["auth_events"],
+    "SELECT id, username, action, ip_address, timestamp, cast(timestamp AS date) AS date FROM auth_events",
+)
+_ALIGNED = ORACLES["align_state"].rsplit("\nSELECT", 1)[1]
+oracle(
+    "refresh_state",
+    ["agri", "asia", "ladder", "season_rain"],
+    f"SELECT {_AGRI_COLUMNS} FROM agri WHERE State <> 'ASIA' UNION ALL BY NAME SELECT{_ALIGNED}",
+)
+
+# Scoring with fixed trees, and what holds for every fitted model
+
+
+def _code(model: str, feature: str, column: str) -> str:
+    return f"(SELECT ordinal FROM vocab WHERE model = '{model}' AND feature = '{feature}' AND value = {column})"
+
+
+oracle(
+    "score_yield_fixed",
+    ["agri", "vocab"],
+    f"""SELECT State AS state, District, Crop AS crop, Season AS season, Year, Area AS area, Production,
+    {r("greatest(0.0, CASE WHEN c < 8 THEN CASE WHEN Area < 20 THEN 100.0 + s ELSE 250.0 + 10 * n END WHEN Rainfall < 0 THEN -5.0 ELSE 40.5 * Area END)")}
+    AS predicted_yield FROM (SELECT *, {_code('production', 'state', 'State')} AS s, {_code('production', 'crop', 'Crop')} AS c,
+      {_code('production', 'season', 'Season')} AS n FROM agri)""",
+)
+for _name, _low, _high in (
+    ("score_price_fixed", "(Min_Price - 1563.7877) / 1029.2886", "(Max_Price - 1865.0167) / 1194.8210"),
+    ("score_direct_fixed", "Min_Price", "Max_Price"),
+):
+    _tree = f"""CASE WHEN g > 0 THEN 1000.0 + 7 * d + Month ELSE CASE WHEN {_low} < 0 THEN 100 * ({_high}) ELSE 900.5 + v + Year END END"""
+    oracle(
+        _name,
+        ["price_facts", "vocab"],
+        f"""SELECT State AS state, Market AS market, Commodity AS commodity, Year, Month, {r('Modal_Price')} AS Modal_Price,
+        {r(f"greatest(0.0, {_tree})")} AS predicted_price
+        FROM (SELECT *, {_code('price', 'grade', 'Grade')} AS g, {_code('price', 'district', 'District')} AS d,
+          {_code('price', 'variety', 'Variety')} AS v FROM price_facts)""",
+    )
+oracle(
+    "fit_models_facts",
+    ["agri", "price_facts"],
+    """SELECT 'yield' AS model, count(*) AS n, 'state_code,crop_code,season_code,area,rainfall_scaled' AS features, TRUE AS explains FROM agri
+    UNION ALL SELECT 'price', count(*), 'state_code,district_code,market_code,commodity_code,variety_code,grade_code,year,month,min_price_scaled,max_price_scaled',
+    TRUE FROM price_facts""",
+)
+oracle(
+    "predict_contract",
+    ["pred", "trends"],
+    f"""SELECT p.req_id, p.crop, p.state, p.district, p.season, p.used_market AS market, p.used_variety AS variety, p.used_grade AS grade,
+    CASE WHEN p.has_history THEN 'HIGH' ELSE 'MODERATE' END AS confidence_rating,
+    cast(coalesce(t.n, 5) AS int) AS trend_points, CASE WHEN p.state = 'ASIA' THEN {r('p.predicted_yield', 2)} END AS cold_yield,
+    TRUE AS not_negative, TRUE AS value_fits
+    FROM pred p LEFT JOIN (SELECT State, District, Crop, count(*) AS n FROM trends GROUP BY ALL) t
+      ON t.State = p.state AND t.District = p.district AND t.Crop = p.crop WHERE p.reason IS NULL""",
+)

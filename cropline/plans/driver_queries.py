@@ -7,8 +7,10 @@ from collections.abc import Callable
 from datetime import date
 from functools import lru_cache, reduce
 
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cropline import schemas
 from cropline.functions.constants import RAIN_COLUMNS
 from cropline.functions.scalars import order_bounds as ordered, round_even, strip
 from cropline.operators import (
@@ -22,6 +24,7 @@ from cropline.operators import (
     stats as S,
 )
 from cropline.operators.keyed import insert_if_absent as insert_new
+from cropline.plans.alignment import refresh_partition
 from cropline.plans.artefacts import (
     PRICE_VOCABULARY,
     TABLES as ARTEFACT_TABLES,
@@ -33,6 +36,7 @@ from cropline.plans.artefacts import (
 from cropline.plans.prediction import encode_price_inputs, predict as score_requests, published
 from cropline.plans.views import ALIASES, COLD_STATE, VIEWS, view
 from cropline.session import materialise, shared_folder
+from cropline.sources import files as IO
 from cropline.streaming import monitor as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -169,9 +173,8 @@ def zscore_roundtrip(spark, sf):
 
 @query
 def order_bounds(spark, sf):
-    requests = C.drop_nulls(view(spark, sf, "requests"), ["min_price", "max_price"])
-    low, high = ordered("min_price", "max_price")
-    return requests.select("req_id", low.alias("low"), high.alias("high"))
+    low, high = ordered(*[F.coalesce(c, F.lit(0.0)) for c in ("min_price", "max_price")])
+    return view(spark, sf, "requests").select("req_id", low.alias("low"), high.alias("high"))
 
 
 @query
@@ -325,6 +328,16 @@ def crop_defaults(spark, sf):
     return A.crop_defaults(_agri(spark, sf))
 
 
+@query
+def crop_defaults_all(spark, sf):
+    return A.crop_defaults(view(spark, sf, "agri_all"))
+
+
+@query
+def crop_trends_all(spark, sf):
+    return A.crop_trends(view(spark, sf, "agri_all"))
+
+
 @query
 def crop_trends(spark, sf):
     return A.crop_trends(_agri(spark, sf))
@@ -602,6 +615,196 @@ def prediction_log(spark, sf):
     return rounded(df.select("req_id", *fields, "predicted_yield", "predicted_price", "total_value"), 4)
 
 
+@query
+def rejected_requests(spark, sf):
+    return M.rejected_requests(_predictions(spark, sf))
+
+
+def _fixed_tree(text: str) -> SQLTransformer:
+    """A model with known arithmetic, in place of a fitted one."""
+    return SQLTransformer(statement=f"SELECT *, cast({text} AS double) AS prediction FROM __THIS__")
+
+
+YIELD_TREE = """CASE WHEN crop_code < 8 THEN CASE WHEN area < 20 THEN 100.0 + state_code ELSE 250.0 + 10 * season_code END
+WHEN rainfall_scaled < 0 THEN -5.0 ELSE 40.5 * area END"""
+PRICE_TREE = """CASE WHEN grade_code > 0 THEN 1000.0 + 7 * district_code + month
+WHEN min_price_scaled < 0 THEN 100 * max_price_scaled ELSE 900.5 + variety_code + year END"""
+
+
+@query
+def score_yield_fixed(spark, sf):
+    rows = M.yield_training_rows(_agri(spark, sf), _artefacts(spark, sf).production_vocab)
+    scored = M.score_yield(rows, _fixed_tree(YIELD_TREE))
+    return rounded(scored.select("state", "District", "crop", "season", "Year", "area", "Production", "predicted_yield"))
+
+
+_PRICED = ["state", "market", "commodity", "Year", "Month", "Modal_Price", "predicted_price"]
+
+
+@query
+def score_price_fixed(spark, sf):
+    rows = M.price_training_rows(view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab)
+    return rounded(M.score_price(rows, _fixed_tree(PRICE_TREE)).select(*_PRICED))
+
+
+@query
+def score_direct_fixed(spark, sf):
+    rows = M.price_training_rows(view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab)
+    chosen = rows.withColumnsRenamed({"Min_Price": "min_price", "Max_Price": "max_price"})
+    return rounded(M.score_price(chosen, _fixed_tree(PRICE_TREE), scaled=False).select(*_PRICED))
+
+
+@query
+def fit_models_facts(spark, sf):
+    """What holds for the fitted models whatever the trees are."""
+    order = {"yield": M.YIELD_FEATURES, "price": M.PRICE_FEATURES}
+    names = F.create_map(*[x for m, f in order.items() for x in (F.lit(m), F.lit(",".join(f)))])
+    found = QUERIES["fit_models"](spark, sf)
+    return found.select("model", "n", names[F.col("model")].alias("features"), (F.col("r2") > 0).alias("explains"))
+
+
+@query
+def predict_contract(spark, sf):
+    """What holds for predictions whatever the trees are."""
+    artefacts = _artefacts(spark, sf)
+    scored = score_requests(
+        view(spark, sf, "full_requests"), artefacts, AS_OF, *_models(spark, sf, artefacts), (COLD_STATE,)
+    ).filter("reason IS NULL")
+    value = F.col("predicted_yield") * F.col("predicted_price") * 10
+    return scored.select(
+        "req_id", "crop", "state", "district", "season", "market", "variety", "grade",
+        M.confidence_rating(F.col("has_history")).alias("confidence_rating"),
+        F.size("historical_trend").alias("trend_points"),
+        F.when(F.col("state") == COLD_STATE, round_even("predicted_yield", 2)).alias("cold_yield"),
+        ((F.col("predicted_yield") >= 0) & (F.col("predicted_price") >= 0)).alias("not_negative"),
+        (F.abs(F.col("total_value") - value) <= 1e-9 * F.abs(value)).alias("value_fits"),
+    )
+
+
+# Sources and sinks
+
+
+def _trip(spark) -> str:
+    return f"{shared_folder(spark)}/trip-{uuid.uuid4().hex}"
+
+
+def _write_csv(df: DataFrame, path: str) -> str:
+    writer = df.write.option("header", True).option("emptyValue", "")
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _write_years(prices: DataFrame, change: Callable[[DataFrame, int], DataFrame] | None = None) -> str:
+    """One headed file per year, named after it, as the price files come."""
+    spark, folder = prices.sparkSession, _trip(prices.sparkSession)
+    stored = materialise(prices)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path(f"{folder}/years"))
+    for (year,) in stored.select("Year").distinct().collect():
+        rows = stored.filter(F.col("Year") == year).drop("Year")
+        part = _write_csv((change(rows, year) if change else rows).coalesce(1), f"{folder}/parts/{year}")
+        written = system.globStatus(path(f"{part}/part-*"))[0].getPath()
+        system.rename(written, path(f"{folder}/years/{year}.csv"))
+    return f"{folder}/years/*.csv"
+
+
+@query
+def read_agri(spark, sf):
+    return rounded(IO.read_agri(spark, _write_csv(_agri(spark, sf), _trip(spark))))
+
+
+@query
+def publish_agri(spark, sf):
+    return rounded(IO.read_agri(spark, IO.publish_agri(_agri(spark, sf), _trip(spark), "1")))
+
+
+@query
+def publish_states(spark, sf):
+    """The facts by state, with one state written again, read back for another."""
+    agri, path = _agri(spark, sf), _trip(spark)
+    IO.publish_states(agri, path)
+    IO.publish_states(agri.filter(F.col("State") == "AFRICA"), path)
+    one = IO.read_states(spark, path).filter(F.col(IO.STATE_KEY) == "EUROPE")
+    return rounded(one.drop(IO.STATE_KEY))
+
+
+@query
+def read_prices(spark, sf):
+    return rounded(IO.read_prices(spark, _write_years(view(spark, sf, "prices"))))
+
+
+@query
+def read_prices_pruned(spark, sf):
+    path = _write_years(view(spark, sf, "prices"))
+    return rounded(IO.read_prices(spark, path, ["State", "Year", "Modal_Price"]))
+
+
+@query
+def union_years(spark, sf):
+    """Yearly files with their columns in another order, one more and one less."""
+
+    def change(rows: DataFrame, year: int) -> DataFrame:
+        if year % 3 == 0:
+            return rows.select(*reversed(rows.columns))
+        return rows.drop("Market") if year % 3 == 1 else rows.withColumn("Arrivals", F.lit("7"))
+
+    return rounded(IO.read_prices(spark, _write_years(view(spark, sf, "prices"), change)))
+
+
+@query
+def read_rainfall(spark, sf):
+    return rounded(IO.read_rainfall(spark, _write_csv(view(spark, sf, "rainfall"), _trip(spark))))
+
+
+@query
+def read_production(spark, sf):
+    return rounded(IO.read_production(spark, _write_csv(view(spark, sf, "production"), _trip(spark))))
+
+
+@query
+def discover_columns(spark, sf):
+    """Key columns of the price table, with their number of values."""
+    prices = view(spark, sf, "prices")
+    found = [
+        F.struct(F.lit(role).alias("role"), F.lit(names[0]).alias("column"), F.count(names[0]).alias("n"))
+        for role, names in IO.discover_columns(prices).items()
+    ]
+    return prices.agg(F.array(*found).alias("found")).select(F.inline("found"))
+
+
+@query
+def append_predictions(spark, sf):
+    """Two batches appended to one log."""
+    rows = M.prediction_log_rows(_predictions(spark, sf)).withColumns(
+        {"id": F.col("req_id"), "username": F.lit("ada"), "timestamp": F.lit("2024-06-15 10:00:00").cast("timestamp")}
+    )
+    path = _trip(spark)
+    for half in (0, 1):
+        IO.append_predictions(rows.filter(F.col("id") % 2 == half), path)
+    shown = ["id", "username", "crop", "state", "district", "season", "area", "predicted_yield", "predicted_price", "status"]
+    return rounded(IO.read_log(spark, path).select(*shown, "date"), 4)
+
+
+@query
+def append_auth_events(spark, sf):
+    path = _trip(spark)
+    IO.append_auth_events(view(spark, sf, "auth_events"), path)
+    log = IO.read_log(spark, path, schemas.AUTH_EVENTS)
+    return log.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+
+
+@query
+def refresh_state(spark, sf):
+    """One state of the published facts replaced, the others left."""
+    path = IO.publish_states(_agri(spark, sf), _trip(spark))
+    refresh_partition(
+        path, view(spark, sf, "production"), view(spark, sf, "prices"), view(spark, sf, "rainfall"),
+        COLD_STATE, COLD_STATE, ALIASES,
+    )
+    return rounded(IO.read_states(spark, path).drop(IO.STATE_KEY))
+
+
 # Insights
 
 

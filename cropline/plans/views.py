@@ -43,6 +43,9 @@ WHERE (nk + cast(replace(p_brand, 'Brand#', '') AS int)) % 3 <> 0
   AND NOT (State = 'ASIA' AND p_brand = 'Brand#5') AND p_brand <> 'Brand#25'
 """
 
+# The same for every line item.
+_AGRI_ALL = _AGRI[: _AGRI.index("WHERE (nk")]
+
 _AGRI_RAW = """
 SELECT State, District, Crop, cast(Rainfall AS string) AS Rainfall,
        CASE WHEN Area = 11 THEN 'n/a' ELSE cast(Area AS string) END AS Area,
@@ -117,7 +120,7 @@ SELECT requests.*,
        CASE WHEN req_id % 4 = 1 THEN lower(concat(' ', p_brand, ' ', p_type)) ELSE NULL END AS variety,
        CASE req_id % 4 WHEN 0 THEN 'large ' WHEN 1 THEN 'unknown' ELSE NULL END AS grade,
        cast((req_id % 300) * 10 AS double) AS given_price
-FROM requests JOIN part ON req_id = p_partkey
+FROM requests LEFT JOIN part ON req_id = p_partkey
 """
 
 _PRICE_FACTS = """
@@ -143,7 +146,8 @@ SELECT event_id AS id, concat('user_', cast(user_id AS string)) AS username,
 FROM events WHERE event_type <> 'purchase'
 """
 
-# Accounts that exist before the access log is read.
+# Accounts that exist before the access log is read: a part of the customers, so
+# that some names of the log are known and others are new.
 _USERS = """
 SELECT c_custkey AS id, concat('user_', cast(c_custkey AS string)) AS username
 FROM customer WHERE c_mktsegment = 'BUILDING'
@@ -153,6 +157,7 @@ FROM customer WHERE c_mktsegment = 'BUILDING'
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "base": ((), _BASE),
     "agri": (("base",), _AGRI),
+    "agri_all": (("base",), _AGRI_ALL),
     "agri_raw": (("agri",), _AGRI_RAW),
     "prices": (("base",), _PRICES),
     "production": (("base",), _PRODUCTION),

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from cropline import schemas
@@ -49,17 +52,39 @@ def read_agri(spark: SparkSession, path: Paths, raw: bool = False) -> DataFrame:
     return text if raw else _typed(text, schemas.AGRI, missing_tokens=True)
 
 
+def _by_header(spark: SparkSession, path: Paths) -> list[list[str]]:
+    """Files grouped by equal headers. Lists files and reads first lines only."""
+    try:
+        files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in sorted(files):
+        header = tuple(spark.read.option("header", True).option("encoding", "UTF-8").csv(file).columns)
+        groups.setdefault(header, []).append(file)
+    return list(groups.values())
+
+
 def read_prices(spark: SparkSession, path: Paths, columns: list[str] | None = None) -> DataFrame:
-    """Yearly price files as one table; ``Year`` is the number the file name starts with."""
+    """Yearly price files as one table; ``Year`` is the number the file name starts with.
+
+    Columns are found by name: files may order them differently, have further ones
+    or lack some, which are null then. Without any file the table is empty.
+    """
     year = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.", 1).try_cast("int")
-    text = _read_text_columns(spark, path)
-    found = [f for f in schemas.PRICES.names if f in text.columns]
-    df = _typed(text.select(*found, year.alias("Year")), schemas.PRICES, True, ("Year",))
+    tables = [empty_prices(spark)]
+    for files in _by_header(spark, path):
+        text = _read_text_columns(spark, files)
+        found = [f for f in schemas.PRICES.names if f in text.columns]
+        tables.append(_typed(text.select(*found, year.alias("Year")), schemas.PRICES, True, ("Year",)))
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     return df.select(*columns) if columns else df
 
 
 def empty_prices(spark: SparkSession) -> DataFrame:
-    """Typed price table without rows, for a run that finds no files."""
+    """Typed price table without rows."""
     return spark.createDataFrame([], T.StructType([*schemas.PRICES, T.StructField("Year", T.IntegerType())]))
 
 
@@ -100,17 +125,42 @@ def publish_agri(df: DataFrame, root: str, version: str, file_format: str = "csv
     """Write the fact table as a new version and return its path.
 
     The table usually derives from an earlier version, so it never overwrites
-    the files it is read from.
+    the files it is read from. For large tables see :func:`publish_states`.
     """
     path = f"{root}/version={version}"
     writer = df.select(*schemas.AGRI.names).write.mode("overwrite")
     if file_format == "csv":
+        # Blanks around a text belong to it.
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         writer.option("header", True).option("emptyValue", "").csv(path)
     else:
         writer.format(file_format).save(path)
     return path
 
 
+STATE_KEY = "state_key"
+
+
+def publish_states(df: DataFrame, path: str, parts: int = 16) -> str:
+    """Write facts as Parquet by state, replacing the partitions of the states in
+    ``df`` and no other files.
+
+    The folder of a state is its upper-cased name; rows without a state have one
+    of their own. ``df`` must not be read from partitions that it replaces.
+    """
+    keyed = df.select(*schemas.AGRI.names, F.upper("State").alias(STATE_KEY))
+    part = F.pmod(F.xxhash64(*schemas.AGRI.names), F.lit(parts))
+    writer = keyed.repartition(F.col(STATE_KEY), part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(STATE_KEY).parquet(path)
+    return path
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """Facts published by state; a filter on ``state_key`` prunes files."""
+    layout = T.StructType([*schemas.AGRI, T.StructField(STATE_KEY, T.StringType())])
+    return spark.read.schema(layout).parquet(path)
+
+
 def publish_prices(df: DataFrame, path: str) -> str:
     """Write prices as Parquet by year, so that a filter on ``Year`` prunes files."""
     df.repartition("Year", F.pmod(F.xxhash64(*df.columns), F.lit(64))).write.mode("overwrite").partitionBy(
@@ -140,11 +190,28 @@ def auth_rows(df: DataFrame) -> DataFrame:
     return _log_rows(df.withColumn("action", checked), schemas.AUTH_EVENTS)
 
 
+def write_log(rows: DataFrame, path: str, writer: str, batch: str) -> None:
+    """Write one batch of log rows: the layout of all log writers.
+
+    Each batch has a folder of its own, by day inside. Writing it again replaces
+    it, and no writer touches what another one has written.
+    """
+    dated = rows.withColumn("date", F.to_date("timestamp"))
+    dated.write.mode("overwrite").partitionBy("date").parquet(f"{path}/writer={writer}/batch={batch}")
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTION_LOG) -> DataFrame:
+    """All rows of a log, whoever wrote them, with their ``date``; a filter on it
+    prunes files."""
+    layout = T.StructType([*schema, T.StructField("date", T.DateType())])
+    return spark.read.schema(layout).parquet(path).select(*layout.names)
+
+
 def append_predictions(df: DataFrame, path: str) -> None:
     """Append predictions, failed ones too. Ids come from the caller, because
     parallel writers have no common counter."""
-    prediction_rows(df).write.mode("append").parquet(path)
+    write_log(prediction_rows(df), path, "append", uuid.uuid4().hex)
 
 
 def append_auth_events(df: DataFrame, path: str) -> None:
-    auth_rows(df).write.mode("append").parquet(path)
+    write_log(auth_rows(df), path, "append", uuid.uuid4().hex)

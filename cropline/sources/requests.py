@@ -11,6 +11,8 @@ FIELDS = {
     "year": True, "month": True, "rainfall": True, "min_price": False, "max_price": False,
 }
 
+WHOLE = ("year", "month")
+
 
 def parse_requests(lines: DataFrame, body: str = "value", req_id: Column | None = None) -> DataFrame:
     """Request columns of JSON objects, as text, with ``has_`` flags.
@@ -19,10 +21,19 @@ def parse_requests(lines: DataFrame, body: str = "value", req_id: Column | None
     the flags keep the two apart. The id is the field ``req_id`` unless given.
     """
     parsed = lines.withColumn("_fields", F.from_json(body, "map<string,string>"))
-    fields = F.col("_fields")
+    fields, whole = F.col("_fields"), F.try_parse_json(body)
+
+    def value(name: str) -> Column:
+        if name not in WHOLE:
+            return fields[name]
+        # A JSON number is cut to its whole part; a text must be a whole number itself.
+        kind = F.schema_of_variant(F.try_variant_get(whole, f"$.{name}", "variant"))
+        cut = F.try_variant_get(whole, f"$.{name}", "double").cast("bigint").cast("string")
+        return F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), cut).otherwise(fields[name])
+
     given = fields["req_id"].cast("bigint") if req_id is None else req_id
     flags = [F.map_contains_key(fields, F.lit(n)).alias(f"has_{n}") for n, strict in FIELDS.items() if strict]
-    return parsed.select(given.alias("req_id"), *[fields[n].alias(n) for n in FIELDS], *flags)
+    return parsed.select(given.alias("req_id"), *[value(n).alias(n) for n in FIELDS], *flags)
 
 
 def read_requests(spark: SparkSession, path: str | list[str]) -> DataFrame:

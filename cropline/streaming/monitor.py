@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cropline import schemas
 from cropline.functions.scalars import exact_mean, round_even
 from cropline.operators.monitor import SUCCESS, is_error
-from cropline.sources.files import auth_rows, prediction_rows
+from cropline.sources.files import auth_rows, prediction_rows, write_log
 
 WINDOW = "1 day"
 DELAY = "1 hour"
@@ -44,25 +47,36 @@ def monitor_stream(log: DataFrame, width: str = WINDOW, delay: str = DELAY, pref
 
 
 def read_log_stream(spark: SparkSession, path: str, schema: T.StructType = schemas.PREDICTION_LOG) -> DataFrame:
-    """New files of an append-only log folder."""
-    return spark.readStream.schema(schema).parquet(path)
+    """New files of a log folder."""
+    return spark.readStream.schema(schema).parquet(path).select(*schema.names)
 
 
-def _append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append finished windows to a folder of their own, each exactly once across restarts."""
     writer = stream.writeStream.format("parquet").outputMode("append")
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
-def write_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append finished windows to a folder, each exactly once across restarts."""
-    return _append(stream, path, checkpoint)
+def append_log(stream: DataFrame, rows: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Append ``rows`` of each micro-batch to a log that batch jobs append to as well.
+
+    A stream's batches are named after its checkpoint and number, so a repeated
+    batch replaces itself, and streams do not replace each other's.
+    """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def run(batch: DataFrame, number: int) -> None:
+        write_log(rows(batch), path, name, str(number))
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
 
 def append_prediction_stream(predictions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append streamed predictions to the prediction log."""
-    return _append(prediction_rows(predictions), path, checkpoint)
+    return append_log(predictions, prediction_rows, path, checkpoint)
 
 
 def append_auth_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append streamed access events to the access log."""
-    return _append(auth_rows(events), path, checkpoint)
+    return append_log(events, auth_rows, path, checkpoint)

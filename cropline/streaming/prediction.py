@@ -13,6 +13,7 @@ from cropline.operators.scoring import prediction_log_rows
 from cropline.plans.artefacts import Artefacts
 from cropline.plans.prediction import predict
 from cropline.sources.files import prediction_rows
+from cropline.streaming.monitor import append_log
 
 
 def predict_stream(
@@ -28,16 +29,16 @@ def predict_stream(
 ) -> StreamingQuery:
     """Predict each micro-batch of a request stream and append to the prediction log.
 
-    A batch is written to its own folder, which a repeated batch overwrites, so
-    that every request is logged once. ``req_id`` becomes the log id.
+    A repeated batch replaces itself, so that every request is logged once.
+    Rejected requests are not logged. ``req_id`` becomes the log id.
     """
 
-    def run(batch: DataFrame, number: int) -> None:
+    def rows(batch: DataFrame) -> DataFrame:
         scored = predict(batch, artefacts, as_of, yield_model, price_model, cold_start_states)
-        rows = prediction_log_rows(scored).withColumns(
-            {"id": F.col("req_id"), "username": F.col(user) if user in batch.columns else F.lit("batch")}
+        return prediction_rows(
+            prediction_log_rows(scored).withColumns(
+                {"id": F.col("req_id"), "username": F.col(user) if user in batch.columns else F.lit("batch")}
+            )
         )
-        prediction_rows(rows).write.mode("overwrite").parquet(f"{log_path}/batch={number}")
 
-    writer = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    return append_log(requests, rows, log_path, checkpoint)
