@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cropline.functions import constants as K
 from cropline.functions.scalars import exact_mean, order_bounds, parse_double, parse_int, round_even, scale, unscale
 from cropline.operators import clean as C
+from cropline.operators.aggregates import crop_trends
 
 AS_OF = date(2024, 6, 15)
 DEFAULTS = "State string, District string, Crop string, rainfall double, min_price double, max_price double"
@@ -106,6 +107,36 @@ def test_exact_mean_does_not_depend_on_order(spark, frame):
     assert a == b
 
 
+@pytest.mark.parametrize(
+    "values, mean",
+    [
+        ([1e-9, 3e-9], 2e-9),
+        ([2e19, 0.5], 1e19),
+        ([float("inf"), 1.0], float("inf")),
+        ([float("nan"), 4.0], 4.0),
+        ([-1e-12, -3e-12, None], -2e-12),
+        ([0.1] * 10, 0.1),
+        ([8e12 + 0.25, -8e12], 0.125),
+        ([None], None),
+    ],
+)
+def test_exact_mean_keeps_every_value(frame, values, mean):
+    found = frame("v double", [(v,) for v in values]).agg(exact_mean("v").alias("m")).first().m
+    assert found == (mean if mean is None else pytest.approx(mean, rel=1e-15))
+
+
+def test_opposite_infinities_have_no_mean(frame):
+    found = frame("v double", [(float("inf"),), (float("-inf"),)]).agg(exact_mean("v").alias("m")).first().m
+    assert found != found
+
+
+def test_hard_check_runs_where_its_column_is_pruned(frame):
+    row = ("S", "D", "C", "wet", "1", "2", "3", "2003")
+    raw = frame("State string, District string, Crop string, Rainfall string, Area string, Production string, Modal_Price string, Year string", [row])
+    with pytest.raises(Exception, match="unreadable number"):
+        crop_trends(C.parse_agri(raw)).collect()
+
+
 def test_requests_get_their_defaults(frame):
     df = C.normalise_requests(frame("req_id long, state string, district string, crop string", [(1, "assam", "cachar", "Rice")]), AS_OF)
     row = df.first()

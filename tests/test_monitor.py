@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from cropline import schemas
 from cropline.operators import monitor as R
+from cropline.sources.files import append_predictions, read_log
 from cropline.streaming import monitor as T
 
 LOG = "id long, username string, status string, latency_ms double, total_value double, timestamp timestamp"
@@ -79,7 +80,24 @@ def test_streamed_log_appends(spark, log_folder, tmp_path):
     out, state = str(tmp_path / "copy"), str(tmp_path / "checkpoint")
     stream = T.read_log_stream(spark, log_folder)
     T.append_prediction_stream(stream, out, state).awaitTermination()
-    assert spark.read.parquet(out).count() == 100
+    assert read_log(spark, out).count() == 100
     events = stream.select("id", "username", F.lit("LOGOUT").alias("action"), "timestamp")
     T.append_auth_stream(events, str(tmp_path / "auth"), str(tmp_path / "auth_state")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "auth")).filter("ip_address IS NULL").count() == 100
+    auth = read_log(spark, str(tmp_path / "auth"), schemas.AUTH_EVENTS)
+    assert auth.filter("ip_address IS NULL").count() == 100
+
+
+def test_batch_and_stream_share_a_log(spark, log_folder, tmp_path):
+    out = str(tmp_path / "log")
+    stream = T.read_log_stream(spark, log_folder)
+    T.append_prediction_stream(stream.filter("id = 1"), out, str(tmp_path / "a")).awaitTermination()
+    append_predictions(spark.read.parquet(log_folder).filter("id = 2"), out)
+    T.append_prediction_stream(stream.filter("id = 3"), out, str(tmp_path / "b")).awaitTermination()
+    append_predictions(spark.read.parquet(log_folder).filter("id = 30"), out)
+    log = read_log(spark, out)
+    assert sorted(r.id for r in log.collect()) == [1, 2, 3, 30]
+    assert [r.id for r in log.filter("date = '2024-01-02'").collect()] == [30]
+    # The log is a stream's input as well.
+    copy = T.append_prediction_stream(T.read_log_stream(spark, out), str(tmp_path / "copy"), str(tmp_path / "c"))
+    copy.awaitTermination()
+    assert read_log(spark, str(tmp_path / "copy")).count() == 4

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cropline.functions import constants as K
 from cropline.operators import clean as C
 from cropline.plans.prediction import predict, published
+from cropline.sources.files import read_log
 from cropline.sources.requests import parse_requests, read_requests, response_json
 from cropline.streaming.prediction import predict_stream
 from tests.test_scoring import world  # noqa: F401
@@ -54,5 +55,12 @@ def test_request_stream_is_logged_once(spark, request_file, world, tmp_path):  #
         lines = spark.readStream.text(request_file)
         requests = parse_requests(lines).withColumn("given_price", F.lit(100.0))
         predict_stream(requests, world[2], AS_OF, out, state).awaitTermination()
-    log = spark.read.parquet(out)
-    assert log.count() == 6 and log.filter("status LIKE 'ERROR%'").count() == 4
+    assert sorted(r.id for r in read_log(spark, out).collect()) == [1, 3]
+
+
+def test_whole_number_fields(spark):
+    bodies = [{"year": 2024.0}, {"year": 2024.9}, {"year": 2024}, {"year": "2024"}, {"year": "2024.0"}, {"month": 6.0}, {}]
+    lines = spark.createDataFrame([(i, json.dumps({**PLACE, **b})) for i, b in enumerate(bodies)], "i long, value string")
+    df = C.validate_requests(C.normalise_requests(parse_requests(lines, req_id=F.col("i")), AS_OF))
+    rows = {r.req_id: (r.year, r.month, r.reason) for r in df.collect()}
+    assert all(rows[i] == (2024, 6, None) for i in (0, 1, 2, 3, 5, 6)) and rows[4][2] == K.BAD_DATE

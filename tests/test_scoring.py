@@ -7,7 +7,7 @@ from cropline.operators import scoring as M
 from cropline.plans.artefacts import build_artefacts, derive_artefacts, fit_vocabulary, load_artefacts
 from cropline.plans.prediction import predict, published
 from cropline.session import materialise
-from cropline.sources.files import append_predictions
+from cropline.sources.files import append_predictions, read_log
 
 AS_OF = date(2024, 6, 15)
 TRENDS = "State string, District string, Crop string, year int, yield double, price double"
@@ -36,10 +36,16 @@ def test_revenue_counts_ten_quintals_per_tonne(frame):
     assert M.valuation(frame(KEYED, [(1, "S", "D", "C", 1.0, 2.5, 100.0)])).first().total_value == 2500.0
 
 
-def test_failed_rows_are_logged_with_zeros(frame):
-    df = frame(KEYED + ", total_value double, reason string", [(1, "S", "D", "C", 1.0, 2.0, 3.0, 60.0, None), (2, "S", "D", "C", 1.0, None, None, None, "no area")])
-    rows = {r.req_id: (r.predicted_yield, r.total_value, r.status) for r in M.prediction_log_rows(df).collect()}
-    assert rows == {1: (2.0, 60.0, "SUCCESS"), 2: (0.0, 0.0, "ERROR: no area")}
+def test_failed_rows_are_logged_with_zeros_and_rejected_ones_not(frame):
+    rows = [
+        (1, "S", "D", "C", 1.0, 2.0, 3.0, 60.0, None, None),
+        (2, "S", "D", "C", 1.0, None, None, None, "no area", None),
+        (3, "S", "D", "C", 1.0, None, None, None, None, "model missing"),
+    ]
+    df = frame(KEYED + ", total_value double, reason string, error string", rows)
+    logged = {r.req_id: (r.predicted_yield, r.total_value, r.status) for r in M.prediction_log_rows(df).collect()}
+    assert logged == {1: (2.0, 60.0, "SUCCESS"), 3: (0.0, 0.0, "ERROR: model missing")}
+    assert [tuple(r) for r in M.rejected_requests(df).collect()] == [(2, "no area")]
 
 
 @pytest.fixture(scope="module")
@@ -91,8 +97,10 @@ def test_models_fit_and_predict(world, frame, tmp_path):
     log = M.prediction_log_rows(df).withColumns({"id": F.col("req_id"), "username": F.lit("ada")})
     append_predictions(log, str(tmp_path / "log"))
     append_predictions(log, str(tmp_path / "log"))
-    stored = df.sparkSession.read.parquet(str(tmp_path / "log"))
-    assert stored.count() == 6 and stored.filter("status LIKE 'ERROR: Area%'").count() == 2
+    # Rejected requests are answered and not logged.
+    stored = read_log(df.sparkSession, str(tmp_path / "log"))
+    assert stored.count() == 4 and stored.filter("status <> 'SUCCESS'").count() == 0
+    assert [r.req_id for r in M.rejected_requests(df).collect()] == [3]
 
 
 def test_training_fit_explains_something(world):

@@ -1,7 +1,7 @@
 import pytest
 
 from cropline import schemas
-from cropline.plans.alignment import refresh_state
+from cropline.plans.alignment import refresh_partition, refresh_state
 from cropline.sources import files as S
 
 
@@ -45,15 +45,16 @@ def test_only_wanted_columns(spark, price_folder):
     assert S.read_prices(spark, price_folder, ["State", "Year"]).columns == ["State", "Year"]
 
 
-def test_other_header_order_is_refused(spark, price_folder, tmp_path):
-    write(tmp_path / "p" / "2005.csv", "District,State,Commodity,Min_Price,Max_Price,Modal_Price", "d,Assam,Paddy,1,2,3")
-    with pytest.raises(Exception):
-        S.read_prices(spark, price_folder).collect()
+def test_columns_are_found_by_name(spark, price_folder, tmp_path):
+    write(tmp_path / "p" / "2005.csv", "Modal_Price,Note,District,State,Commodity,Market,Min_Price", "3,x,d,Assam,Paddy,m,1")
+    rows = {r.Year: r for r in S.read_prices(spark, price_folder).filter("State = 'Assam'").collect()}
+    assert (rows[2005].Min_Price, rows[2005].Max_Price, rows[2005].Modal_Price, rows[2005].Market) == (1.0, None, 3.0, "m")
+    assert rows[2003].Market is None and rows[2003].Modal_Price == 1500.0
 
 
-def test_no_files_give_an_empty_typed_table(spark):
-    df = S.empty_prices(spark)
-    assert df.count() == 0 and dict(df.dtypes)["Year"] == "int"
+def test_no_files_give_an_empty_typed_table(spark, tmp_path):
+    df = S.read_prices(spark, str(tmp_path / "none" / "*.csv"))
+    assert df.count() == 0 and dict(df.dtypes)["Year"] == "int" and df.columns[:3] == ["State", "District", "Market"]
 
 
 def test_rainfall_of_one_subdivision(spark, tmp_path):
@@ -92,6 +93,22 @@ def test_refresh_publishes_a_new_version(spark, frame, tmp_path, price_folder, f
     assert {(r.State, r.District, r.Modal_Price) for r in df.collect()} == {("BIHAR", "D", 100.0), ("ASSAM", "NEW", 1500.0)}
 
 
+def test_refresh_leaves_other_states_alone(spark, tmp_path, price_folder):
+    path = write(tmp_path / "agri.csv", AGRI, "Assam,OLD,2003,Rabi,Rice,2,8,X,0.5,100,-1,1", "BIHAR,D,2003,Rabi,Rice,2,8,X,0.5,100,-1,1",
+                 ",D,2003,Rabi,Rice,2,8,X,0.5,100,-1,1")
+    production = write(tmp_path / "prod.csv", ",".join(schemas.PRODUCTION.names), "Assam,new,2003,Kharif,Rice,2,8")
+    rain = write(tmp_path / "rain.csv", ",".join(schemas.RAINFALL.names), "Assam & Meghalaya,2003," + ",".join(["100"] * 17))
+    root = S.publish_states(S.read_agri(spark, path), str(tmp_path / "states"))
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "states").rglob("*.parquet")}
+    args = S.read_prices(spark, price_folder), S.read_rainfall(spark, rain), "ASSAM", "ASSAM & MEGHALAYA"
+    refresh_partition(root, S.read_production(spark, production), *args)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "states").rglob("*.parquet")}
+    kept = {f for f in before if "state_key=ASSAM" not in str(f)}
+    assert len(kept) == 2 and all(after.get(f) == before[f] for f in kept) and not (set(before) - kept) & set(after)
+    rows = {(r.State, r.District) for r in S.read_states(spark, root).collect()}
+    assert rows == {("BIHAR", "D"), (None, "D"), ("ASSAM", "NEW")}
+
+
 def test_prices_by_year_are_pruned(spark, price_folder, tmp_path, capsys):
     path = S.publish_prices(S.read_prices(spark, price_folder), str(tmp_path / "by_year"))
     df = spark.read.parquet(path).filter("Year = 2004")
@@ -104,7 +121,7 @@ def test_access_log(spark, frame, tmp_path):
     path = str(tmp_path / "auth")
     S.append_auth_events(frame("id long, username string, action string", [(1, "ada", "LOGOUT")]), path)
     S.append_auth_events(frame("id long, username string, action string, ip_address string", [(2, "bob", "REGISTER", "10.0.0.1")]), path)
-    rows = {r.id: r for r in spark.read.parquet(path).collect()}
+    rows = {r.id: r for r in S.read_log(spark, path, schemas.AUTH_EVENTS).collect()}
     assert rows[1].ip_address is None and rows[2].timestamp is not None
     with pytest.raises(Exception, match="unknown action"):
         S.append_auth_events(frame("id long, username string, action string", [(3, "eve", "HACK")]), path)

@@ -95,3 +95,45 @@ def test_sample_pairs_keeps_the_first_of_each_pair(spark):
 
 def test_distinct_head(frame):
     assert [r[0] for r in S.distinct_head(frame("s string", [("c",), ("a",), ("a",), ("b",)]), "s", 2).collect()] == ["a", "b"]
+
+
+FACTS = "State string, District string, Season string, Year int, SUBDIVISION string, Rainfall double, Min_Price double, Max_Price double"
+
+
+def test_moments_by_key_equal_the_joined_rows(spark, frame):
+    rng = random.Random(4)
+    rows = [
+        (f"S{i % 3} ", f"d{i % 5}", ["Rabi ", "Kharif"][i % 2], 2000 + i % 4, f" r{i % 6}",
+         None if i % 17 == 0 else float("nan") if i % 19 == 0 else rng.gauss(0, 1), rng.gauss(0, 1), None if i % 7 == 0 else rng.gauss(0, 1))
+        for i in range(400)
+    ]
+    facts = frame(FACTS, rows)
+    rain = frame(
+        "SUBDIVISION string, YEAR int, JF double, MAM double, JJAS double",
+        [(f"R{k}", y, rng.random() * 900, 5.0, None if y == 2001 else rng.random()) for k in range(5) for y in range(2000, 2004)],
+    )
+    joined, cols = S.join_rainfall(facts, rain), ["JF", "MAM", "JJAS"]
+    fast = {r.column: r for r in S.rank_rainfall(facts, rain, cols).collect()}
+    for row in S.rank_correlations(joined, "Rainfall", cols).collect():
+        assert fast[row.column]["rank"] == row["rank"]
+        assert fast[row.column].correlation == (None if row.correlation is None else pytest.approx(row.correlation, abs=1e-12))
+    assert fast["MAM"].correlation is None
+    slow = {r.Season: r for r in S.fit_best_rain(joined, cols, 0).collect()}
+    for row in S.best_rainfall(facts, rain, cols).collect():
+        want = slow[row.Season]
+        assert (row.column, row.n) == (want.column, want.n)
+        assert [row.slope, row.intercept, row.r2] == pytest.approx([want.slope, want.intercept, want.r2], rel=1e-9)
+    means = frame("State string, District string, Year int, Min_Price double, Max_Price double",
+                  [(f"S{i}", f"D{j}", y, 100.0 * i + j + y % 7, 50.0 * j - y % 3) for i in range(3) for j in range(5) for y in range(2000, 2003)])
+    priced = S.join_prices(facts, means)
+    for row in S.fit_price_scale(facts, means).collect():
+        want = S.fit_scale(priced, f"{row.price}_x", f"{row.price}_y", min_rows=10, count_pairs=False).first()
+        assert row.n == want.n
+        assert [row.slope, row.intercept, row.r2] == pytest.approx([want.slope, want.intercept, want.r2], rel=1e-9, abs=1e-9)
+
+
+def test_small_side_is_broadcast(spark, frame, capsys):
+    facts = frame(FACTS, [("S", "d", "Rabi", 2000, "R", 1.0, 1.0, 1.0)])
+    rain = frame("SUBDIVISION string, YEAR int, JF double", [("R", 2000, 1.0)])
+    S.join_rainfall(facts, rain).explain()
+    assert "Exchange hashpartitioning" not in capsys.readouterr().out
