@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cropline.llm.common import column
 from cropline.session import materialise
@@ -244,7 +244,7 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 
 def top_k(
     vectors: DataFrame,
-    is_query,
+    is_query: Column | str,
     id_column: str = "vec_id",
     vector_column: str = "embedding",
     k: int = K,
@@ -256,11 +256,10 @@ def top_k(
     """
     spark = vectors.sparkSession
     rows = materialise(integer_vectors(vectors, id_column, vector_column, scale))
-    total, dim, longest = rows.agg(F.count(F.lit(1)), F.max("_dim"), F.max("_norm")).first()
-    if not total or not dim:
-        dim = dim or 0
-        if not total:
-            return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    total, dim = rows.agg(F.count(F.lit(1)), F.max("_dim")).first()
+    if not total:
+        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    dim = max(dim, 1)
     turn = rotation(rows, dim)
 
     # Blocks of rows: bands of falling norm, cut by a hash where they are too large.

@@ -99,13 +99,9 @@ class Matcher:
         return found, len(low.split())
 
 
-def _values(found: Counter, words: int, features: int) -> np.ndarray:
-    """Presence of each feature, then its frequency in a thousand words."""
-    row = np.zeros(2 * features, np.float32)
-    for feature, n in found.items():
-        row[feature] = 1.0
-        row[features + feature] = np.log1p(1000.0 * n / max(words, 1)) / 4
-    return row
+def _rate(n: int, words: int) -> float:
+    """Frequency of a feature in a thousand words, on a scale near that of presence."""
+    return float(np.log1p(1000.0 * n / max(words, 1))) / 4
 
 
 @dataclass(frozen=True)
@@ -122,7 +118,7 @@ class Model:
         score, size = 0.0, len(self.starts)
         for feature in sorted(found):
             score += self.weights[feature]
-            score += self.weights[size + feature] * float(np.log1p(1000.0 * found[feature] / max(words, 1))) / 4
+            score += self.weights[size + feature] * _rate(found[feature], words)
         above = [1.0 / (1.0 + float(np.exp(cut - score))) for cut in self.cuts]
         return above[0], sum(above)
 
@@ -196,16 +192,25 @@ def fit_severity(
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(starts)
         for batch in batches:
-            rows = [_values(*matcher.counts(text.as_py()), len(starts)) for text in batch.column(2)]
+            found = [matcher.counts(text.as_py()) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())],
-                ["_id", "_grade", "_x"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array([sorted(f) for f, _ in found], pa.list_(pa.int32())),
+                    pa.array([[_rate(f[i], words) for i in sorted(f)] for f, words in found], pa.list_(pa.float64())),
+                ],
+                ["_id", "_grade", "_has", "_rates"],
             )
 
     kind = sample.schema["_id"].dataType.simpleString()
-    # At most ``training`` rows of ``2 * FEATURES`` numbers.
-    rows = sample.mapInArrow(features, f"_id {kind}, _grade int, _x binary").orderBy("_id", "_grade", "_x").collect()
-    x = np.stack([np.frombuffer(r["_x"], "<f4") for r in rows]).astype(np.float64)
+    # At most ``training`` rows, each with the few chosen features that it has.
+    sparse = sample.mapInArrow(features, f"_id {kind}, _grade int, _has array<int>, _rates array<double>")
+    rows = sparse.orderBy("_id", "_grade", "_has", "_rates").collect()
+    x = np.zeros((len(rows), 2 * len(starts)))
+    for values, row in zip(x, rows):
+        values[row["_has"]] = 1.0
+        values[[len(starts) + i for i in row["_has"]]] = row["_rates"]
     weights, cuts = _fit(x, np.array([r["_grade"] for r in rows]))
     return Model(tuple(starts), tuple(map(float, weights)), tuple(map(float, cuts)))
 
