@@ -7,24 +7,29 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Lookup rows are a key and a few values, so this many take some tens of megabytes.
+# A table that is broadcast has at most so many rows, and bytes as JSON text.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 128 << 20
 HOT_SHARE = 1e-5
 HOT_ROWS = 1_000_000
 
 
-_sizes: WeakKeyDictionary[DataFrame, dict[int, bool]] = WeakKeyDictionary()
+_sizes: WeakKeyDictionary[DataFrame, dict[tuple[int, int], bool]] = WeakKeyDictionary()
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows.
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes.
 
-    Runs a job, once per table: ``df`` should be stored or materialised.
+    Rows with arrays or long texts can be few and large, hence the second bound.
+    Runs a job over at most ``rows + 1`` rows, once per table: ``df`` should be
+    stored or materialised.
     """
     known = _sizes.setdefault(df, {})
-    if rows not in known:
-        known[rows] = df.limit(rows + 1).count() <= rows
-    return known[rows]
+    if (rows, size) not in known:
+        text = F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]))
+        count, length = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+        known[rows, size] = count <= rows and (length or 0) <= size
+    return known[rows, size]
 
 
 def _all(conditions: list[Column]) -> Column:

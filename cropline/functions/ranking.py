@@ -58,14 +58,37 @@ def sketch(value: str, probabilities: list[float], accuracy: int) -> Column:
     return F.percentile_approx(not_nan(value), edges, accuracy)
 
 
+def _running(counts: DataFrame, window_rows: int) -> DataFrame:
+    """Add ``_last``: the rank of the last row of each ``(probability, _v)``."""
+    ordered = F.col("_v").asc_nulls_first()
+    if fits_broadcast(counts, window_rows):
+        return counts.withColumn("_last", F.sum("_n").over(Window.partitionBy("probability").orderBy(ordered)) - 1)
+    numbered = materialise(counts.orderBy("probability", ordered).withColumn("_id", F.monotonically_increasing_id()))
+    numbered = numbered.withColumn("_slice", F.shiftright("_id", 33))
+    slices = numbered.groupBy(F.col("probability").alias("_p"), F.col("_slice").alias("_s")).agg(F.sum("_n").alias("_in"))
+    before = Window.partitionBy("_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = slices.select("_p", "_s", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_offset"))
+    same = (F.col("probability") == F.col("_p")) & (F.col("_slice") == F.col("_s"))
+    upto = Window.partitionBy("probability", "_slice").orderBy("_id")
+    return numbered.join(F.broadcast(offsets), same).withColumn(
+        "_last", F.col("_offset") + F.sum("_n").over(upto) - 1
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: list[float], summary: DataFrame | None = None, accuracy: int = ACCURACY
+    df: DataFrame,
+    value: str,
+    probabilities: list[float],
+    summary: DataFrame | None = None,
+    accuracy: int = ACCURACY,
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Quantiles with linear interpolation, one row ``(probability, quantile)`` each.
 
     A sketch brackets every quantile first. Only the distinct values inside the
     brackets, a share of ``8 / accuracy`` of the rows each, are then counted and
-    walked in order, so that no task sees the whole column. ``summary`` may hold
+    walked in order, by a window while they are few and else in sorted partitions
+    with offsets, so that no task sees the whole column or a whole large bracket. ``summary`` may hold
     the :func:`sketch` and the number of values in its row as ``_edges`` and
     ``_total``.
     """
@@ -98,10 +121,10 @@ def exact_quantiles(
         )
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    upto = Window.partitionBy("probability").orderBy(F.col("_v").asc_nulls_first())
+    placed = materialise(placed)
     position = F.col("probability") * (F.col("_total") - 1)
     ranked = (
-        placed.withColumn("_last", F.sum("_n").over(upto) - 1)
+        _running(placed, window_rows)
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
         .withColumn("_total", total)
     )

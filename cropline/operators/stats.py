@@ -207,8 +207,13 @@ def describe(df: DataFrame, name: str) -> DataFrame:
 
 
 def describe_difference(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Description of ``a`` minus the standardised ``b``."""
-    return describe(standardise(df, b, "_z").select((F.col(a) - F.col("_z")).alias("_d")), "_d")
+    """Description of ``a`` minus the standardised ``b``.
+
+    The input is read twice, for the moments of ``b`` and for the difference,
+    which is stored as a table of one column.
+    """
+    pair = df.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    return describe(materialise(standardise(pair, "_b").select((F.col("_a") - F.col("_b")).alias("_d"))), "_d")
 
 
 def correlation(x: str, y: str) -> Column:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,14 +43,39 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_tables: ContextVar[list[str] | None] = ContextVar("tables", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that :func:`materialise` stores inside, at the end.
+
+    For work that ends with an action, such as a micro-batch. A DataFrame that is
+    returned and read later needs its tables.
+    """
+    token = _tables.set([])
+    try:
+        yield
+    finally:
+        paths = _tables.get() or []
+        _tables.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and read it back from a table in the shared folder.
 
     Used for tables that several joins of one query read, so that their lineage
     is neither planned nor run more than once and a lost executor does not
     restart it. As Parquet the table can be pruned, and its size is known to the
-    planner. The folder is not emptied: give it a retention.
+    planner. Outside of :func:`passing_tables` the folder is not emptied: give it
+    a retention.
     """
     path = f"{shared_folder(df.sparkSession)}/cropline/{uuid.uuid4().hex}"
+    stored = _tables.get()
+    if stored is not None:
+        stored.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from cropline import schemas
 from cropline.functions.scalars import exact_mean, round_even
 from cropline.operators.monitor import SUCCESS, is_error
+from cropline.session import passing_tables
 from cropline.sources.files import auth_rows, prediction_rows, write_log
 
 WINDOW = "1 day"
@@ -66,7 +67,9 @@ def append_log(stream: DataFrame, rows: Callable[[DataFrame], DataFrame], path:
     name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def run(batch: DataFrame, number: int) -> None:
-        write_log(rows(batch), path, name, str(number))
+        # A long stream must not leave tables behind with every batch.
+        with passing_tables(batch.sparkSession):
+            write_log(rows(batch), path, name, str(number))
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -103,13 +103,20 @@ def test_ordinals_on_both_ways(spark, window_rows):
         assert [v for _, v in mine] == sorted(v for _, v in mine)
 
 
+@pytest.mark.parametrize("window_rows", [0, 1000])
 @pytest.mark.parametrize("accuracy", [200, 100_000])
-def test_exact_quantiles_with_a_hot_value(spark, accuracy):
+def test_exact_quantiles_with_a_hot_value(spark, accuracy, window_rows):
     import numpy as np
 
     values = [5.0] * 3000 + [float((i * 7919) % 10_007) / 3 for i in range(6000)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
     wanted = [0.1, 0.25, 0.5, 0.75, 0.99]
-    found = dict(exact_quantiles(df, "x", wanted, accuracy=accuracy).collect())
+    found = dict(exact_quantiles(df, "x", wanted, accuracy=accuracy, window_rows=window_rows).collect())
     for p in wanted:
         assert found[p] == pytest.approx(float(np.quantile(values, p)), abs=1e-9)
+
+
+def test_few_large_rows_do_not_fit(spark):
+    wide = spark.range(3).selectExpr("id", "repeat('x', 1000) AS text")
+    assert joins.fits_broadcast(wide, 10) and not joins.fits_broadcast(wide, 10, size=2000)
+    assert not joins.fits_broadcast(wide, 2)

@@ -1,3 +1,4 @@
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -33,3 +34,13 @@ def test_materialised_rows_keep_types(frame):
     stored = session.materialise(df)
     assert stored.schema == df.schema and stored.collect() == df.collect()
     assert session.materialise(df.limit(0)).count() == 0
+
+
+def test_passing_tables_are_deleted(spark):
+    with session.passing_tables(spark):
+        table = session.materialise(spark.range(5))
+        assert table.count() == 5
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    assert session.materialise(spark.range(3)).count() == 3
