@@ -16,11 +16,15 @@ def _entries(vocab: DataFrame, feature: str) -> DataFrame:
 
 
 def _first(vocab: DataFrame, feature: str) -> tuple[Column, Column]:
-    """Value and code of the first entry."""
-    first = _entries(vocab, feature).agg(
-        F.min_by("value", "ordinal").alias("v"), F.min("ordinal").alias("o")
-    )
-    return first.select("v").scalar(), first.select("o").scalar()
+    """Value and code of the first entry.
+
+    The firsts of all features, few as they are, come from one aggregate: the
+    same subquery for every feature, so that it runs once in a plan.
+    """
+    entry = F.min(F.struct(F.col("ordinal").alias("o"), F.col("value").alias("v"))).alias("first")
+    firsts = vocab.groupBy("feature").agg(entry)
+    one = firsts.agg(F.map_from_entries(F.collect_list(F.struct("feature", "first"))).alias("m")).scalar()
+    return one[F.lit(feature)]["v"], one[F.lit(feature)]["o"]
 
 
 def _by_folded_name(vocab: DataFrame, feature: str) -> DataFrame:

@@ -20,6 +20,7 @@ from cropline.operators.scoring import (
     valuation,
 )
 from cropline.plans.artefacts import Artefacts
+from cropline.session import materialise
 
 
 def _filled(given: str, default: Column) -> Column:
@@ -69,6 +70,12 @@ def predict(
     df = validate_requests(normalise_requests(requests, as_of))
     df = choose_market_inputs(df, price_vocab)
     df = resolve_inputs(df, artefacts.defaults)
+    rejected = None
+    if yield_model is not None or price_model is not None:
+        # Models see the valid rows only.
+        df = materialise(df)
+        rejected = df.filter(F.col("reason").isNotNull())
+        df = df.filter(F.col("reason").isNull())
 
     if yield_model is None:
         df = fallback_yield(df, artefacts.trends)
@@ -86,6 +93,8 @@ def predict(
         df = df.withColumn("predicted_price", clamp(F.col("given_price").cast("double")))
     else:
         df = score_price(encode_price_inputs(df, price_vocab), price_model)
+    if rejected is not None:
+        df = df.unionByName(rejected, allowMissingColumns=True)
 
     valid = F.col("reason").isNull()
     df = df.withColumns({c: F.when(valid, F.col(c)) for c in ("predicted_yield", "predicted_price")})
