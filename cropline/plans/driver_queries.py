@@ -34,7 +34,7 @@ from cropline.plans.artefacts import (
     fit_vocabulary,
 )
 from cropline.plans.prediction import encode_price_inputs, predict as score_requests, published
-from cropline.plans.views import ALIASES, COLD_STATE, VIEWS, view
+from cropline.plans.views import ALIASES, COLD_STATE, VIEWS, tables_of, version, view
 from cropline.session import materialise, shared_folder
 from cropline.sources import files as IO
 from cropline.streaming import monitor as T
@@ -64,9 +64,14 @@ def _agri(spark, sf):
     return view(spark, sf, "agri")
 
 
-@lru_cache(maxsize=4)
 def _artefacts(spark, sf) -> Artefacts:
-    """Lookup tables, built once per session and folder as a service would."""
+    """Lookup tables, built once per session and state of the tables they come from."""
+    tables = {*tables_of("agri"), *tables_of("price_facts")}
+    return _built(spark, sf, tuple(version(spark, f"{sf}/{t}.parquet") for t in sorted(tables)))
+
+
+@lru_cache(maxsize=4)
+def _built(spark, sf, changed) -> Artefacts:
     agri = _agri(spark, sf)
     return derive_artefacts(agri, fit_vocabulary(agri, view(spark, sf, "price_facts")))
 

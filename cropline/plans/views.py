@@ -192,13 +192,21 @@ def tables_of(name: str) -> list[str]:
     return [t for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)]
 
 
+def version(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Time of the last change and length of a file or folder, for caches by content."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+    return status.getModificationTime(), status.getLen()
+
+
 @lru_cache(maxsize=256)
-def _table(spark: SparkSession, path: str) -> DataFrame:
+def _table(spark: SparkSession, path: str, changed: tuple[int, int]) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view over the Parquet tables of a folder."""
     for table in tables_of(name):
-        _table(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
+        path = f"{sf_dir}/{table}.parquet"
+        _table(spark, path, version(spark, path)).createOrReplaceTempView(table)
     return spark.sql(f"{with_clause([name])} SELECT * FROM {name}")
