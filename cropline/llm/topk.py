@@ -262,7 +262,8 @@ def top_k(
     dim = max(dim, 1)
     turn = rotation(rows, dim)
 
-    # Blocks of rows: bands of falling norm, cut by a hash where they are too large.
+    # Blocks of rows: bands of falling norm, cut by row number where they are too
+    # large, so that rows alike in every column are spread as well.
     size = min(MOST_ROWS, max(LEAST_ROWS, -(-total // SPREAD)))
     bands = min(BANDS, -(-total // size))
     marks = [i / bands for i in range(1, bands)]
@@ -276,7 +277,7 @@ def top_k(
     places = materialise(counts.withColumn("_base", F.coalesce(F.sum("_cuts").over(before), F.lit(0))))
     blocks = places.agg(F.sum("_cuts")).first()[0]
     dealt = banded.join(F.broadcast(places), "_band").withColumn(
-        "_block", (F.col("_base") + F.pmod(F.xxhash64("_id"), F.col("_cuts"))).cast("bigint")
+        "_block", (F.col("_base") + F.pmod(F.monotonically_increasing_id(), F.col("_cuts"))).cast("bigint")
     )
     kept = ["_block", "_id", "_v", "_norm"]
     packed = materialise(dealt.select(*kept).groupBy("_block").applyInPandas(_pack(dim, "_block"), f"_block bigint, {_PACKED}"))
