@@ -4,16 +4,19 @@ A source's target over its size is the expected number of copies of each of its
 documents: a whole part that all get and a fraction. The fractions are rounded in
 pairs. Words move at random from one document's expected copies to the other's,
 so that the expectation of both stays, until one of the fractions is 0 or 1; the
-other goes on to the next pair. The sum of expected words never changes, so a
-source ends within half a document of its target. Documents are rounded in leaves
-of about ``LEAF`` documents; each leaf has one fraction left, and these are combined
-by a tree of the same fan-in until a source has a single one, which goes to the
-nearer side.
+other goes on to the next pair. The sum of expected words never changes, until a single fraction is left, which
+goes to the nearer side. Documents are rounded in leaves of about ``LEAF`` documents;
+each leaf has one fraction left, and these are combined by a tree of the same fan-in.
+This is done first for the documents above the mean size of their source, then for
+the others, whose fractions are shifted alike by the few words that the first pass
+is off: a source ends within half of its mean document of its target, or, where the
+short documents cannot take the shift, within half of its largest.
 
 Defined results: a null text has size 0 and a document of size 0 is never taken;
 the null source is a source like any other and ranks last; a null id is an
-ordinary id; rows that repeat an id are documents of their own. A source without
-words has target 0. An empty table gives an empty result. All draws are hashes of
+ordinary id. Rows that repeat id, text and source are rounded together, however many
+they are, and share their copies as evenly as can be; rows that repeat an id only are
+documents of their own. A source without words has target 0. An empty table gives an empty result. All draws are hashes of
 ids and a seed, so a rerun agrees. Extra columns are not read.
 """
 
@@ -198,6 +201,29 @@ def _round_fractions(items: DataFrame, mix: Mix, id_type: str) -> DataFrame:
     return result
 
 
+def _rounded(rated: DataFrame, mix: Mix) -> DataFrame:
+    """``_key``, ``_id``, ``_size``, ``_part``, ``_extra``, ``_whole``, ``_rows`` of open documents."""
+    items = rated.select(
+        "_key",
+        # The fold passes through what it does not need.
+        F.struct("_id", "_whole", "_rows", "_fraction").alias("_id"),
+        "_size",
+        F.col("_fraction").alias("_part"),
+        F.pmod(F.xxhash64(F.lit(mix.seed + 1), "_id"), F.col("_leaves")).alias("_leaf"),
+        "_leaves",
+    )
+    rounded = _round_fractions(items, mix, items.schema["_id"].dataType.simpleString())
+    return rounded.select(
+        "_key",
+        F.col("_id._id").alias("_id"),
+        "_size",
+        F.col("_id._fraction").alias("_part"),
+        "_extra",
+        F.col("_id._whole").alias("_whole"),
+        F.col("_id._rows").alias("_rows"),
+    )
+
+
 def mix_sources(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -218,27 +244,41 @@ def mix_sources(
     targets = materialise(
         source_targets(sizes, mix)
         .withColumn("_rate", F.when(F.col("_total") > 0, F.col("_target") / F.col("_total")).otherwise(0.0))
-        .withColumn("_whole", F.floor("_rate").cast("int"))
-        .withColumn("_fraction", F.col("_rate") - F.floor("_rate"))
         .withColumn("_leaves", F.greatest(F.ceil(F.col("_items") / F.lit(mix.leaf)), F.lit(1)))
         .withColumnRenamed("_key", "_k")
     )
-    rated = lookup(sizes.drop("_source"), targets, {"_key": "_k"}, "inner")
+    alike = sizes.groupBy("_key", "_id", "_size").agg(F.count(F.lit(1)).alias("_rows"))
+    expected = F.col("_rate") * F.col("_rows")
+    rated = lookup(alike, targets, {"_key": "_k"}, "inner").withColumns(
+        {"_whole": F.floor(expected), "_fraction": expected - F.floor(expected)}
+    )
+    rated = materialise(rated)
     is_open = (F.col("_size") > 0) & (F.col("_fraction") > 0)
-    items = rated.filter(is_open).select(
-        "_key",
-        "_id",
-        "_size",
-        F.col("_fraction").alias("_part"),
-        F.pmod(F.xxhash64(F.lit(mix.seed + 1), "_id"), F.col("_leaves")).alias("_leaf"),
-        "_leaves",
+    is_long = F.col("_size") > F.try_divide("_total", "_items")
+    long = materialise(_rounded(rated.filter(is_open & is_long), mix))
+    short = rated.filter(is_open & ~is_long)
+    # What the long documents are off, in words, moves the fractions of the short ones.
+    off = long.groupBy("_key").agg(F.sum((F.col("_extra") - F.col("_part")) * F.col("_size")).alias("_off"))
+    room = short.groupBy(F.col("_key").alias("_room")).agg(F.sum("_size").alias("_words"))
+    shifts = materialise(
+        off.join(room, F.col("_key") == F.col("_room")).select(
+            F.col("_key").alias("_k"), (-F.col("_off") / F.col("_words")).alias("_shift")
+        )
     )
-    rounded = lookup(
-        _round_fractions(items, mix, sizes.schema["_id"].dataType.simpleString()), targets, {"_key": "_k"}, "inner"
+    shifted = F.col("_fraction") + F.coalesce("_shift", F.lit(0.0))
+    short = lookup(short, shifts, {"_key": "_k"}, source=targets).withColumn(
+        "_fraction", F.least(F.greatest(shifted, F.lit(0.0)), F.lit(1.0))
     )
-    plain = rated.filter(~is_open).withColumn("_extra", F.lit(0))
-    copies = (F.col("_whole") + F.col("_extra")) * (F.col("_size") > 0).cast("int")
-    return plain.select(*rounded.columns).unionByName(rounded).select(
+    rounded = long.unionByName(_rounded(short, mix)).drop("_part")
+    plain = rated.filter(~is_open).select("_key", "_id", "_size", F.lit(0).alias("_extra"), "_whole", "_rows")
+    both = lookup(plain.unionByName(rounded), targets.select("_k", "_total", "_target"), {"_key": "_k"}, "inner")
+    total = (F.col("_whole") + F.col("_extra")) * (F.col("_size") > 0).cast("int")
+    even, over = F.floor(total / F.col("_rows")), total % F.col("_rows")
+    single = both.filter("_rows = 1").withColumn("_copies", total)
+    several = both.filter("_rows > 1").withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))))
+    several = several.withColumn("_copies", even + (F.col("_row") <= over).cast("int")).drop("_row")
+    copies = F.col("_copies").cast("int")
+    return single.unionByName(several).select(
         F.col("_id.id").alias("_id"),
         F.col("_id.mark").alias("_mark"),
         F.col("_size").alias("size"),

@@ -42,6 +42,9 @@ def test_mix_meets_its_targets(spark, leaf):
         assert r.source_size == sizes[source] and math.isclose(r.target, targets[source], rel_tol=1e-9)
     for source, target in targets.items():
         assert abs(taken[source] - target) <= largest[source] / 2 + 1e-3
+    # Long documents are rounded first, so most sources end far closer.
+    off = sorted(abs(taken[s] - t) / t for s, t in targets.items())
+    assert off[len(off) * 3 // 4] < 0.01
     again = mix_sources(docs.repartition(5), mix=Mix(leaf=leaf)).collect()
     assert Counter((r._id, r.copies) for r in again) == Counter((r._id, r.copies) for r in got)
 
@@ -78,3 +81,20 @@ def test_empty_tables(spark):
     assert mix_sources(empty(spark)).count() == 0 and apply_mix(empty(spark)).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert {(r._id, r.target, r.taken) for r in mix_sources(blank).collect()} == {(1, 0.0, 0), (2, 0.0, 0)}
+
+
+def test_rows_alike_are_rounded_together(spark):
+    rows = spark.range(3000).selectExpr("if(id < 2000, 1, id) AS doc_id", "'a b c' AS text", "'s' AS source")
+    other = spark.range(500).selectExpr("id + 10000 AS doc_id", "'a b' AS text", "'t' AS source")
+    got = mix_sources(rows.union(other), mix=Mix(weights=(1, 5), share=0.9, leaf=32)).collect()
+    assert len(got) == 3500
+    by_source = defaultdict(int)
+    for r in got:
+        by_source[r.size] += r.taken
+        assert 0 <= r.copies <= 2
+    target = {r.size: r.target for r in got}
+    assert all(abs(by_source[size] - target[size]) <= size for size in target)
+    # The 2,000 rows of one document have as many copies each, to one.
+    assert len({r.copies for r in got if r._id == 1}) <= 2
+    rate = target[3] / 9000
+    assert abs(sum(r.copies for r in got if r._id == 1) - 2000 * rate) <= 1
