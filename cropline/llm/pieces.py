@@ -32,8 +32,9 @@ from pyspark.sql import DataFrame, functions as F
 from cropline.llm.common import column
 
 SPACE = "▁"
-KEPT = 600_000
+KEPT = 400_000
 PAIRS = 1_000_000
+SLICE = 256
 _LOW = 1 << 60
 
 
@@ -255,11 +256,12 @@ def encode_texts(docs: DataFrame, model_path: str, id_column: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(model.value)
-        for batch in batches:
-            rows = [codec.packed(value.as_py()) for value in batch.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
-                ["_id", "ids", "decoded"],
-            )
+        for whole in batches:
+            # Results are larger than texts, so they leave in small batches.
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                rows = [codec.packed(value.as_py()) for value in batch.column(1)]
+                ids, decoded = (pa.array([r[i] for r in rows], pa.binary()) for i in range(2))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, decoded], ["_id", "ids", "decoded"])
 
     return texts.mapInArrow(run, f"_id {kind}, ids binary, decoded binary")
