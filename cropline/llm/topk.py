@@ -1,8 +1,8 @@
 """Exact top-k search by inner product over norm-sorted vectors.
 
 Components become integers, ``floor(SCALE * x)``, so scores are exact. The Gram
-matrix of all vectors, a sum over the table of bounded size, gives the rotation of
-their singular value decomposition, which gathers most of each vector's length in
+matrix of all vectors, scaled to length one, is a sum of bounded size over the table and
+gives the rotation of their singular value decomposition, which gathers most of each vector's length in
 its first coordinates. Vectors are cut by falling norm into blocks of bounded size
 and stored packed. Queries are blocks too.
 
@@ -100,7 +100,8 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
         gram = np.zeros((dim, dim))
         for batch in batches:
             x = _matrix(batch.column(0).to_pylist(), dim)
-            length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            with np.errstate(over="ignore"):
+                length = np.sqrt((x * x).sum(axis=1, keepdims=True))
             x = np.divide(x, length, out=np.zeros_like(x), where=(length > 0) & np.isfinite(length))
             gram += x.T @ x
         place = np.arange(dim * dim)

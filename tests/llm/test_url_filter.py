@@ -1,4 +1,3 @@
-import random
 import re
 
 from pyspark.sql import functions as F
