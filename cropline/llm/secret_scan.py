@@ -1,14 +1,18 @@
 """Secret scans by a recursive decoding worklist.
 
 Every text is scanned as it is. Then layers are unwrapped: percent-encoded and
-Unicode-escaped characters turn the whole layer into its decoded form, base64 tokens
-and the gzip, zlib, bzip2 or xz data in them become layers of their own. Each new
-layer is scanned again and may hold further ones, until the worklist is empty. A
-layer equal to one that it came from is a cycle and is dropped, and so is one met
-before over the same stretch of the text; a layer met at two places is scanned once
-and its findings are placed at both. Findings are mapped
-back through all layers to the code points of the original text that they came
-from; what lies in compressed data maps to the whole token.
+Unicode-escaped characters and letters set apart by NULs (UTF-16) turn the whole
+layer into its decoded form, base64 tokens and the gzip, zlib, bzip2 or xz data in
+them become layers of their own. Each new layer is scanned again and may hold
+further ones, until the worklist is empty. A layer equal to one that it came from is
+a cycle and is dropped; a layer met at two places is scanned once and its findings
+are placed at both. Findings are mapped back through all layers to the code points
+of the original text that they came from; what lies in compressed data maps to the
+whole of that data.
+
+All rules are about ASCII characters, so layers are bytes, whatever their encoding:
+no layer is refused for bytes that are no text. In the text itself a code point above
+255 counts as one byte that no rule knows.
 
 Kinds and their rules are fixed values, see ``KINDS``. Spans of the text itself
 stay as they are; those of deeper layers are added, the same span of a kind once.
@@ -16,19 +20,21 @@ stay as they are; those of deeper layers are added, the same span of a kind once
 Defined results: a null text is an empty one. Texts are scanned whole, whatever
 their length. Repeated rows give equal rows, an empty table an empty result. Data
 that unpacks to more than ``LAYER`` bytes is not unpacked; ``skipped_layers`` counts
-such tokens, so the bound on memory is visible. Only the id and text columns are
-read, so extra columns never clash.
+such tokens, so the bound on memory is visible. ``layers`` counts those that read as
+text or hold a secret or a further layer; what base64 makes of plain words is none.
+Only the id and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -41,218 +47,239 @@ KINDS = (
     (
         "assign",
         re.compile(
-            r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-            re.ASCII | re.IGNORECASE,
+            rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+            re.IGNORECASE,
         ),
         2,
         6,
     ),
-    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
-    ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
+    ("access", re.compile(rb"AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile(rb"[0-9a-f]{24,}"), 0, 24),
 )
 ORDER = {kind[0]: n for n, kind in enumerate(KINDS)}
 LAYER = 64 << 20
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
+_ESCAPE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+# Letters and NULs in turn, of either byte order.
+_WIDE = re.compile(rb"(?:[^\x00]\x00){6,}|(?:\x00[^\x00]){6,}")
+_BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# What a layer must have to hold a secret or a further layer, tried on short ones first.
+_LIVE = re.compile(
+    rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}"
+    rb"|[^\x00]\x00[^\x00]\x00|\x00[^\x00]\x00[^\x00]|\x1f\x8b\x08|BZh|\xfd7zXZ"
+)
+_SHORT = 4096
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+_READABLE = bytes([9, 10, 13, *range(32, 127)])
+_UNKNOWN = b"?"
 
 Span = tuple[str, int, int]
 # Where characters from start to end of a layer come from in its parent.
 Place = Callable[[int, int], tuple[int, int]]
 
 
-def scan(text: str) -> list[Span]:
-    """Spans of a text itself, by start and then kind."""
+def scan(layer: bytes) -> list[Span]:
+    """Spans of a layer itself, by start and then kind."""
     found = []
     for kind, pattern, group, least in KINDS:
-        found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if m.end(group) - m.start(group) >= least]
+        found += [(kind, m.start(), m.end()) for m in pattern.finditer(layer) if m.end(group) - m.start(group) >= least]
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
-def _replaced(text: str, pattern: re.Pattern, decode: Callable[[str], str | None]) -> tuple[str, Place] | None:
-    """The text with all matches decoded, and where its characters come from."""
-    pieces: list[str] = []
-    stretches: list[tuple[int, int, int, int]] = []
+def _replaced(layer: bytes, pattern: re.Pattern, decode: Callable[[bytes], bytes]) -> tuple[bytes, Place] | None:
+    """The layer with all matches decoded, and where its characters come from."""
+    pieces: list[bytes] = []
+    # Decoded stretches: start and end in the result, start and end in the layer.
+    a, b, c, d = array("Q"), array("Q"), array("Q"), array("Q")
     at = size = 0
-
-    def keep(until: int) -> None:
-        nonlocal at, size
-        if until > at:
-            stretches.append((size, size + until - at, at, until))
-            pieces.append(text[at:until])
-            size += until - at
-        at = until
-
-    changed = False
-    for match in pattern.finditer(text):
+    for match in pattern.finditer(layer):
         plain = decode(match.group())
-        if plain is None:
-            continue
-        keep(match.start())
-        stretches.append((size, size + len(plain), match.start(), match.end()))
-        pieces.append(plain)
+        pieces += [layer[at : match.start()], plain]
+        size += match.start() - at
+        for ends, end in zip((a, b, c, d), (size, size + len(plain), match.start(), match.end())):
+            ends.append(end)
         size += len(plain)
-        at, changed = match.end(), True
-    if not changed:
+        at = match.end()
+    if not pieces:
         return None
-    keep(len(text))
+    pieces.append(layer[at:])
 
     def place(start: int, end: int) -> tuple[int, int]:
-        first = last = None
-        low, high = 0, len(stretches)
-        while low < high:
-            middle = (low + high) // 2
-            if stretches[middle][1] <= start:
-                low = middle + 1
-            else:
-                high = middle
-        first = low
-        low, high = first, len(stretches)
-        while low < high:
-            middle = (low + high) // 2
-            if stretches[middle][1] < end:
-                low = middle + 1
-            else:
-                high = middle
-        last = low
-        # Stretches with decoded characters count whole, others by character.
-        a, b, c, d = stretches[first]
-        begin = c + start - a if d - c == b - a else c
-        a, b, c, d = stretches[last]
-        return begin, (c + end - a if d - c == b - a else d)
+        # Stretches of two characters for one count by character, other decoded ones whole.
+        n = bisect_right(b, start)
+        if n < len(a) and a[n] <= start:
+            begin = c[n] + 2 * (start - a[n]) if d[n] - c[n] == 2 * (b[n] - a[n]) else c[n]
+        else:
+            begin = start + (d[n - 1] - b[n - 1] if n else 0)
+        n = bisect_left(b, end)
+        if n < len(a) and a[n] < end:
+            return begin, (c[n] + 2 * (end - a[n]) if d[n] - c[n] == 2 * (b[n] - a[n]) else d[n])
+        n = bisect_right(b, end)
+        return begin, end + (d[n - 1] - b[n - 1] if n else 0)
 
-    return "".join(pieces), place
+    return b"".join(pieces), place
 
 
-def _percent(token: str) -> str | None:
-    try:
-        return binascii.unhexlify(token.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(token: bytes) -> bytes:
+    return binascii.unhexlify(token.replace(b"%", b""))
 
 
-def _escape(token: str) -> str | None:
-    if token[1] == "u" and token[2] != "{":
-        units = b"".join(int(x, 16).to_bytes(2, "big") for x in token.split("\\u")[1:])
-        try:
-            return units.decode("utf-16-be")
-        except UnicodeDecodeError:
-            return None
-    number = int(token[3:-1] if token[2] == "{" else token[2:], 16)
-    return chr(number) if number < 0x110000 and not 0xD800 <= number < 0xE000 else None
-
-
-def _unpacked(data: bytes) -> tuple[bytes | None, bool]:
-    """Contents of compressed data, and whether they are above the bound."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0):
-        machine = zlib.decompressobj(47)
-    elif data[:3] == b"BZh":
-        machine = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        machine = lzma.LZMADecompressor(memlimit=LAYER)
+def _escape(token: bytes) -> bytes:
+    if token[1:2] == b"u" and token[2:3] != b"{":
+        numbers = [int(x, 16) for x in token.split(b"\\u")[1:]]
     else:
-        return None, False
+        numbers = [int(token[3:-1] if token[2:3] == b"{" else token[2:], 16)]
+    return b"".join(bytes([n]) if n < 256 else _UNKNOWN for n in numbers)
+
+
+def _narrow(token: bytes) -> bytes:
+    return token[token[0] == 0 :: 2]
+
+
+def _machine(head: bytes) -> zlib._Decompress | bz2.BZ2Decompressor | lzma.LZMADecompressor | None:
+    """What unpacks a stream of these first six bytes."""
+    if head[:3] == b"\x1f\x8b\x08" or (len(head) > 2 and head[0] == 0x78 and not head[1] & 32 and (head[0] << 8 | head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=LAYER)
+    return None
+
+
+def _unpacked(data: bytes, at: int) -> tuple[bytes | None, int, bool]:
+    """Contents of compressed data from a place on, its end, and whether they are above the bound."""
+    machine = _machine(data[at : at + 6])
+    if machine is None:
+        return None, at, False
     try:
-        plain = machine.decompress(data, LAYER + 1)
+        plain = machine.decompress(data[at:], LAYER + 1)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None, False
-    return (None, True) if len(plain) > LAYER else (plain, False)
-
-
-def _decoded(token: str) -> tuple[str | None, bool, bool]:
-    """Text in a base64 token, whether it was compressed, whether it is above the bound."""
-    body = token.rstrip("=")
-    if len(body) % 4 == 1:
-        return None, False, False
-    standard = body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4)
-    data, packed = base64.b64decode(standard), False
-    met: set[bytes] = set()
-    while (mark := hashlib.blake2b(data, digest_size=16).digest()) not in met:
-        met.add(mark)
-        inner, large = _unpacked(data)
-        if large:
-            return None, packed, True
-        if inner is None:
-            break
-        data, packed = inner, True
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None, packed, False
-    plain = sum(c.isprintable() or c in "\t\r\n" for c in text)
-    return (text if text and plain >= 0.9 * len(text) else None), packed, False
-
-
-def _layers(text: str) -> tuple[list[tuple[str, Place]], int]:
-    """Layers directly below a text, and how many were above the bound."""
-    found, skipped = [], 0
-    if "%" in text and (layer := _replaced(text, _PERCENT, _percent)):
-        found.append(layer)
-    if "\\" in text and (layer := _replaced(text, _ESCAPE, _escape)):
-        found.append(layer)
-    for match in _BASE64.finditer(text):
-        plain, packed, large = _decoded(match.group())
-        skipped += large
-        if plain is None:
+        return None, at, False
+    return (None, len(data), True) if len(plain) > LAYER else (plain, len(data) - len(machine.unused_data), False)
+
+
+def _packed(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
+    """Contents of the compressed data in a layer, as in ``_layers``."""
+    # zlib has a mark of two bytes only, which counts where a layer begins.
+    starts = [0] if layer[:1] == b"x" else []
+    for mark in (b"\x1f\x8b\x08", b"BZh", b"\xfd7zXZ\x00"):
+        start = layer.find(mark)
+        while start >= 0:
+            starts.append(start)
+            start = layer.find(mark, start + 1)
+    done = 0
+    for start in sorted(starts):
+        if start < done:
             continue
-        at, stop = match.span()
-        if packed:
-            place: Place = lambda start, end, at=at, stop=stop: (at, stop)
-        else:
-            # Four characters stand for three bytes.
-            offsets = [0]
-            for c in plain:
-                offsets.append(offsets[-1] + len(c.encode()))
-            place = lambda start, end, at=at, stop=stop, o=offsets: (
-                at + o[start] * 4 // 3,
-                min(stop, at - (-o[end] * 4 // 3)),
-            )
-        found.append((plain, place))
-    return found, skipped
+        plain, end, large = _unpacked(layer, start)
+        if plain or large:
+            done = end
+            # One past the end of the layer: with what fills it up.
+            stretch = start, end + (end == len(layer))
+            yield plain, lambda start, end, stretch=stretch: stretch, large
+
+
+def _tokens(layer: bytes) -> Iterator[tuple[int, int, int]]:
+    """Base64 tokens: start, end of the characters, end with what fills them up."""
+    for match in _BASE64.finditer(layer):
+        start, stop = match.span()
+        end = start + len(match.group().rstrip(b"="))
+        if (end - start) % 4 != 1:
+            yield start, end, stop
+
+
+def _layers(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
+    """Layers directly below one, None above the bound, and whether they are above it."""
+    for mark, pattern, decode in ((b"%", _PERCENT, _percent), (b"\\", _ESCAPE, _escape), (b"\x00", _WIDE, _narrow)):
+        if layer.find(mark) >= 0 and (found := _replaced(layer, pattern, decode)):
+            yield *found, False
+    yield from _packed(layer)
+    for at, end, stop in _tokens(layer):
+        body = layer[at:end].translate(_STANDARD)
+        data = binascii.a2b_base64(body + b"=" * (-len(body) % 4))
+        # Four characters stand for three bytes.
+        place: Place = lambda start, end, at=at, stop=stop, size=len(data): (
+            at + start * 4 // 3,
+            stop if end > size else at - (-end * 4 // 3),
+        )
+        yield data, place, False
+
+
+def _mark(layer: bytes) -> bytes:
+    return hashlib.blake2b(layer, digest_size=16).digest()
+
+
+def _readable(layer: bytes) -> bool:
+    """Whether nine characters of ten are printable."""
+    odd = layer.translate(None, _READABLE)
+    plain = len(layer) - len(odd)
+    if not odd.isascii():
+        try:
+            odd = odd.decode()
+        except UnicodeDecodeError:
+            return False
+        return plain + sum(map(str.isprintable, odd)) >= 0.9 * (plain + len(odd))
+    return plain >= 0.9 * len(layer)
+
+
+class _Layer:
+    """A layer in work: its place in the one above, what is below it, what was found.
 
+    Found are spans, and the places of layers under their marks.
+    """
 
-def _mark(text: str) -> bytes:
-    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=16).digest()
+    def __init__(self, layer: bytes, mark: bytes, place: Place | None) -> None:
+        self.mark, self.place, self.size = mark, place, len(layer)
+        self.found: set[tuple[str | bytes, int, int]] = set(scan(layer))
+        self.inner = _layers(layer)
+        self.counts = len(self.found) > 0 or _readable(layer)
+        self.cycle = False
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Spans of the text itself, spans of all layers, number of layers, layers above the bound."""
-    base = scan(text)
-    everything = set(base)
-    layers = skipped = 0
+    whole = text.encode("latin-1", "replace")
+    top = _Layer(whole, _mark(whole), None)
+    base = sorted(top.found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
+    skipped = 0
     # What is below a layer does not depend on its place, so each is unwrapped once.
-    below: dict[bytes, tuple[list[Span], list[tuple[str, Place]]]] = {}
-
-    def unwrap(layer: str, mark: bytes) -> tuple[list[Span], list[tuple[str, Place]]]:
-        nonlocal skipped
-        if mark not in below:
-            inner, large = _layers(layer)
-            skipped += large
-            below[mark] = (scan(layer) if layer is not text else base), inner
-        return below[mark]
-
-    # A layer, the marks of those it came from, and the places on the way to the text.
-    work: list[tuple[str, frozenset[bytes], tuple[Place, ...]]] = [(text, frozenset(), ())]
-    met: set[tuple[bytes, int, int]] = set()
+    below: dict[bytes, set[tuple[str | bytes, int, int]]] = {}
+    work, above = [top], {top.mark}
     while work:
-        layer, above, way = work.pop()
-        mark = _mark(layer)
-        stretch = 0, len(layer)
-        for place in reversed(way):
-            stretch = place(*stretch)
-        if mark in above or (mark, *stretch) in met:
-            continue
-        met.add((mark, *stretch))
-        spans, inner = unwrap(layer, mark)
-        if way:
-            layers += 1
-            for kind, start, end in spans:
-                for place in reversed(way):
-                    start, end = place(start, end)
-                everything.add((kind, start, end))
-        for deeper, place in inner:
-            work.append((deeper, above | {mark}, (*way, place)))
-    return base, sorted(everything, key=lambda s: (s[1], ORDER[s[0]], s[2])), layers, skipped
+        last = work[-1]
+        deeper, place, large = next(last.inner, (None, None, False))
+        skipped += large
+        if deeper:
+            if len(deeper) < _SHORT and not _LIVE.search(deeper) and not _machine(deeper[:6]):
+                if _readable(deeper):
+                    last.found.add((_mark(deeper), *place(0, len(deeper))))
+                    last.counts = True
+                continue
+            mark = _mark(deeper)
+            if mark in above:
+                # What is found below these depends on the layers above them.
+                for layer in work:
+                    layer.cycle = True
+            elif mark in below:
+                last.found.update((kind, *place(start, end)) for kind, start, end in below[mark])
+            else:
+                work.append(_Layer(deeper, mark, place))
+                above.add(mark)
+        elif place is None:
+            work.pop()
+            above.remove(last.mark)
+            if not work:
+                break
+            if last.counts or last.found:
+                last.found.add((last.mark, 0, last.size))
+            if not last.cycle:
+                below[last.mark] = last.found
+            work[-1].found.update((kind, *last.place(start, end)) for kind, start, end in last.found)
+    # A span may end past the text where data fills up its layer.
+    spans = {(kind, start, min(end, len(text))) for kind, start, end in top.found if isinstance(kind, str)}
+    layers = sum(isinstance(kind, bytes) for kind, _, _ in top.found)
+    return base, sorted(spans, key=lambda s: (s[1], ORDER[s[0]], s[2])), layers, skipped
 
 
 def shown(spans: list[Span]) -> str:

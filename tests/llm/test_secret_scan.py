@@ -1,7 +1,9 @@
 import base64
 import bz2
 import gzip
+import io
 import re
+import tarfile
 import time
 import zlib
 from collections import Counter
@@ -97,3 +99,40 @@ def test_odd_documents(spark):
     assert all(r.spans == "" and r.n_hex == 0 for r in got) and scan_secrets(empty(spark)).count() == 0
     one = spark.createDataFrame([(1, "x " * 300_000 + SECRET)], "doc_id long, text string")
     assert scan_secrets(one).first().base == f"assign:600000:{600000 + len(SECRET) - 1}"
+
+
+def _tar(text):
+    file = io.BytesIO()
+    with tarfile.open(fileobj=file, mode="w") as tar:
+        entry = tarfile.TarInfo(".env")
+        entry.size = len(text)
+        tar.addfile(entry, io.BytesIO(text.encode()))
+    return file.getvalue()
+
+
+@pytest.mark.parametrize(
+    "blob",
+    [
+        _b64(gzip.compress(_tar(SECRET))),
+        _b64(SECRET.encode("utf-16-le")),
+        _b64(SECRET.encode("utf-16")),
+        _b64(SECRET.encode("utf-16-be")),
+        _b64(f"caf\xe9 {SECRET}".encode("latin-1")),
+        _b64(bytes(range(256)) + SECRET.encode()),
+        "%FF" + "".join(f"%{ord(c):02x}" for c in SECRET),
+        "\\ud800" + "".join(f"\\u{ord(c):04x}" for c in SECRET),
+    ],
+)
+def test_layers_that_are_no_text_are_scanned(blob):
+    text = f"€ before {blob} after"
+    base, everything, layers, skipped = find_secrets(text)
+    added = set(everything) - set(base)
+    assert [s[0] for s in added] == ["assign"] and layers and not skipped
+    for _, start, end in added:
+        assert text.index("before") + 7 <= start < end <= text.index(" after")
+
+
+def test_wide_letters_are_placed_one_by_one():
+    head = "x" * 30
+    text = "".join(f"{c}\x00" for c in head + " " + SECRET)
+    assert ("assign", 62, 62 + 2 * (len(SECRET) - 1)) in find_secrets(text)[1]
