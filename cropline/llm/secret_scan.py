@@ -3,7 +3,9 @@
 Every text is scanned as it is. Then layers are unwrapped: percent-encoded and
 Unicode-escaped characters and letters set apart by NULs (UTF-16) turn the whole
 layer into its decoded form, base64 tokens and the gzip, zlib, bzip2 or xz data in
-them become layers of their own. Each new layer is scanned again and may hold
+them become layers of their own. Lines of base64 are one token together and one
+each; what has ``+ / _ -`` or a line break in it may be a path or a prefix and a token
+behind it, and is decoded at all four shifts. Each new layer is scanned again and may hold
 further ones, until the worklist is empty. A layer equal to one that it came from is
 a cycle and is dropped; a layer met at two places is scanned once and its findings
 are placed at both. Findings are mapped back through all layers to the code points
@@ -62,7 +64,14 @@ _PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 # Letters and NULs in turn, of either byte order.
 _WIDE = re.compile(rb"(?:[^\x00]\x00){6,}|(?:\x00[^\x00]){6,}")
-_BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,})={0,2}")
+# What may part a token, and its shorter first and last lines.
+_BREAK = re.compile(rb"\r?\n[\x20\t]*")
+_BEFORE = re.compile(rb"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{1,15})\r?\n[\x20\t]*\Z")
+_AFTER = re.compile(rb"\r?\n[\x20\t]*([A-Za-z0-9+/_-]{1,15})={0,2}(?![A-Za-z0-9+/_-])")
+# How zlib data begins in base64.
+_ZLIB = re.compile(rb"e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
+_ZLIB_PIECE = re.compile(rb"[+/_-]e(?:A[E-H]|F[4-7]|J[w-z]|N[o-r])")
 # What a layer must have to hold a secret or a further layer, tried on short ones first.
 _LIVE = re.compile(
     rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}"
@@ -180,13 +189,64 @@ def _packed(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
             yield plain, lambda start, end, stretch=stretch: stretch, large
 
 
-def _tokens(layer: bytes) -> Iterator[tuple[int, int, int]]:
-    """Base64 tokens: start, end of the characters, end with what fills them up."""
+class _Token:
+    """A base64 token: the stretches of a layer it is made of, in order, and its end with what fills it up."""
+
+    def __init__(self, stretches: list[tuple[int, int]], stop: int, shifts: int = 1) -> None:
+        self.stretches, self.stop, self.shifts = stretches, stop, shifts
+        self.starts = [0]
+        for start, end in stretches:
+            self.starts.append(self.starts[-1] + end - start)
+
+    def at(self, n: int) -> int:
+        """Where a character of the token stands in the layer."""
+        stretch = min(bisect_right(self.starts, n), len(self.stretches)) - 1
+        return self.stretches[stretch][0] + n - self.starts[stretch]
+
+    def place(self, shift: int, size: int) -> Place:
+        """Where bytes come from that are decoded from the character ``shift`` on. Four characters stand for three."""
+        return lambda start, end: (
+            self.at(shift + start * 4 // 3),
+            self.stop if end > size else self.at(shift - (-end * 4 // 3) - 1) + 1,
+        )
+
+    def pieces(self, layer: bytes) -> Iterator[int]:
+        """Characters at which zlib data may start after a separator or a line break."""
+        for n, (start, end) in enumerate(self.stretches):
+            if n and _ZLIB.match(layer, start, end):
+                yield self.starts[n]
+            for match in _ZLIB_PIECE.finditer(layer, start, end):
+                yield self.starts[n] + match.start() + 1 - start
+
+
+def _joined(layer: bytes, lines: list[tuple[int, int]], stop: int) -> Iterator[_Token]:
+    """Tokens of runs that only line breaks part: all in one, and each by itself."""
+    whole, end = list(lines), lines[-1][1]
+    if before := _BEFORE.search(layer[max(0, lines[0][0] - 64) : lines[0][0]]):
+        shift = max(0, lines[0][0] - 64)
+        whole.insert(0, (before.start(1) + shift, before.end(1) + shift))
+    if stop == end and (after := _AFTER.match(layer, end)):
+        whole.append(after.span(1))
+    if len(whole) > 1:
+        yield _Token(whole, after.end() if whole[-1][1] > end else stop, 4)
+    for start, end in lines:
+        parted = any(layer.find(c, start, end) >= 0 for c in (b"+", b"/", b"_", b"-"))
+        yield _Token([(start, end)], stop if end == lines[-1][1] else end, 4 if parted and len(whole) == 1 else 1)
+
+
+def _tokens(layer: bytes) -> Iterator[_Token]:
+    """All base64 tokens. Those that may have something before them are decoded at each of four shifts."""
+    lines: list[tuple[int, int]] = []
+    stop = 0
     for match in _BASE64.finditer(layer):
-        start, stop = match.span()
-        end = start + len(match.group().rstrip(b"="))
-        if (end - start) % 4 != 1:
-            yield start, end, stop
+        start, end = match.span(1)
+        if lines and not (stop == lines[-1][1] and _BREAK.fullmatch(layer, stop, start)):
+            yield from _joined(layer, lines, stop)
+            lines = []
+        lines.append((start, end))
+        stop = match.end()
+    if lines:
+        yield from _joined(layer, lines, stop)
 
 
 def _layers(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
@@ -195,15 +255,22 @@ def _layers(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
         if layer.find(mark) >= 0 and (found := _replaced(layer, pattern, decode)):
             yield *found, False
     yield from _packed(layer)
-    for at, end, stop in _tokens(layer):
-        body = layer[at:end].translate(_STANDARD)
-        data = binascii.a2b_base64(body + b"=" * (-len(body) % 4))
-        # Four characters stand for three bytes.
-        place: Place = lambda start, end, at=at, stop=stop, size=len(data): (
-            at + start * 4 // 3,
-            stop if end > size else at - (-end * 4 // 3),
-        )
-        yield data, place, False
+    for token in _tokens(layer):
+        body = b"".join([layer[start:end] for start, end in token.stretches]).translate(_STANDARD)
+        starts: list[list[int]] = [[], [], [], []]
+        if token.shifts > 1:
+            for start in token.pieces(layer):
+                starts[start % 4].append(start)
+        for shift in range(token.shifts):
+            # A character too many stands for no byte.
+            part = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+            data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+            yield data, token.place(shift, len(data)), False
+            for start in starts[shift]:
+                plain, end, large = _unpacked(data, (start - shift) // 4 * 3)
+                if start and (plain or large):
+                    stretch = token.place(shift, len(data))((start - shift) // 4 * 3, end + (end == len(data)))
+                    yield plain, lambda start, end, stretch=stretch: stretch, large
 
 
 def _mark(layer: bytes) -> bytes:

@@ -136,3 +136,50 @@ def test_wide_letters_are_placed_one_by_one():
     head = "x" * 30
     text = "".join(f"{c}\x00" for c in head + " " + SECRET)
     assert ("assign", 62, 62 + 2 * (len(SECRET) - 1)) in find_secrets(text)[1]
+
+
+def _wrapped(data, width, end="\n"):
+    blob = _b64(data)
+    return end.join(blob[n : n + width] for n in range(0, len(blob), width))
+
+
+NOISE = " ".join(f"{n * n * 7919 % 100_003:x}z" for n in range(300))
+LONG_TEXT = f"{NOISE} {SECRET} {NOISE}"
+
+
+@pytest.mark.parametrize(
+    "blob",
+    [
+        _wrapped(gzip.compress(LONG_TEXT.encode()), 76),
+        _wrapped(zlib.compress(LONG_TEXT.encode()), 64, "\r\n"),
+        _wrapped(zlib.compress(LONG_TEXT.encode()), 64, "\n    "),
+        "key:\nauthentication\n" + _wrapped(zlib.compress(LONG_TEXT.encode()), 64),
+        "tokens in internationalisation\n" + _wrapped(zlib.compress(LONG_TEXT.encode()), 64),
+        *[_wrapped("x" * n + " " + SECRET, 64) for n in range(24, 48, 3)],
+        *[
+            f"{head}{_b64(data)}"
+            for head in ("https://h.example/cb/", "cfg_", "auth-", "x/yy/", "a+bb+")
+            for data in (SECRET, gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode()))
+        ],
+    ],
+)
+def test_tokens_behind_something_and_over_lines(blob):
+    text = f"é before {blob} after"
+    base, everything, _, _ = find_secrets(text)
+    added = set(everything) - set(base)
+    assert "assign" in {s[0] for s in added}
+    whole = [s for s in added if s[1] >= text.index("before") + 7 and s[2] <= text.index(" after")]
+    assert len(whole) == len(added)
+
+
+def test_spans_over_lines_are_exact():
+    blob = _wrapped("x" * 30 + " " + SECRET + " " + "y" * 60, 64)
+    spans = set(find_secrets(f"(\n{blob}\n)")[1])
+    # Bytes 31 to 57 of the data are characters 41 to 75, with one line break between.
+    assert ("assign", 2 + 41, 2 + 1 + 76) in spans
+
+
+def test_many_lines_stay_cheap():
+    start = time.process_time()
+    find_secrets(_wrapped(bytes(n * n % 251 for n in range(1_000_000)), 76))
+    assert time.process_time() - start < 20
