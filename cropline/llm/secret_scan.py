@@ -20,11 +20,13 @@ Kinds and their rules are fixed values, see ``KINDS``. Spans of the text itself
 stay as they are; those of deeper layers are added, the same span of a kind once.
 
 Defined results: a null text is an empty one. Texts are scanned whole, whatever
-their length. Repeated rows give equal rows, an empty table an empty result. Data
-that unpacks to more than ``LAYER`` bytes is not unpacked; ``skipped_layers`` counts
-such tokens, so the bound on memory is visible. ``layers`` counts those that read as
-text or hold a secret or a further layer; what base64 makes of plain words is none.
-Only the id and text columns are read, so extra columns never clash.
+their length. Repeated rows give equal rows, an empty table an empty result. All
+streams of compressed data that follow each other are one layer. Layers of more than
+``LAYER`` bytes are unpacked to a nameless file in the temporary folder of the task
+and scanned there like all others; ``skipped_layers`` keeps its name and counts them,
+but none is skipped. A full disk ends the task with an error. ``layers`` counts those
+that read as text or hold a secret or a further layer; what base64 makes of plain words
+is none. Only the id and text columns are read, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -33,11 +35,14 @@ import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
 from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -59,11 +64,13 @@ KINDS = (
     ("hex", re.compile(rb"[0-9a-f]{24,}"), 0, 24),
 )
 ORDER = {kind[0]: n for n, kind in enumerate(KINDS)}
-LAYER = 64 << 20
-_PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
+# Bytes of a layer held in memory, of a step in unpacking, and of the first one.
+LAYER, CHUNK, FIRST = 64 << 20, 1 << 20, 1 << 12
+# Runs are matched without a way back, so that long ones take no memory.
+_PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})++")
+_ESCAPE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})++|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}")
 # Letters and NULs in turn, of either byte order.
-_WIDE = re.compile(rb"(?:[^\x00]\x00){6,}|(?:\x00[^\x00]){6,}")
+_WIDE = re.compile(rb"(?:[^\x00]\x00){6,}+|(?:\x00[^\x00]){6,}+")
 _BASE64 = re.compile(rb"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{16,})={0,2}")
 # What may part a token, and its shorter first and last lines.
 _BREAK = re.compile(rb"\r?\n[\x20\t]*")
@@ -85,33 +92,77 @@ _UNKNOWN = b"?"
 Span = tuple[str, int, int]
 # Where characters from start to end of a layer come from in its parent.
 Place = Callable[[int, int], tuple[int, int]]
+Data = bytes | mmap.mmap
+Machine = Any  # what zlib.decompressobj, bz2 and lzma give
 
 
-def scan(layer: bytes) -> list[Span]:
+def _named(layer: Data) -> bool:
+    """Whether a name of the kind ``assign`` may be in a layer: cheaper than its pattern."""
+    for at in range(0, len(layer), CHUNK):
+        low = layer[at : at + CHUNK + 8].lower()
+        if any(name in low for name in (b"passw", b"secret", b"token", b"api")):
+            return True
+    return False
+
+
+def scan(layer: Data) -> list[Span]:
     """Spans of a layer itself, by start and then kind."""
     found = []
     for kind, pattern, group, least in KINDS:
+        if kind == "assign" and not _named(layer):
+            continue
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(layer) if m.end(group) - m.start(group) >= least]
     return sorted(found, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
-def _replaced(layer: bytes, pattern: re.Pattern, decode: Callable[[bytes], bytes]) -> tuple[bytes, Place] | None:
+class _Sink:
+    """Collects a layer: bytes up to ``LAYER``, beyond that a mapped file without a name."""
+
+    def __init__(self) -> None:
+        self.pieces: list[bytes] = []
+        self.file, self.size = None, 0
+
+    def write(self, piece: bytes) -> None:
+        self.size += len(piece)
+        if not self.file and self.size > LAYER:
+            self.file = tempfile.TemporaryFile()
+            self.file.writelines(self.pieces)
+            self.pieces = []
+        if self.file:
+            self.file.write(piece)
+        else:
+            self.pieces.append(piece)
+
+    def copy(self, layer: Data, start: int, end: int) -> None:
+        for at in range(start, end, CHUNK):
+            self.write(layer[at : min(at + CHUNK, end)])
+
+    def done(self) -> Data:
+        if not self.file:
+            return b"".join(self.pieces)
+        with self.file:
+            self.file.flush()
+            return mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _replaced(layer: Data, pattern: re.Pattern, decode: Callable[[bytes], bytes]) -> tuple[Data, Place] | None:
     """The layer with all matches decoded, and where its characters come from."""
-    pieces: list[bytes] = []
+    sink = _Sink()
     # Decoded stretches: start and end in the result, start and end in the layer.
     a, b, c, d = array("Q"), array("Q"), array("Q"), array("Q")
-    at = size = 0
+    at = 0
     for match in pattern.finditer(layer):
-        plain = decode(match.group())
-        pieces += [layer[at : match.start()], plain]
-        size += match.start() - at
-        for ends, end in zip((a, b, c, d), (size, size + len(plain), match.start(), match.end())):
-            ends.append(end)
-        size += len(plain)
+        sink.copy(layer, at, match.start())
+        begin = sink.size
+        # A multiple of the length of each code that comes in runs.
+        for start in range(match.start(), match.end(), CHUNK // 6 * 6):
+            sink.write(decode(layer[start : min(start + CHUNK // 6 * 6, match.end())]))
         at = match.end()
-    if not pieces:
+        for ends, end in zip((a, b, c, d), (begin, sink.size, match.start(), at)):
+            ends.append(end)
+    if not a:
         return None
-    pieces.append(layer[at:])
+    sink.copy(layer, at, len(layer))
 
     def place(start: int, end: int) -> tuple[int, int]:
         # Stretches of two characters for one count by character, other decoded ones whole.
@@ -126,7 +177,7 @@ def _replaced(layer: bytes, pattern: re.Pattern, decode: Callable[[bytes], bytes
         n = bisect_right(b, end)
         return begin, end + (d[n - 1] - b[n - 1] if n else 0)
 
-    return b"".join(pieces), place
+    return sink.done(), place
 
 
 def _percent(token: bytes) -> bytes:
@@ -145,30 +196,52 @@ def _narrow(token: bytes) -> bytes:
     return token[token[0] == 0 :: 2]
 
 
-def _machine(head: bytes) -> zlib._Decompress | bz2.BZ2Decompressor | lzma.LZMADecompressor | None:
+def _machine(head: bytes) -> Machine | None:
     """What unpacks a stream of these first six bytes."""
     if head[:3] == b"\x1f\x8b\x08" or (len(head) > 2 and head[0] == 0x78 and not head[1] & 32 and (head[0] << 8 | head[1]) % 31 == 0):
         return zlib.decompressobj(47)
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if head == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=LAYER)
+        return lzma.LZMADecompressor()
     return None
 
 
-def _unpacked(data: bytes, at: int) -> tuple[bytes | None, int, bool]:
-    """Contents of compressed data from a place on, its end, and whether they are above the bound."""
-    machine = _machine(data[at : at + 6])
-    if machine is None:
-        return None, at, False
-    try:
-        plain = machine.decompress(data[at:], LAYER + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None, at, False
-    return (None, len(data), True) if len(plain) > LAYER else (plain, len(data) - len(machine.unused_data), False)
-
-
-def _packed(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
+def _inflated(machine: Machine, data: Data, at: int, sink: _Sink) -> int | None:
+    """Writes the contents of a stream as far as it is whole; returns its end if it has one."""
+    fed, step = at, FIRST
+    while not machine.eof:
+        piece = getattr(machine, "unconsumed_tail", b"")
+        if not piece and getattr(machine, "needs_input", True):
+            piece = data[fed : fed + step]
+            fed, step = fed + len(piece), CHUNK
+            if not piece:
+                if hasattr(machine, "flush"):
+                    sink.write(machine.flush())
+                break
+        try:
+            plain = machine.decompress(piece, CHUNK)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return None
+        sink.write(plain)
+    return fed - len(machine.unused_data) if machine.eof else None
+
+
+def _unpacked(data: Data, at: int) -> tuple[Data, int | None, bool]:
+    """Contents of the streams that follow each other from a place on, their end if they have one, and whether they are above the bound."""
+    sink, end = _Sink(), at
+    while machine := _machine(data[end : end + 6]):
+        stop = _inflated(machine, data, end, sink)
+        if stop is None:
+            return sink.done(), None, sink.size > LAYER
+        end = stop
+        # Zeros may fill up the place between streams.
+        while data[end : end + 1] == b"\x00":
+            end += 1
+    return sink.done(), end, sink.size > LAYER
+
+
+def _packed(layer: Data) -> Iterator[tuple[Data, Place, bool]]:
     """Contents of the compressed data in a layer, as in ``_layers``."""
     # zlib has a mark of two bytes only, which counts where a layer begins.
     starts = [0] if layer[:1] == b"x" else []
@@ -182,8 +255,9 @@ def _packed(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
         if start < done:
             continue
         plain, end, large = _unpacked(layer, start)
-        if plain or large:
-            done = end
+        if plain:
+            # Further streams may begin behind the mark of a broken one, which counts to the end.
+            done, end = (start + 1, len(layer)) if end is None else (end, end)
             # One past the end of the layer: with what fills it up.
             stretch = start, end + (end == len(layer))
             yield plain, lambda start, end, stretch=stretch: stretch, large
@@ -210,7 +284,7 @@ class _Token:
             self.stop if end > size else self.at(shift - (-end * 4 // 3) - 1) + 1,
         )
 
-    def pieces(self, layer: bytes) -> Iterator[int]:
+    def pieces(self, layer: Data) -> Iterator[int]:
         """Characters at which zlib data may start after a separator or a line break."""
         for n, (start, end) in enumerate(self.stretches):
             if n and _ZLIB.match(layer, start, end):
@@ -219,7 +293,7 @@ class _Token:
                 yield self.starts[n] + match.start() + 1 - start
 
 
-def _joined(layer: bytes, lines: list[tuple[int, int]], stop: int) -> Iterator[_Token]:
+def _joined(layer: Data, lines: list[tuple[int, int]], stop: int) -> Iterator[_Token]:
     """Tokens of runs that only line breaks part: all in one, and each by itself."""
     whole, end = list(lines), lines[-1][1]
     if before := _BEFORE.search(layer[max(0, lines[0][0] - 64) : lines[0][0]]):
@@ -234,7 +308,7 @@ def _joined(layer: bytes, lines: list[tuple[int, int]], stop: int) -> Iterator[_
         yield _Token([(start, end)], stop if end == lines[-1][1] else end, 4 if parted and len(whole) == 1 else 1)
 
 
-def _tokens(layer: bytes) -> Iterator[_Token]:
+def _tokens(layer: Data) -> Iterator[_Token]:
     """All base64 tokens. Those that may have something before them are decoded at each of four shifts."""
     lines: list[tuple[int, int]] = []
     stop = 0
@@ -249,31 +323,46 @@ def _tokens(layer: bytes) -> Iterator[_Token]:
         yield from _joined(layer, lines, stop)
 
 
-def _layers(layer: bytes) -> Iterator[tuple[bytes | None, Place, bool]]:
-    """Layers directly below one, None above the bound, and whether they are above it."""
+def _plain(layer: Data, token: _Token, skip: int) -> Data:
+    """The bytes of a token without its first ``skip`` characters. One too many at the end stands for no byte."""
+    sink, rest = _Sink(), b""
+    for start, end in token.stretches:
+        start, skip = min(start + skip, end), max(0, skip - (end - start))
+        for at in range(start, end, CHUNK):
+            piece = rest + layer[at : min(at + CHUNK, end)].translate(_STANDARD)
+            whole = len(piece) & ~3
+            sink.write(binascii.a2b_base64(piece[:whole]))
+            rest = piece[whole:]
+    if len(rest) > 1:
+        sink.write(binascii.a2b_base64(rest + b"=" * (4 - len(rest))))
+    return sink.done()
+
+
+def _layers(layer: Data) -> Iterator[tuple[Data, Place, bool]]:
+    """Layers directly below one, and whether they are above the bound."""
     for mark, pattern, decode in ((b"%", _PERCENT, _percent), (b"\\", _ESCAPE, _escape), (b"\x00", _WIDE, _narrow)):
         if layer.find(mark) >= 0 and (found := _replaced(layer, pattern, decode)):
-            yield *found, False
+            yield *found, len(found[0]) > LAYER
     yield from _packed(layer)
     for token in _tokens(layer):
-        body = b"".join([layer[start:end] for start, end in token.stretches]).translate(_STANDARD)
         starts: list[list[int]] = [[], [], [], []]
         if token.shifts > 1:
             for start in token.pieces(layer):
                 starts[start % 4].append(start)
         for shift in range(token.shifts):
-            # A character too many stands for no byte.
-            part = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
-            data = binascii.a2b_base64(part + b"=" * (-len(part) % 4))
-            yield data, token.place(shift, len(data)), False
+            data = _plain(layer, token, shift)
+            place = token.place(shift, len(data))
+            yield data, place, len(data) > LAYER
             for start in starts[shift]:
-                plain, end, large = _unpacked(data, (start - shift) // 4 * 3)
-                if start and (plain or large):
-                    stretch = token.place(shift, len(data))((start - shift) // 4 * 3, end + (end == len(data)))
+                at = (start - shift) // 4 * 3
+                plain, end, large = _unpacked(data, at)
+                if at and plain:
+                    end = len(data) if end is None else end
+                    stretch = place(at, end + (end == len(data)))
                     yield plain, lambda start, end, stretch=stretch: stretch, large
 
 
-def _mark(layer: bytes) -> bytes:
+def _mark(layer: Data) -> bytes:
     return hashlib.blake2b(layer, digest_size=16).digest()
 
 
@@ -296,11 +385,11 @@ class _Layer:
     Found are spans, and the places of layers under their marks.
     """
 
-    def __init__(self, layer: bytes, mark: bytes, place: Place | None) -> None:
+    def __init__(self, layer: Data, mark: bytes, place: Place | None) -> None:
         self.mark, self.place, self.size = mark, place, len(layer)
         self.found: set[tuple[str | bytes, int, int]] = set(scan(layer))
         self.inner = _layers(layer)
-        self.counts = len(self.found) > 0 or _readable(layer)
+        self.counts = len(self.found) > 0 or len(layer) > LAYER or _readable(layer)
         self.cycle = False
 
 
@@ -315,7 +404,7 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
     work, above = [top], {top.mark}
     while work:
         last = work[-1]
-        deeper, place, large = next(last.inner, (None, None, False))
+        deeper, place, large = next(last.inner, (b"", None, False))
         skipped += large
         if deeper:
             if len(deeper) < _SHORT and not _LIVE.search(deeper) and not _machine(deeper[:6]):
