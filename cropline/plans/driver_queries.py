@@ -693,24 +693,29 @@ def _trip(spark) -> str:
     return f"{shared_folder(spark)}/trip-{uuid.uuid4().hex}"
 
 
-def _write_csv(df: DataFrame, path: str) -> str:
-    writer = df.write.option("header", True).option("emptyValue", "")
+def _write_csv(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> str:
+    writer = df.write.option("header", True).option("emptyValue", "").partitionBy(*by)
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
-def _write_years(prices: DataFrame, change: Callable[[DataFrame, int], DataFrame] | None = None) -> str:
-    """One headed file per year, named after it, as the price files come."""
+def _write_years(prices: DataFrame, changes: list[Callable[[DataFrame], DataFrame]] | None = None, parts: int = 64) -> str:
+    """Headed files named after their year, as the price files come, several of a large year.
+
+    Each of ``changes`` gets the years that leave its number when divided by theirs.
+    """
     spark, folder = prices.sparkSession, _trip(prices.sparkSession)
-    stored = materialise(prices)
+    stored = materialise(prices) if changes else prices
     path = spark._jvm.org.apache.hadoop.fs.Path
     system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     system.mkdirs(path(f"{folder}/years"))
-    for (year,) in stored.select("Year").distinct().collect():
-        rows = stored.filter(F.col("Year") == year).drop("Year")
-        part = _write_csv((change(rows, year) if change else rows).coalesce(1), f"{folder}/parts/{year}")
-        written = system.globStatus(path(f"{part}/part-*"))[0].getPath()
-        system.rename(written, path(f"{folder}/years/{year}.csv"))
+    for n, change in enumerate(changes or [lambda rows: rows]):
+        rows = stored.filter(F.coalesce(F.col("Year") % len(changes), F.lit(0)) == n) if changes else stored
+        part = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
+        written = _write_csv(change(rows.repartition("Year", part)), f"{folder}/parts/{n}", ("Year",))
+        for i, file in enumerate(system.globStatus(path(f"{written}/Year=*/part-*"))):
+            year = file.getPath().getParent().getName().removeprefix("Year=").replace("__HIVE_DEFAULT_PARTITION__", "none")
+            system.rename(file.getPath(), path(f"{folder}/years/{year}.{i}.csv"))
     return f"{folder}/years/*.csv"
 
 
@@ -749,12 +754,12 @@ def read_prices_pruned(spark, sf):
 def union_years(spark, sf):
     """Yearly files with their columns in another order, one more and one less."""
 
-    def change(rows: DataFrame, year: int) -> DataFrame:
-        if year % 3 == 0:
-            return rows.select(*reversed(rows.columns))
-        return rows.drop("Market") if year % 3 == 1 else rows.withColumn("Arrivals", F.lit("7"))
-
-    return rounded(IO.read_prices(spark, _write_years(view(spark, sf, "prices"), change)))
+    changes = [
+        lambda rows: rows.select(*reversed(rows.columns)),
+        lambda rows: rows.drop("Market"),
+        lambda rows: rows.withColumn("Arrivals", F.lit("7")),
+    ]
+    return rounded(IO.read_prices(spark, _write_years(view(spark, sf, "prices"), changes)))
 
 
 @query

@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from cropline import schemas
 from cropline.plans.alignment import refresh_partition, refresh_state
+from cropline.plans.driver_queries import _write_years
 from cropline.sources import files as S
 
 
@@ -125,3 +127,18 @@ def test_access_log(spark, frame, tmp_path):
     assert rows[1].ip_address is None and rows[2].timestamp is not None
     with pytest.raises(Exception, match="unknown action"):
         S.append_auth_events(frame("id long, username string, action string", [(3, "eve", "HACK")]), path)
+
+
+def test_a_year_is_written_by_several_tasks(spark):
+    columns = [F.lit("1").cast(f.dataType).alias(f.name) for f in schemas.PRICES]
+    years = F.when(F.col("id") % 3 == 0, 2005).otherwise(2000 + F.col("id") % 7).cast("int").alias("Year")
+    prices = spark.range(3000).select(*columns[1:], F.col("id").cast("string").alias(schemas.PRICES.names[0]), years)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        path = _write_years(prices)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = [r.name for r in spark.read.text(path).select("_metadata.file_name").distinct().toDF("name").collect()]
+    assert sum(name.startswith("2005.") for name in files) > 1
+    read = S.read_prices(spark, path)
+    assert read.count() == 3000 and read.exceptAll(prices.select(*read.columns)).isEmpty()
