@@ -142,3 +142,13 @@ def test_a_year_is_written_by_several_tasks(spark):
     assert sum(name.startswith("2005.") for name in files) > 1
     read = S.read_prices(spark, path)
     assert read.count() == 3000 and read.exceptAll(prices.select(*read.columns)).isEmpty()
+
+
+def test_a_state_written_again_keeps_all_rows(spark, tmp_path):
+    path = write(tmp_path / "agri.csv", AGRI, *[f"{state},D{n},2003,Rabi,Rice,2,8,X,0.5,100,-1,1" for state in ("ASSAM", "BIHAR", "") for n in (1, 1, 2)])
+    agri = S.read_agri(spark, path)
+    root = S.publish_states(agri, str(tmp_path / "states"))
+    S.publish_states(agri.filter("State = 'ASSAM'"), root)
+    again = S.read_states(spark, root)
+    assert again.count() == 9 and again.drop(S.STATE_KEY).exceptAll(agri).isEmpty()
+    assert again.filter(F.col(S.STATE_KEY) == "BIHAR").count() == 3
