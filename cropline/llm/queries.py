@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cropline.llm.common import read
 from cropline.llm.exact_dedup import resolve_copies
+from cropline.llm.lexical import rank_documents
 from cropline.llm.line_dedup import MIN_LINES, MIN_WORDS, line_dedup
 from cropline.llm.mixing import mix_sources
 from cropline.llm.pieces import encode_texts
+from cropline.llm.prefix_trie import SharedHeads, conversation_trie
+from cropline.llm.rules import fit_rules, score_quality
 from cropline.llm.secret_scan import scan_secrets
 from cropline.llm.sharding import SHARDS, SLOTS, fill_table, place
 from cropline.llm.simhash import near_groups
@@ -113,6 +116,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", sha)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, which share heads."""
+    return conversation_trie(read(spark, sf_dir, "conversations"), SharedHeads())
+
+
+def _held_out() -> Column:
+    """Whether the labels of a document are kept from the model."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by rules learnt from the labels not held out."""
+    docs = read(spark, sf_dir, "documents")
+    model = fit_rules(docs, read(spark, sf_dir, "labels").filter(~_held_out()))
+    scored = score_quality(docs, model).withColumnRenamed("_id", "doc_id")
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filter": op2_url_filter,
@@ -124,6 +150,9 @@ QUERIES = {
     "op8_pieces": op8_pieces,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_quality": op12_quality,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _TABLE = ",".join(map(str, fill_table(SHARDS)))
@@ -209,5 +238,72 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))
+""",
+    "op11_prefix_trie": """
+WITH turn_ AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), size_ AS (
+  SELECT c, count(*) AS n FROM turn_ GROUP BY c
+), head AS (
+  SELECT size_.c, size_.c - size_.c % 20 AS base, least(h, coalesce(b.n, 0)) AS got, h
+  FROM (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+            list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+          lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+            lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM size_) AS size_
+  LEFT JOIN (SELECT c AS b, n FROM size_) AS b ON b.b = size_.c - size_.c % 20
+), rebuilt AS (
+  SELECT head.c, p, role, text FROM head JOIN turn_ ON turn_.c = base AND p < h
+  UNION ALL SELECT head.c, p - h + got, role, text FROM head JOIN turn_ ON turn_.c = head.c AND p >= h
+), way AS (
+  SELECT c, 0 AS d, '' AS node, 0 AS words FROM head
+  UNION ALL SELECT c, p + 1, string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY p),
+         len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) FROM rebuilt
+), linked AS (
+  SELECT *, lag(node) OVER (PARTITION BY c ORDER BY d) AS above FROM way
+), node_ AS (
+  SELECT d, node, any_value(above) AS above, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words FROM linked GROUP BY d, node
+), child AS (
+  SELECT d - 1 AS d, above AS node, count(*) AS n FROM node_ WHERE d > 0 GROUP BY ALL
+), counted AS (
+  SELECT node_.*, coalesce(child.n, 0) AS n_children FROM node_ LEFT JOIN child USING (d, node)
+), total AS (
+  SELECT way.d, way.node, sum((n_convs - 1) * v.words) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM counted v JOIN way ON way.c = v.conv_id AND way.d <= v.d GROUP BY ALL
+), ended AS (
+  SELECT d, node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+  FROM (SELECT c, max(d) AS d, arg_max(node, d) AS node FROM way GROUP BY c) GROUP BY d, node
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM counted n JOIN total USING (d, node) LEFT JOIN ended USING (d, node)
+LEFT JOIN node_ parent ON parent.d = n.d - 1 AND parent.node = n.above
+""",
+    "op13_ranked_search": """
+WITH term AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM documents
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark
+), size_ AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM term GROUP BY doc_id
+), whole AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS l FROM size_
+), tf AS (
+  SELECT doc_id, t, CAST(count(*) AS BIGINT) AS tf FROM term WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf, whole GROUP BY t, docs
+), hit AS (
+  SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l))) AS v
+  FROM tf JOIN size_ USING (doc_id) JOIN weight USING (t), whole
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(v) AS BIGINT) AS score FROM asked JOIN hit USING (t) GROUP BY ALL HAVING sum(v) > 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
 }
