@@ -46,10 +46,11 @@ def explode_list(df: DataFrame, array: str, name: str) -> DataFrame:
     return df.select(*others, F.posexplode(array).alias("ordinal", name))
 
 
-def category_values(df: DataFrame, features: dict[str, str], model: str) -> DataFrame:
-    """Distinct values of each category; ``features`` maps a feature to its column.
-    All features come from one scan."""
+def category_values(df: DataFrame, features: dict[str, str], model: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct values of each category, in each group of ``by``; ``features`` maps a
+    feature to its column. All features come from one scan."""
     values = df.select(
+        *by,
         F.explode(
             F.array(
                 *[
@@ -58,7 +59,7 @@ def category_values(df: DataFrame, features: dict[str, str], model: str) -> Data
                 ]
             )
         ).alias("v")
-    ).select(F.lit(model).alias("model"), "v.feature", "v.value")
+    ).select(F.lit(model).alias("model"), "v.feature", "v.value", *by)
     return values.filter(F.col("value").isNotNull()).distinct()
 
 

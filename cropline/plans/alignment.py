@@ -38,8 +38,8 @@ def refresh_partition(
 ) -> str:
     """Align the state and replace its rows in facts published by state.
 
-    Only the state's own partition is read and written; the files of all other
-    states stay as they are. No new rows for a state that has old ones is an error.
+    Only the state's own partition is read and written, in a new version that has the files
+    of all other states as they are. No new rows for a state that has old ones is an error.
     """
     spark = production.sparkSession
     aligned = materialise(align_state(production, prices, rain, state, subdivision, aliases))

@@ -58,7 +58,11 @@ def fit_vocabulary(agri: DataFrame, prices: DataFrame) -> DataFrame:
 def derive_artefacts(agri: DataFrame, vocab: DataFrame | None = None) -> Artefacts:
     """Lookup tables from the facts, which are shuffled once: everything derives
     from their yearly sums."""
-    yearly = materialise(yearly_rollup(agri))
+    return artefacts_of(materialise(yearly_rollup(agri)), vocab)
+
+
+def artefacts_of(yearly: DataFrame, vocab: DataFrame | None = None) -> Artefacts:
+    """Lookup tables from stored yearly sums."""
     return Artefacts(
         state_districts=state_districts(yearly),
         district_crops=district_crops(yearly),
@@ -70,12 +74,15 @@ def derive_artefacts(agri: DataFrame, vocab: DataFrame | None = None) -> Artefac
 
 def build_artefacts(agri: DataFrame, root: str, version: str, vocab: DataFrame | None = None) -> Artefacts:
     """Derive the lookup tables, store them as Parquet and read them back."""
-    derived = derive_artefacts(agri, vocab)
+    store_artefacts(derive_artefacts(agri, vocab), root, version)
+    return load_artefacts(agri.sparkSession, root, version, with_vocab=vocab is not None)
+
+
+def store_artefacts(artefacts: Artefacts, root: str, version: str) -> None:
     for name in TABLES:
-        table = getattr(derived, name)
+        table = getattr(artefacts, name)
         if table is not None:
             table.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
-    return load_artefacts(agri.sparkSession, root, version, with_vocab=vocab is not None)
 
 
 def load_artefacts(spark: SparkSession, root: str, version: str, with_vocab: bool = True) -> Artefacts:

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from cropline import schemas
 from cropline.functions.constants import MISSING_TOKENS
-from cropline.functions.scalars import parse_double, parse_int, upper_key
+from cropline.functions.scalars import parse_double, parse_int, strip, upper_key
 from cropline.operators.clean import only_state
+from cropline.sources.versions import FILE_ROWS, read_partitions, write_partitions
 
 Paths = str | list[str]
 
@@ -53,18 +54,23 @@ def read_agri(spark: SparkSession, path: Paths, raw: bool = False) -> DataFrame:
 
 
 def _by_header(spark: SparkSession, path: Paths) -> list[list[str]]:
-    """Files grouped by equal headers. Lists files and reads first lines only."""
+    """Files grouped by equal headers, found in one distributed pass.
+
+    The first line of a file is the first that the task with its first block reads. The
+    number of jobs does not depend on the number of files.
+    """
     try:
-        files = [r.path for r in spark.read.format("binaryFile").load(path).select("path").collect()]
+        files = spark.read.format("binaryFile").load(path).select("path", F.col("_metadata.file_path").alias("file"))
+        lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for file in sorted(files):
-        header = tuple(spark.read.option("header", True).option("encoding", "UTF-8").csv(file).columns)
-        groups.setdefault(header, []).append(file)
-    return list(groups.values())
+    heads = lines.filter((F.col("file_block_start") == 0) & (strip("value") != ""))
+    heads = heads.groupBy(F.col("file_path").alias("_file")).agg(F.first("value").alias("header"))
+    named = files.join(heads, F.col("file") == F.col("_file"))
+    groups = named.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return sorted(row.paths for row in groups.collect())
 
 
 def read_prices(spark: SparkSession, path: Paths, columns: list[str] | None = None) -> DataFrame:
@@ -141,34 +147,41 @@ def publish_agri(df: DataFrame, root: str, version: str, file_format: str = "csv
 STATE_KEY = "state_key"
 
 
-def publish_states(df: DataFrame, path: str, parts: int = 16) -> str:
-    """Write facts as Parquet by state, replacing the partitions of the states in
-    ``df`` and no other files.
+def publish_states(df: DataFrame, path: str, rows: int = FILE_ROWS) -> str:
+    """Write facts as Parquet by state, in a new version that replaces the states in
+    ``df`` and no others.
 
     The folder of a state is its upper-cased name; rows without a state have one
-    of their own. ``df`` must not be read from partitions that it replaces.
+    of their own. Readers see the whole new version or the one before, so ``df`` may
+    be read from the table itself. A state gets as many files as its rows ask for.
     """
-    keyed = df.select(*schemas.AGRI.names, F.upper("State").alias(STATE_KEY))
-    part = F.pmod(F.xxhash64(*schemas.AGRI.names), F.lit(parts))
-    writer = keyed.repartition(F.col(STATE_KEY), part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(STATE_KEY).parquet(path)
+    write_partitions(df.select(*schemas.AGRI.names, F.upper("State").alias(STATE_KEY)), path, STATE_KEY, rows)
     return path
 
 
-def read_states(spark: SparkSession, path: str) -> DataFrame:
-    """Facts published by state; a filter on ``state_key`` prunes files."""
-    layout = T.StructType([*schemas.AGRI, T.StructField(STATE_KEY, T.StringType())])
-    return spark.read.schema(layout).parquet(path)
+def read_states(
+    spark: SparkSession, path: str, version: int | None = None, partitions: list[str] | None = None
+) -> DataFrame:
+    """Facts published by state, of the newest version or a given one; a filter on
+    ``state_key`` prunes files, ``partitions`` reads the named ones only."""
+    key = T.StructField(STATE_KEY, T.StringType())
+    return read_partitions(spark, path, schemas.AGRI, key, version, partitions)
 
 
-def publish_prices(df: DataFrame, path: str) -> str:
-    """Write prices as Parquet by year, so that a filter on ``Year`` prunes files."""
-    df.repartition("Year", F.pmod(F.xxhash64(*df.columns), F.lit(64))).write.mode("overwrite").partitionBy(
-        "Year"
-    ).parquet(path)
+def publish_prices(df: DataFrame, path: str, rows: int = FILE_ROWS) -> str:
+    """Write prices as Parquet by year, in a new version that replaces the whole table. A
+    year gets as many files as its rows ask for. Missing columns are null."""
+    layout = empty_prices(df.sparkSession)
+    known = df.select(*[c for c in layout.columns if c in df.columns])
+    write_partitions(layout.unionByName(known, allowMissingColumns=True), path, "Year", rows, only=True)
     return path
 
 
+def read_published_prices(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """Prices published by year; a filter on ``Year`` prunes files."""
+    return read_partitions(spark, path, schemas.PRICES, T.StructField("Year", T.IntegerType()), version)
+
+
 def _log_rows(df: DataFrame, schema: T.StructType) -> DataFrame:
     if "timestamp" not in df.columns:
         df = df.withColumn("timestamp", F.current_timestamp())

@@ -105,20 +105,45 @@ def test_refresh_leaves_other_states_alone(spark, tmp_path, price_folder):
     args = S.read_prices(spark, price_folder), S.read_rainfall(spark, rain), "ASSAM", "ASSAM & MEGHALAYA"
     refresh_partition(root, S.read_production(spark, production), *args)
     after = {f: f.stat().st_mtime_ns for f in (tmp_path / "states").rglob("*.parquet")}
-    kept = {f for f in before if "state_key=ASSAM" not in str(f)}
-    assert len(kept) == 2 and all(after.get(f) == before[f] for f in kept) and not (set(before) - kept) & set(after)
+    # No file is changed or removed, and only the state has new ones.
+    assert all(after.get(f) == before[f] for f in before)
+    assert {f.parent.name for f in set(after) - set(before)} == {"state_key=ASSAM"}
     rows = {(r.State, r.District) for r in S.read_states(spark, root).collect()}
     assert rows == {("BIHAR", "D"), (None, "D"), ("ASSAM", "NEW")}
 
 
 def test_prices_by_year_are_pruned(spark, price_folder, tmp_path, capsys):
     path = S.publish_prices(S.read_prices(spark, price_folder), str(tmp_path / "by_year"))
-    df = spark.read.parquet(path).filter("Year = 2004")
+    df = S.read_published_prices(spark, path).filter("Year = 2004")
     df.explain()
     assert "PartitionFilters: [isnotnull(Year" in capsys.readouterr().out
     assert df.count() == 1
 
 
+def test_headers_are_found_in_a_constant_number_of_jobs(spark, tmp_path):
+    heads = ["State,District,Commodity,Modal_Price", "Commodity,Modal_Price,State,District", "State,Commodity,Modal_Price,Note"]
+    rows = ["Assam,d,Paddy,{n}", "Paddy,{n},Assam,d", "Assam,Paddy,{n},hi"]
+
+    def folder(name, files):
+        for n in range(files):
+            write(tmp_path / name / f"{2000 + n % 20}.{n} a+b.csv", *([""] if n % 5 == 0 else []), heads[n % 3], rows[n % 3].format(n=n))
+        return str(tmp_path / name)
+
+    def jobs(path):
+        group = f"headers of {path}"
+        spark.sparkContext.setJobGroup(group, group)
+        groups = S._by_header(spark, path)
+        spark.sparkContext.setJobGroup("", "")
+        return groups, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = folder("few", 6), folder("many", 600)
+    groups, used = jobs(many)
+    assert sorted(map(len, groups)) == [200, 200, 200] and used == jobs(few)[1]
+    read = S.read_prices(spark, many)
+    assert sorted(r.Modal_Price for r in read.collect()) == [float(n) for n in range(600)]
+    assert {(r.State, r.Commodity) for r in read.collect()} == {("Assam", "Paddy")}
+
+
 def test_access_log(spark, frame, tmp_path):
     path = str(tmp_path / "auth")
     S.append_auth_events(frame("id long, username string, action string", [(1, "ada", "LOGOUT")]), path)
