@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.internal import InternalFunction
 
-from cropline.functions.scalars import round_even
+from cropline.functions.scalars import add_sums, exact_sum, not_nan, round_even, sum_value
 
 SUCCESS = "SUCCESS"
 ERROR = "ERROR"
@@ -51,39 +52,82 @@ def log_classes(log: DataFrame) -> DataFrame:
     return log.withColumns(changes)
 
 
-def monitoring(log: DataFrame, auth: DataFrame, latencies: int = 20, rows: int = 10) -> DataFrame:
-    """The whole monitoring report in long form: section, row id, field, value."""
-    money = "decimal(18,2)"
+LATENCIES, ROWS = 20, 10
 
-    def long(df: DataFrame, section: str, key: Column, fields: dict[str, Column]) -> DataFrame:
-        entries = F.array(
-            *[F.struct(F.lit(n).alias("field"), c.cast("string").alias("value")) for n, c in fields.items()]
-        )
-        return df.select(F.lit(section).alias("section"), key.cast("bigint").alias("row_id"), F.inline(entries))
 
-    summary = long(
-        monitor_summary(log),
+def _newest(row: Column, n: int) -> Column:
+    """Aggregate: the ``n`` greatest of the rows that are not null, a bounded heap that merges."""
+    return InternalFunction.collect_top_k(row, n, False)
+
+
+def log_state(log: DataFrame, latencies: int = LATENCIES, rows: int = ROWS) -> DataFrame:
+    """One row from one scan of a prediction log, from which its report follows: counts, the sum
+    of latencies, the newest rows and the newest latencies. States of parts merge.
+
+    Of rows that share an id the order is that of their other fields.
+    """
+    success = F.col("status") == SUCCESS
+    latency = F.when(success, F.col("latency_ms"))
+    return log.agg(
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(is_error()).alias("errors"),
+        F.count(not_nan(latency)).alias("timed"),
+        exact_sum(latency).alias("latency"),
+        _newest(F.struct("id", "username", "status", "total_value"), rows).alias("predictions"),
+        _newest(F.when(success, F.struct("id", F.col("latency_ms").alias("latency"))), latencies).alias("history"),
+    )
+
+
+def merge_states(states: DataFrame, latencies: int = LATENCIES, rows: int = ROWS) -> DataFrame:
+    """The state of all parts together."""
+
+    def newest(name: str, n: int) -> Column:
+        return F.slice(F.sort_array(F.flatten(F.collect_list(name)), asc=False), 1, n).alias(name)
+
+    sums = [F.coalesce(F.sum(c), F.lit(0).cast("bigint")).alias(c) for c in ("total", "errors", "timed")]
+    return states.agg(*sums, add_sums("latency").alias("latency"), newest("predictions", rows), newest("history", latencies))
+
+
+def _entries(section: str, key: Column, fields: dict[str, Column]) -> Column:
+    """Entries of one report row."""
+    name, id_ = F.lit(section).alias("section"), key.cast("bigint").alias("row_id")
+    return F.array(
+        *[F.struct(name, id_, F.lit(f).alias("field"), c.cast("string").alias("value")) for f, c in fields.items()]
+    )
+
+
+def _section(name: str, found: str, fields: dict[str, str | None]) -> Column:
+    """Entries of all rows of an aggregated array; fields and what they are cast to."""
+
+    def entries(row: Column) -> Column:
+        return _entries(name, row["id"], {f: row[f].cast(kind) if kind else row[f] for f, kind in fields.items()})
+
+    return F.flatten(F.transform(found, entries))
+
+
+_MONEY = "decimal(18,2)"
+
+
+def log_report(state: DataFrame) -> DataFrame:
+    """The report of a :func:`log_state` in long form: section, row id, field, value."""
+    mean = F.coalesce(F.try_divide(sum_value("latency"), F.col("timed")), F.lit(0.0))
+    rate = F.coalesce(F.try_divide("errors", "total") * 100, F.lit(0.0))
+    summary = _entries(
         "summary",
         F.lit(0),
         {
-            "total_predictions": F.col("total_predictions"),
-            "avg_latency_ms": F.col("avg_latency_ms").cast(money),
-            "error_rate_pct": F.col("error_rate_pct").cast(money),
+            "total_predictions": F.col("total"),
+            "avg_latency_ms": round_even(mean, 2).cast(_MONEY),
+            "error_rate_pct": round_even(rate, 2).cast(_MONEY),
         },
     )
-    history = long(
-        latency_history(log, latencies), "latency_history", F.col("id"), {"latency": F.col("latency").cast(money)}
-    )
-    predictions = long(
-        recent(log.select("id", "username", "status", "total_value"), rows),
-        "recent_predictions",
-        F.col("id"),
-        {"username": F.col("username"), "status": F.col("status"), "total_value": F.col("total_value").cast(money)},
-    )
-    events = long(
-        recent(auth.select("id", "username", "action", "ip_address"), rows),
-        "recent_auth_events",
-        F.col("id"),
-        {"username": F.col("username"), "action": F.col("action"), "ip_address": F.col("ip_address")},
-    )
-    return summary.unionByName(history).unionByName(predictions).unionByName(events)
+    history = _section("latency_history", "history", {"latency": _MONEY})
+    newest = _section("recent_predictions", "predictions", {"username": None, "status": None, "total_value": _MONEY})
+    return state.select(F.inline(F.concat(summary, history, newest)))
+
+
+def monitoring(log: DataFrame, auth: DataFrame, latencies: int = LATENCIES, rows: int = ROWS) -> DataFrame:
+    """The whole monitoring report in long form: section, row id, field, value. Each log is scanned once."""
+    events = auth.agg(_newest(F.struct("id", "username", "action", "ip_address"), rows).alias("events"))
+    shown = _section("recent_auth_events", "events", {"username": None, "action": None, "ip_address": None})
+    return log_report(log_state(log, latencies, rows)).unionByName(events.select(F.inline(shown)))

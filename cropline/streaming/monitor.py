@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cropline import schemas
 from cropline.functions.scalars import exact_mean, round_even
-from cropline.operators.monitor import SUCCESS, is_error
+from cropline.operators.monitor import LATENCIES, ROWS, SUCCESS, is_error, log_report, log_state, merge_states
 from cropline.session import passing_tables
 from cropline.sources.files import auth_rows, prediction_rows, write_log
 
@@ -58,6 +58,47 @@ def write_windows(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the stored states."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def keep_report(
+    stream: DataFrame, path: str, checkpoint: str, latencies: int = LATENCIES, rows: int = ROWS
+) -> StreamingQuery:
+    """Keep the report of a streamed prediction log up to date: what the console polls.
+
+    A micro-batch is reduced to one row, merged with the state after the batch before and
+    stored under its own number, so a repeated batch replaces itself and counts once. The state
+    holds a few sums and the newest rows, however long the log is; the last two are kept.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = _batches(spark, path)
+        states = log_state(batch, latencies, rows)
+        before = [n for n in known if n < number]
+        if before:
+            states = states.unionByName(spark.read.schema(states.schema).parquet(f"{path}/batch={before[-1]}"))
+        merge_states(states, latencies, rows).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in before[:-1]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={old}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def kept_report(spark: SparkSession, path: str) -> DataFrame:
+    """The report after the last batch, in the form of ``monitoring``."""
+    return log_report(spark.read.parquet(f"{path}/batch={_batches(spark, path)[-1]}"))
+
+
 def append_log(stream: DataFrame, rows: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Append ``rows`` of each micro-batch to a log that batch jobs append to as well.
 

@@ -101,3 +101,55 @@ def test_batch_and_stream_share_a_log(spark, log_folder, tmp_path):
     copy = T.append_prediction_stream(T.read_log_stream(spark, out), str(tmp_path / "copy"), str(tmp_path / "c"))
     copy.awaitTermination()
     assert read_log(spark, str(tmp_path / "copy")).count() == 4
+
+
+def test_the_report_scans_each_log_once(spark, frame, tmp_path):
+    log = frame("id long, username string, status string, latency_ms double, total_value double",
+                [(i, f"u{i}", "SUCCESS" if i % 3 else "ERROR", float(i), None if i == 49 else i * 1.5) for i in range(50)] + [(50, None, None, None, 1.0)])
+    auth = frame("id long, username string, action string, ip_address string", [(i, "a", "LOGOUT", None) for i in range(4)])
+    for name, df in (("log", log), ("auth", auth)):
+        df.write.parquet(str(tmp_path / name))
+    stored = [spark.read.parquet(str(tmp_path / name)) for name in ("log", "auth")]
+    report = R.monitoring(*stored, latencies=5, rows=3)
+    assert report._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 2
+    rows = [tuple(r) for r in report.collect()]
+    assert [r[1] for r in rows if r[0] == "latency_history"] in ([49, 47, 46, 44, 43], [43, 44, 46, 47, 49])
+    assert {r[1] for r in rows if r[0] == "recent_predictions"} == {50, 49, 48}
+    assert ("recent_predictions", 50, "username", None) in rows and ("summary", 0, "total_predictions", "51") in rows
+    assert len([r for r in rows if r[0] == "recent_auth_events"]) == 9
+    empty = [tuple(r) for r in R.monitoring(stored[0].limit(0), stored[1].limit(0)).collect()]
+    assert [r[3] for r in empty] == ["0", "0.00", "0.00"]
+
+
+def test_a_kept_report_equals_the_batch_one_after_a_restart(spark, frame, tmp_path):
+    source, state, checkpoint = (str(tmp_path / x) for x in ("log", "state", "checkpoint"))
+    schema = "id long, username string, status string, latency_ms double, total_value double"
+
+    def rows(first, last):
+        return frame(schema, [(i, f"u{i % 7}", ["SUCCESS", "ERROR", None][i % 3 if i % 5 else 0], i / 7, i * 1.25) for i in range(first, last)])
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        T.keep_report(stream, state, checkpoint, latencies=6, rows=4).awaitTermination()
+
+    auth = frame("id long, username string, action string, ip_address string", [])
+
+    def same():
+        want = R.monitoring(spark.read.schema(schema).parquet(source), auth, latencies=6, rows=4)
+        return sorted(map(str, T.kept_report(spark, state).collect())) == sorted(map(str, want.collect()))
+
+    for first in range(0, 60, 20):
+        rows(first, first + 20).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert same() and len(T._batches(spark, state)) == 2
+    # Old ids and new ones arrive; the stream goes on where it was.
+    rows(-30, -10).coalesce(1).write.mode("append").parquet(source)
+    rows(60, 75).coalesce(1).write.mode("append").parquet(source)
+    run()
+    assert same()
+    # The last batch is run again, as after a failure behind its write: it counts once.
+    last = max(int(f.name) for f in (tmp_path / "checkpoint" / "commits").iterdir() if f.name.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        (tmp_path / "checkpoint" / "commits" / name).unlink(missing_ok=True)
+    run()
+    assert same() and T._batches(spark, state)[-1] == last
