@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cropline.functions.joins import fits_broadcast
+from cropline.session import materialise
 
 REGEX_BLOCKS = 64
 
@@ -58,27 +59,65 @@ def first_containing(
     return best.join(wanted, F.col("_piece") == F.col(word)).select(word, rank)
 
 
+# Patterns in which a text need not stand as it is written: alternatives, inline flags, quoting,
+# escapes that take further characters, nested classes.
+_OPAQUE = r"\||\(\?|\\[QxuUc0pPkNX1-9]|\[[^\]]*\["
+# What a pattern is cut at, in this order; a repeated character may be absent and goes along.
+_CUTS = (
+    r"\\.",  # escapes
+    r"\[\^?\]?[^\]]*\]([?*+]|\{[^}]*\})*",  # classes
+)
+_GROUP = r"\([^()]*\)([?*+]|\{[^}]*\})*"
+_REPEATS = r".([?*]|\{[^}]*\})[?+]?"
+_DEPTH = 8
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text that every match of a regular expression contains, null if none is found.
+
+    Only what stands outside of groups and classes counts, so the text found may be shorter
+    than it could be, but no match is without it.
+    """
+    rest = pattern
+    for cut in _CUTS:
+        rest = F.regexp_replace(rest, cut, "\n")
+    for _ in range(_DEPTH):
+        rest = F.regexp_replace(rest, _GROUP, "\n")
+    rest = F.regexp_replace(rest, _REPEATS, "\n")
+    runs = F.split(rest, r"[\n.^$+?*{}\[\]\\]+")
+    longest = F.array_max(F.transform(runs, lambda run: F.struct(F.length(run).alias("size"), run.alias("run"))))["run"]
+    # A group left over is nested too deep, or not a group.
+    plain = ~pattern.rlike(_OPAQUE) & ~pattern.contains("\n") & ~rest.rlike(r"[()]")
+    return F.when(plain & (longest != ""), longest)
+
+
 def matching_regex(patterns: DataFrame, names: DataFrame, pattern: str, name: str) -> DataFrame:
     """Pairs ``(pattern, name)`` where the regular expression is found in the name.
 
     Plain words, and words whose only special characters are round brackets
     around plain text (which match as if the brackets were absent), go through
-    :func:`containing`. Anything else is tested against the distinct names in
-    blocks joined by block number.
+    :func:`containing`. Of any other pattern the longest text that its matches must
+    contain does, and only the names that have it are tested. Patterns without such a text, as
+    alternatives, are tested against the distinct names in blocks joined by block number.
     """
     plain = r"^[^\\^$.|?*+()\[\]{}]*$"
     grouped = r"^([^\\^$.|?*+()\[\]{}]*\([^\\^$.|?*+()\[\]{}]*\))*[^\\^$.|?*+()\[\]{}]*$"
     wanted = patterns.select(pattern).filter(F.col(pattern).isNotNull()).distinct()
-    literal = wanted.filter(F.col(pattern).rlike(plain) | F.col(pattern).rlike(grouped)).withColumn(
-        "_word", F.regexp_replace(F.col(pattern), r"[()]", "")
-    )
-    found = containing(literal, names, "_word", name).join(literal, "_word").select(pattern, name)
-    empty = literal.filter(F.col("_word") == "").select(pattern)
-
-    special = wanted.filter(~(F.col(pattern).rlike(plain) | F.col(pattern).rlike(grouped))).unionByName(
-        empty
+    is_word = F.col(pattern).rlike(plain) | F.col(pattern).rlike(grouped)
+    keyed = materialise(
+        wanted.select(
+            pattern,
+            is_word.alias("_whole"),
+            F.when(is_word, F.regexp_replace(F.col(pattern), r"[()]", "")).otherwise(required_literal(F.col(pattern))).alias("_word"),
+        )
     )
-    blocks = special.withColumn("_block", F.pmod(F.xxhash64(pattern), F.lit(REGEX_BLOCKS)))
+    indexed = keyed.filter(F.coalesce(F.col("_word"), F.lit("")) != "")
+    fits = F.col("_whole") | F.expr(f"`{name}` rlike `{pattern}`")
+    found = containing(indexed, names, "_word", name).join(indexed, "_word").filter(fits).select(pattern, name)
+    others = keyed.filter(F.coalesce(F.col("_word"), F.lit("")) == "").select(pattern)
+    if others.isEmpty():
+        return found
+    blocks = others.withColumn("_block", F.pmod(F.xxhash64(pattern), F.lit(REGEX_BLOCKS)))
     used = blocks.agg(F.collect_set("_block").alias("_b")).scalar()
     tested = (
         names.select(name).filter(F.col(name).isNotNull()).distinct()

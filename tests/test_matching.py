@@ -1,5 +1,10 @@
+import random
+
 import pytest
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import functions as F
 
+from cropline.functions.matching import matching_regex, required_literal
 from cropline.operators import aggregates as A, matching as J
 
 VOCAB = "model string, feature string, ordinal int, value string"
@@ -64,3 +69,48 @@ def test_vocabulary_codes_are_sorted_positions(frame):
     df = frame("a string, b string", [("y", "1"), ("x", "2"), ("y", None)])
     rows = A.vocabulary(A.category_values(df, {"fa": "a", "fb": "b"}, "m")).collect()
     assert {(r.feature, r.ordinal, r.value) for r in rows} == {("fa", 0, "x"), ("fa", 1, "y"), ("fb", 0, "1"), ("fb", 1, "2")}
+
+
+PATTERNS = [
+    "rice", "ri.e", "^rice", "rice$", "ric+e", "ri?ce", "r[iy]ce", "ri(ce)?", "(ri)+ce", "pad{2}y", "pad{0,2}y", "a|rice", "(a|b)c rice",
+    r"rice\.", r"\d rice", r"\bpaddy", "(?i)RICE", "x*", ".*", "", "gra(m(s)?)? \\(", "paddy.*fine", "a+?b", "co*?rn", "[a[b]]c", "[]r]ice",
+    "[^]r]ice", r"\Qa.b\E", r"\x72ice", "pad(d(y( f(ine)?)?)?)?", "((((((((((deep))))))))))x", "naïve?", "mill[ei]t{1,2}s+", "()rice",
+    "wheat()", "(rice", "r{1}ice",
+]
+
+
+def test_regex_index_equals_all_pairs(spark, frame):
+    rng = random.Random(3)
+    atoms = ["a", "b", "ri", "ce", "pad", ".", "[ab]", "(ab)", "(a)?", "b*", "c+", "i?", "^", "$", r"\.", r"\w", "|", "d{2}", "(b(c)?)*", " "]
+    patterns = {"".join(rng.choice(atoms) for _ in range(rng.randrange(1, 5))) for _ in range(150)}
+    patterns = [p for p in {*PATTERNS, *patterns} if valid(spark, p)]
+    letters = ["a", "b", "c", "d", "ri", "ce", "pad", "dy", " ", ".", "fine", "e", "x", "("]
+    names = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 6))) for _ in range(300)}
+    names |= {"rice", "ryce", "paddy fine", "Rice", "rice.", "gram (", "padddy", "a.b", "naïve", "naïv", "millets", "deepx", "9 rice", "]ice"}
+    left, right = frame("p string", [(p,) for p in patterns] + [(None,)]), frame("n string", [(n,) for n in names] + [(None,)])
+    want = {(r.p, r.n) for r in left.crossJoin(right).filter("n rlike p").collect()}
+    got = [tuple(r) for r in matching_regex(left, right, "p", "n").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 2000
+
+
+def valid(spark, pattern):
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+        return True
+    except IllegalArgumentException:
+        return False
+
+
+def test_literals_that_every_match_contains(spark, frame):
+    df = frame("p string", [(p,) for p in PATTERNS])
+    found = {r.p: r.w for r in df.select("p", required_literal(F.col("p")).alias("w")).collect()}
+    assert found["paddy.*fine"] == "paddy" and found["ri?ce"] == "ce" and found["pad{2}y"] == "pa" and found["naïve?"] == "naïv"
+    assert found["r[iy]ce"] == "ce" and found[r"\bpaddy"] == "paddy" and found["mill[ei]t{1,2}s+"] == "mill"
+    assert [found[p] for p in ("a|rice", "x*", ".*", "", "(?i)RICE", r"\Qa.b\E", "(rice")] == [None] * 7
+
+
+def test_patterns_with_a_literal_are_not_joined_by_block(spark, frame):
+    names = frame("n string", [("rice fine",), ("paddy",)])
+    for patterns, blocks in ((["ri.e", "pad+y"], False), (["ri.e", "a|b"], True)):
+        plan = matching_regex(frame("p string", [(p,) for p in patterns]), names, "p", "n")._jdf.queryExecution().toString()
+        assert ("_nblock" in plan) == blocks
