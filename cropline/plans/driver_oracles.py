@@ -348,7 +348,7 @@ oracle(
     "standardise",
     ["agri"],
     f"""SELECT {KEY}, Year, Season, {r('Modal_Price')} AS Modal_Price, {r('(Modal_Price - m) / s')} AS z
-    FROM agri, (SELECT avg(Modal_Price) AS m, stddev_samp(Modal_Price) AS s FROM agri)""",
+    FROM (SELECT *, avg(Modal_Price) OVER () AS m, stddev_samp(Modal_Price) OVER () AS s FROM agri)""",
 )
 
 # Joins
@@ -880,38 +880,34 @@ def _fields(source: str, section: str, fields: dict[str, str]) -> str:
 
 
 _MONEY = "cast({} AS decimal(18,2))"
-oracle(
-    "monitoring",
-    ["prediction_logs", "auth_events"],
-    " UNION ALL ".join(
-        [
-            _fields(
-                f"SELECT 0 AS row_id, * FROM ({_summary("status = 'ERROR'")})",
-                "summary",
-                {
-                    "total_predictions": "total_predictions",
-                    "avg_latency_ms": _MONEY.format("avg_latency_ms"),
-                    "error_rate_pct": _MONEY.format("error_rate_pct"),
-                },
-            ),
-            _fields(
-                "SELECT id AS row_id, * FROM prediction_logs WHERE status = 'SUCCESS' ORDER BY id DESC LIMIT 20",
-                "latency_history",
-                {"latency": _MONEY.format("latency_ms")},
-            ),
-            _fields(
-                "SELECT id AS row_id, * FROM prediction_logs ORDER BY id DESC LIMIT 10",
-                "recent_predictions",
-                {"username": "username", "status": "status", "total_value": _MONEY.format("total_value")},
-            ),
-            _fields(
-                "SELECT id AS row_id, * FROM auth_events ORDER BY id DESC LIMIT 10",
-                "recent_auth_events",
-                {"username": "username", "action": "action", "ip_address": "ip_address"},
-            ),
-        ]
+_LOG_SECTIONS = [
+    _fields(
+        f"SELECT 0 AS row_id, * FROM ({_summary("status = 'ERROR'")})",
+        "summary",
+        {
+            "total_predictions": "total_predictions",
+            "avg_latency_ms": _MONEY.format("avg_latency_ms"),
+            "error_rate_pct": _MONEY.format("error_rate_pct"),
+        },
+    ),
+    _fields(
+        "SELECT id AS row_id, * FROM prediction_logs WHERE status = 'SUCCESS' ORDER BY id DESC LIMIT 20",
+        "latency_history",
+        {"latency": _MONEY.format("latency_ms")},
     ),
+    _fields(
+        "SELECT id AS row_id, * FROM prediction_logs ORDER BY id DESC LIMIT 10",
+        "recent_predictions",
+        {"username": "username", "status": "status", "total_value": _MONEY.format("total_value")},
+    ),
+]
+_AUTH_SECTION = _fields(
+    "SELECT id AS row_id, * FROM auth_events ORDER BY id DESC LIMIT 10",
+    "recent_auth_events",
+    {"username": "username", "action": "action", "ip_address": "ip_address"},
 )
+oracle("monitoring", ["prediction_logs", "auth_events"], " UNION ALL ".join([*_LOG_SECTIONS, _AUTH_SECTION]))
+oracle("stream_report", ["prediction_logs"], " UNION ALL ".join(_LOG_SECTIONS))
 _WINDOWS = f"""SELECT time_bucket(INTERVAL 1 DAY, timestamp) AS window_start,
   time_bucket(INTERVAL 1 DAY, timestamp) + INTERVAL 1 DAY AS window_end, count(*) AS predictions,
   {r(mean("CASE WHEN status = 'SUCCESS' THEN latency_ms END"), 4)} AS avg_latency_ms,
@@ -943,13 +939,20 @@ _AGRI_COLUMNS = (
 )
 for _name in ("read_agri", "publish_agri"):
     oracle(_name, ["agri"], f"SELECT {_AGRI_COLUMNS} FROM agri")
-oracle("publish_states", ["agri"], f"SELECT {_AGRI_COLUMNS} FROM agri WHERE State = 'EUROPE'")
+oracle("publish_states", ["agri"], f"SELECT {_AGRI_COLUMNS}, upper(State) AS state_key FROM agri")
+oracle(
+    "state_versions",
+    ["agri"],
+    f"""SELECT 1 AS version, {_AGRI_COLUMNS} FROM agri UNION ALL SELECT 2 AS version, {_AGRI_COLUMNS} FROM agri
+    WHERE State <> 'AFRICA' OR Year % 2 = 0""",
+)
 _FILE_PRICES = (
     "State, District, {market} AS Market, Commodity, cast(NULL AS varchar) AS Variety, cast(NULL AS varchar) AS Grade, Month, "
     + _wide(P3)
     + ", Year"
 )
 oracle("read_prices", ["prices"], f"SELECT {_FILE_PRICES.format(market='Market')} FROM prices")
+oracle("publish_prices", ["prices"], f"SELECT {_FILE_PRICES.format(market='Market')} FROM prices")
 oracle("read_prices_pruned", ["prices"], f"SELECT State, Year, {r('Modal_Price')} AS Modal_Price FROM prices")
 oracle(
     "union_years",
@@ -989,6 +992,25 @@ oracle(
     f"SELECT {_AGRI_COLUMNS} FROM agri WHERE State <> 'ASIA' UNION ALL BY NAME SELECT{_ALIGNED}",
 )
 
+oracle(
+    "refresh_shape",
+    ["agri", "asia", "ladder", "season_rain"],
+    f"""SELECT 1 AS version, count(*) AS rows, 12 AS columns FROM agri UNION ALL SELECT 2, count(*), 12
+    FROM (SELECT State FROM agri WHERE State <> 'ASIA' UNION ALL BY NAME SELECT State FROM (SELECT{_ALIGNED}))""",
+)
+# Lookup tables after one state was replaced
+_CHANGED = f"""(SELECT * FROM agri WHERE State <> 'ASIA' UNION ALL BY NAME SELECT a.State, a.District, a.Year, a.Season, a.Crop,
+    a.Area, a.Production, 'ASIA' AS SUBDIVISION, (w.rain_mm - 782.7453) / 925.3081 AS Rainfall, l.Modal_Price,
+    (l.Min_Price - 1563.7877) / 1029.2886 AS Min_Price, (l.Max_Price - 1865.0167) / 1194.8210 AS Max_Price
+    {_ALIGNED[_ALIGNED.index("FROM asia a"):]})"""
+oracle(
+    "refresh_artefacts",
+    ["agri", "asia", "ladder", "season_rain"],
+    f"""SELECT 'defaults' AS artefact, {KEY}, CAST(NULL AS INTEGER) AS year, rainfall AS a, min_price AS b, max_price AS c
+    FROM ({_defaults_of(_CHANGED)}) UNION ALL
+    SELECT 'trends', {KEY}, year, yield, price, NULL FROM ({_TRENDS.replace("FROM agri", f"FROM {_CHANGED}")})""",
+)
+
 # Scoring with fixed trees, and what holds for every fitted model
 
 
@@ -1034,3 +1056,11 @@ oracle(
     FROM pred p LEFT JOIN (SELECT State, District, Crop, count(*) AS n FROM trends GROUP BY ALL) t
       ON t.State = p.state AND t.District = p.district AND t.Crop = p.crop WHERE p.reason IS NULL""",
 )
+
+ORACLES["score_yield_saved"] = ORACLES["score_yield_fixed"]
+oracle(
+    "saved_models",
+    ["agri", "price_facts"],
+    """SELECT 'yield' AS model, count(*) AS n, count(*) AS same FROM agri
+    UNION ALL SELECT 'price', count(*), count(*) FROM price_facts""",
+)

@@ -33,10 +33,13 @@ from cropline.plans.artefacts import (
     derive_artefacts,
     fit_vocabulary,
 )
+from cropline.plans.incremental import refresh_artefacts as refreshed
+from cropline.plans.models import Models, load_models, save_models
 from cropline.plans.prediction import encode_price_inputs, predict as score_requests, published
 from cropline.plans.views import ALIASES, COLD_STATE, VIEWS, tables_of, version, view
 from cropline.session import materialise, shared_folder
 from cropline.sources import files as IO
+from cropline.sources.versions import version_rows, versions
 from cropline.streaming import monitor as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -659,6 +662,42 @@ def score_direct_fixed(spark, sf):
     return rounded(M.score_price(chosen, _fixed_tree(PRICE_TREE), scaled=False).select(*_PRICED))
 
 
+def _stored(spark, models: Models, vocab) -> Models:
+    """The models, written and loaded again."""
+    root = _trip(spark)
+    save_models(models, vocab, root, "1")
+    return load_models(spark, vocab, root, "1")
+
+
+@query
+def score_yield_saved(spark, sf):
+    """As ``score_yield_fixed``, by a stored model."""
+    vocab = _artefacts(spark, sf).vocab
+    model = _stored(spark, Models(_fixed_tree(YIELD_TREE), _fixed_tree(PRICE_TREE)), vocab).yields
+    scored = M.score_yield(M.yield_training_rows(_agri(spark, sf), vocab.filter("model = 'production'")), model)
+    return rounded(scored.select("state", "District", "crop", "season", "Year", "area", "Production", "predicted_yield"))
+
+
+@query
+def saved_models(spark, sf):
+    """Rows that stored models score as the fitted ones in memory do."""
+    artefacts = _artefacts(spark, sf)
+    fitted = Models(*_models(spark, sf, artefacts))
+    loaded = _stored(spark, fitted, artefacts.vocab)
+    agri = M.yield_training_rows(_agri(spark, sf), artefacts.production_vocab)
+    facts = M.price_training_rows(view(spark, sf, "price_facts"), artefacts.price_vocab)
+    parts = []
+    for name, score, rows, first, second in (
+        ("yield", M.score_yield, agri, fitted.yields, loaded.yields),
+        ("price", M.score_price, facts, fitted.prices, loaded.prices),
+    ):
+        out = f"predicted_{name}"
+        both = score(score(rows, first).withColumnRenamed(out, "in_memory"), second)
+        same = F.count_if(F.col(out).eqNullSafe(F.col("in_memory")))
+        parts.append(both.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n"), same.alias("same")))
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def fit_models_facts(spark, sf):
     """What holds for the fitted models whatever the trees are."""
@@ -731,12 +770,27 @@ def publish_agri(spark, sf):
 
 @query
 def publish_states(spark, sf):
-    """The facts by state, with one state written again, read back for another."""
+    """The facts by state, with one state written again, read back whole."""
     agri, path = _agri(spark, sf), _trip(spark)
     IO.publish_states(agri, path)
     IO.publish_states(agri.filter(F.col("State") == "AFRICA"), path)
-    one = IO.read_states(spark, path).filter(F.col(IO.STATE_KEY) == "EUROPE")
-    return rounded(one.drop(IO.STATE_KEY))
+    return rounded(IO.read_states(spark, path))
+
+
+@query
+def state_versions(spark, sf):
+    """Both versions of the facts, the second with half of one state, read after it was committed."""
+    agri, path = _agri(spark, sf), _trip(spark)
+    IO.publish_states(agri, path)
+    half = IO.read_states(spark, path).filter((F.col("State") == "AFRICA") & (F.col("Year") % 2 == 0))
+    IO.publish_states(half, path)
+    both = [IO.read_states(spark, path, n).drop(IO.STATE_KEY).withColumn("version", F.lit(n)) for n in (1, 2)]
+    return rounded(both[0].unionByName(both[1]))
+
+
+@query
+def publish_prices(spark, sf):
+    return rounded(IO.read_published_prices(spark, IO.publish_prices(view(spark, sf, "prices"), _trip(spark))))
 
 
 @query
@@ -815,6 +869,40 @@ def refresh_state(spark, sf):
     return rounded(IO.read_states(spark, path).drop(IO.STATE_KEY))
 
 
+@query
+def refresh_shape(spark, sf):
+    """Rows and columns before and after one state was replaced, as the writes counted them."""
+    path = IO.publish_states(_agri(spark, sf), _trip(spark))
+    refresh_partition(
+        path, view(spark, sf, "production"), view(spark, sf, "prices"), view(spark, sf, "rainfall"),
+        COLD_STATE, COLD_STATE, ALIASES,
+    )
+    shapes = [(n, version_rows(spark, path, n), len(schemas.AGRI)) for n in versions(spark, path)]
+    return spark.createDataFrame(shapes, "version int, rows long, columns int")
+
+
+@query
+def refresh_artefacts(spark, sf):
+    """Defaults and trends after one state of the facts was replaced, from that state's rows alone."""
+    path, root = IO.publish_states(_agri(spark, sf), _trip(spark)), _trip(spark)
+    refreshed(spark, path, root)
+    refresh_partition(
+        path, view(spark, sf, "production"), view(spark, sf, "prices"), view(spark, sf, "rainfall"),
+        COLD_STATE, COLD_STATE, ALIASES,
+    )
+    found = refreshed(spark, path, root)
+    none = F.lit(None)
+    defaults = found.defaults.select(
+        F.lit("defaults").alias("artefact"), *KEY, none.cast("int").alias("year"),
+        F.col("rainfall").alias("a"), F.col("min_price").alias("b"), F.col("max_price").alias("c"),
+    )
+    trends = found.trends.select(
+        F.lit("trends").alias("artefact"), *KEY, "year", F.col("yield").alias("a"), F.col("price").alias("b"),
+        none.cast("double").alias("c"),
+    )
+    return defaults.unionByName(trends)
+
+
 # Insights
 
 
@@ -933,3 +1021,17 @@ def monitor_stream(spark, sf):
     run = f"{shared_folder(spark)}/monitor-{uuid.uuid4().hex}"
     T.write_windows(T.monitor_stream(log), f"{run}/windows", f"{run}/checkpoint").awaitTermination()
     return _without_zone(spark.read.parquet(f"{run}/windows"))
+
+
+@query
+def stream_report(spark, sf):
+    """The report kept of a log that arrives in several micro-batches, by day."""
+    run = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    log = view(spark, sf, "prediction_logs")
+    names = [f.name for f in schemas.PREDICTION_LOG if f.name in log.columns]
+    rows = log.select(*names).withColumn("day", F.to_date("timestamp"))
+    rows.write.partitionBy("day").parquet(f"{run}/log")
+    layout = rows.drop("day").schema
+    stream = spark.readStream.schema(layout).option("maxFilesPerTrigger", 8).parquet(f"{run}/log/day=*").select(*names)
+    T.keep_report(stream, f"{run}/state", f"{run}/checkpoint").awaitTermination()
+    return T.kept_report(spark, f"{run}/state")
