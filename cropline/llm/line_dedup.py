@@ -2,17 +2,20 @@
 
 A *window* is the shortest run of lines from a start that has ``MIN_LINES`` lines
 or ``MIN_WORDS`` words. The least line hash of every window, the last of equals, is
-a fingerprint. Equal runs have equal windows and so equal fingerprints at the same
-places: every repeated run as long as a window is found. Fingerprints whose hash
-stands at one place only are dropped, which leaves few; the positions of the others
-are joined, and a match is extended from the fingerprint to both ends of the
-windows that chose it, by the hashes of all their lines. The first place of each
-window in order of id and position keeps its lines, all later ones are deleted.
-Windows overlap, so a long repeated run goes as a whole, but for lines at its ends
-that are in no window of it: up to two behind the last, and lines without any word.
-``extend`` takes these too. Then a line is deleted if it lies in any run of lines, at
-least a window long, that stood together before. As only the lines next to a window
-can be missing, these are grouped with it, one group for each number of lines taken.
+its fingerprint. Only the places of fingerprints are stored, one row for each place
+that any window selects, with the lines around it. Equal runs have equal windows and
+so the same fingerprints at the same places: every repeated run as long as a window
+is found. Fingerprints whose hash stands at one place only are dropped, which leaves few.
+
+The places of the others are joined, and matches are extended from the fingerprint:
+first to both ends of the windows that selected it, by the hashes of all their lines,
+then line by line, left and right, until the lines differ. The first place of each
+window, and of each window with the lines taken so far, in order of id and position
+keeps its lines; all later ones are deleted. So a line is deleted if it lies in any
+run of lines, at least a window long, that stood together before, with whatever
+earlier place it has most in common. Beyond a window only the lines up to the
+next one can be missing, two or some without words, as that one is matched
+itself; windows that equal are never compared in pairs.
 
 Defined results: a null text is empty and stays null; an empty text has one empty
 line. Windows without any word never match. Lines are compared unchanged. Null ids
@@ -71,12 +74,10 @@ def _next_to(min_lines: int) -> list[Column]:
     return lines
 
 
-def line_windows(
-    docs: DataFrame, id_column: str, text_column: str, min_lines: int, min_words: int, extend: bool = False
-) -> DataFrame:
-    """Every window: ``_id``, ``_mark`` (document), ``_start``, ``_length``,
-    ``_place`` and ``_print`` (its fingerprint), ``_a``, ``_b`` (its content), and
-    with ``extend`` the lines of ``_next_to``."""
+def fingerprints(docs: DataFrame, id_column: str, text_column: str, min_lines: int, min_words: int) -> DataFrame:
+    """Every place that a window selects: ``_id``, ``_mark`` (document), ``_place``, ``_print`` and
+    ``_windows``, those that select it: ``_start``, ``_length``, ``_a``, ``_b`` (content) and the
+    lines of ``_next_to``."""
     hashed = (
         docs.select(
             column(id_column).alias("_id"), _mark(text_column).alias("_mark"), _lines(text_column).alias("_lines")
@@ -103,17 +104,20 @@ def line_windows(
     cut = sized.filter(inside).withColumn("_cut", F.slice("_h", F.col("_start") + 1, F.col("_length")))
     least = F.array_min("_cut")
     last = F.col("_length") - F.array_position(F.reverse("_cut"), least)
-    return cut.select(
+    windows = cut.select(
         "_id",
         "_mark",
-        "_start",
-        "_length",
         (F.col("_start") + last).cast("int").alias("_place"),
         least.alias("_print"),
+        "_start",
+        "_length",
         F.xxhash64("_cut").alias("_a"),
         F.xxhash64(F.slice("_g", F.col("_start") + 1, F.col("_length"))).alias("_b"),
-        *(_next_to(min_lines) if extend else []),
+        *_next_to(min_lines),
     )
+    key = ["_id", "_mark", "_place", "_print"]
+    # At most ``min_lines`` windows; documents are dealt by id and mark already.
+    return windows.groupBy(*key).agg(F.collect_list(F.struct(*[c for c in windows.columns if c not in key])).alias("_windows"))
 
 
 def _grown(repeated: DataFrame) -> DataFrame:
@@ -161,29 +165,27 @@ def repeated_runs(
     text_column: str = "text",
     min_lines: int = MIN_LINES,
     min_words: int = MIN_WORDS,
-    extend: bool = False,
 ) -> DataFrame:
     """Runs of lines to delete: ``_id``, ``_mark``, ``_from`` and ``_to`` (exclusive)."""
-    windows = materialise(line_windows(docs, id_column, text_column, min_lines, min_words, extend))
+    selected = materialise(fingerprints(docs, id_column, text_column, min_lines, min_words))
     place = F.struct("_id", "_mark", "_place")
     repeated = materialise(
-        windows.groupBy(F.col("_print").alias("_p"))
+        selected.groupBy(F.col("_print").alias("_p"))
         .agg(F.min(place).alias("_low"), F.max(place).alias("_high"))
         .filter(~F.col("_low").eqNullSafe(F.col("_high")))
         .select("_p")
     )
-    # From here on the places of repeated fingerprints only, with the lines on both sides.
+    # From here on the places of repeated fingerprints only, with the windows that select them.
     matched = materialise(
-        windows.join(repeated, F.col("_print") == F.col("_p"), "left_semi").select(
-            "_id",
-            "_mark",
-            "_start",
-            (F.col("_place") - F.col("_start")).alias("_before"),
-            (F.col("_start") + F.col("_length") - F.col("_place")).alias("_after"),
-            "_a",
-            "_b",
-            *(["_behind_h", "_behind_g", "_ahead_h", "_ahead_g"] if extend else []),
+        selected.join(repeated, F.col("_print") == F.col("_p"), "left_semi")
+        .select("_id", "_mark", "_place", F.inline("_windows"))
+        .withColumns(
+            {
+                "_before": F.col("_place") - F.col("_start"),
+                "_after": F.col("_start") + F.col("_length") - F.col("_place"),
+            }
         )
+        .drop("_place", "_length")
     )
     where = F.struct("_id", "_mark", "_start")
     firsts = materialise(
@@ -202,8 +204,7 @@ def repeated_runs(
     )
     later = matched.join(firsts, extended).filter(~where.eqNullSafe(F.col("_first")))
     stops = later.select("_id", "_mark", "_start", (F.col("_start") + F.col("_before") + F.col("_after")).alias("_stop"))
-    if extend:
-        stops = stops.unionByName(_grown(matched.join(firsts, extended, "left_semi")))
+    stops = stops.unionByName(_grown(matched.join(firsts, extended, "left_semi")))
     # Overlapping and touching windows of one document become one run.
     by_doc = Window.partitionBy("_id", "_mark").orderBy("_start", "_stop")
     reached = F.max("_stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
@@ -218,11 +219,10 @@ def line_dedup(
     text_column: str = "text",
     min_lines: int = MIN_LINES,
     min_words: int = MIN_WORDS,
-    extend: bool = False,
 ) -> DataFrame:
     """``docs`` with cleaned texts, and columns ``lines`` and ``removed_lines``."""
     runs = materialise(
-        repeated_runs(docs, id_column, text_column, min_lines, min_words, extend)
+        repeated_runs(docs, id_column, text_column, min_lines, min_words)
         .groupBy("_id", "_mark")
         .agg(F.array_sort(F.collect_list(F.struct("_from", "_to"))).alias("_runs"))
     )

@@ -86,11 +86,15 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("_id").alias("doc_id"), text.alias("fingerprint"), "component_id")
 
 
-def pieces_of(docs: DataFrame) -> DataFrame:
-    """Number and digest of every document's ids, and digest of what they decode to."""
+def pieces_of(docs: DataFrame, with_ids: bool = False) -> DataFrame:
+    """Number and digest of every document's ids, and digest of what they decode to.
+
+    ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit integers.
+    """
     coded = encode_texts(docs, public_tokenizers.path(MODEL))
     return coded.select(
         F.col("_id").alias("doc_id"),
+        *(["ids"] if with_ids else []),
         F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -159,7 +163,7 @@ _TABLE = ",".join(map(str, fill_table(SHARDS)))
 
 ORACLES = {
     "op1_line_dedup": f"""
-WITH split AS (
+WITH RECURSIVE split AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS line_list FROM documents
 ), line AS (
   SELECT doc_id, unnest(line_list) AS line, generate_subscripts(line_list, 1) AS pos, len(line_list) AS lines FROM split
@@ -176,14 +180,26 @@ WITH split AS (
   SELECT doc_id, pos, n, n || chr(10) || line || CASE WHEN n > 1 THEN chr(10) || line2 ELSE '' END
          || CASE WHEN n > 2 THEN chr(10) || line3 ELSE '' END AS whole
   FROM window_ WHERE pos + n - 1 <= lines AND w3 > 0
-), later AS (
-  SELECT doc_id, pos, n FROM content QUALIFY row_number() OVER (PARTITION BY whole ORDER BY doc_id, pos) > 1
+), pair AS (
+  SELECT b.doc_id, b.pos, b.pos + b.n AS stop, a.doc_id AS first_id, a.pos AS first_pos
+  FROM content a JOIN content b ON a.whole = b.whole AND (a.doc_id < b.doc_id OR a.doc_id = b.doc_id AND a.pos < b.pos)
+), behind AS (
+  SELECT doc_id, stop, first_id, first_pos + stop - pos AS first_stop, pos FROM pair
+  UNION SELECT r.doc_id, r.stop + 1, r.first_id, r.first_stop + 1, r.pos
+  FROM behind r JOIN line x ON x.doc_id = r.doc_id AND x.pos = r.stop
+  JOIN line y ON y.doc_id = r.first_id AND y.pos = r.first_stop AND y.line = x.line
+), before AS (
+  SELECT doc_id, pos, first_id, first_pos FROM pair
+  UNION SELECT r.doc_id, r.pos - 1, r.first_id, r.first_pos - 1
+  FROM before r JOIN line x ON x.doc_id = r.doc_id AND x.pos = r.pos - 1
+  JOIN line y ON y.doc_id = r.first_id AND y.pos = r.first_pos - 1 AND y.line = x.line
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(pos, pos + n)) AS pos FROM later
+  SELECT DISTINCT doc_id, unnest(range(pos, stop)) AS pos FROM (SELECT doc_id, pos, max(stop) AS stop FROM behind GROUP BY ALL)
+  UNION SELECT doc_id, pos FROM before
 )
-SELECT doc_id, CAST(max(line.lines) AS INTEGER) AS lines, CAST(count(gone.pos) AS INTEGER) AS removed_lines,
+SELECT line.doc_id, CAST(max(line.lines) AS INTEGER) AS lines, CAST(count(gone.pos) AS INTEGER) AS removed_lines,
        sha256(coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY line.pos), '')) AS text_sha256
-FROM line LEFT JOIN gone USING (doc_id, pos) GROUP BY doc_id
+FROM line LEFT JOIN gone USING (doc_id, pos) GROUP BY line.doc_id
 """,
     "op2_url_filter": """
 WITH cut AS (

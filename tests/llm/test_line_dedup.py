@@ -1,46 +1,10 @@
 import random
 from collections import Counter
 
-from cropline.llm.line_dedup import line_dedup
-from tests.llm.rows import documents, empty, words
-
-
-def plain_dedup(rows, min_lines, min_words):
-    """Texts and removed lines of distinct (id, text) rows, in order of id."""
-    seen, out = set(), {}
-    for doc_id, text in rows:
-        lines = (text or "").split("\n")
-        gone = set()
-        for start in range(len(lines)):
-            total = 0
-            for size in range(1, min_lines + 1):
-                if start + size > len(lines):
-                    break
-                total += len(words(lines[start + size - 1]))
-                if size == min_lines or total >= min_words:
-                    if total:
-                        window = tuple(lines[start : start + size])
-                        if window in seen:
-                            gone.update(range(start, start + size))
-                        seen.add(window)
-                    break
-        out[doc_id, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone), len(lines)
-    return out
-
+from pyspark.sql import functions as F
 
-def test_matches_brute_force(spark):
-    rng = random.Random(8)
-    lines = ["", "a", "b c", "d e f g h i j k", "l", "m n", " ", "a"]
-    rows = []
-    for i in range(150):
-        size = rng.choice([0, 1, 2, 3, 5, 8, 20])
-        rows.append((i, "\n".join(rng.choice(lines) if rng.random() < 0.6 else f"u{rng.randrange(400)}" for _ in range(size))))
-    want = plain_dedup(rows, 3, 6)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    for row, before in zip(line_dedup(docs, min_lines=3, min_words=6).orderBy("doc_id").collect(), rows):
-        text, gone, count = want[before]
-        assert (row.text, row.removed_lines, row.lines) == (text, gone, count)
-    assert sum(gone for _, gone, _ in want.values()) > 50
+from cropline.llm.line_dedup import fingerprints, line_dedup
+from tests.llm.rows import documents, empty, words
 
 
 def test_odd_documents(spark):
@@ -92,7 +56,7 @@ def plain_runs(rows, min_lines, min_words):
     return ["\n".join(x for i, x in enumerate(lines) if i not in g) for lines, g in zip(split, gone)]
 
 
-def test_extended_runs_match_brute_force(spark):
+def test_matches_brute_force(spark):
     rng = random.Random(9)
     lines = ["", "", " ", "a", "b c", "d e f g h i j k", "l", "m n", "", "a"]
     rows = []
@@ -101,24 +65,27 @@ def test_extended_runs_match_brute_force(spark):
         rows.append((i, "\n".join(rng.choice(lines) if rng.random() < 0.8 else f"u{rng.randrange(100)}" for _ in range(size))))
     want = plain_runs(rows, 3, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = [r.text for r in line_dedup(docs, min_lines=3, min_words=6, extend=True).orderBy("doc_id").collect()]
-    assert got == want
-    short = [r.text for r in line_dedup(docs, min_lines=3, min_words=6).orderBy("doc_id").collect()]
-    assert sum(a != b for a, b in zip(short, want)) > 20
+    got = line_dedup(docs, min_lines=3, min_words=6).orderBy("doc_id").collect()
+    assert [r.text for r in got] == want
+    for row, (_, text) in zip(got, rows):
+        assert row.lines == text.count("\n") + 1
+        assert row.lines - row.removed_lines == (row.text.count("\n") + 1 if row.text or row.lines > row.removed_lines else 0)
 
 
-def test_extended_runs_take_short_last_lines(spark):
+def test_one_row_for_each_selected_place(spark):
+    rng = random.Random(2)
+    rows = [(i, "\n".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stored = fingerprints(docs, "doc_id", "text", 3, 50)
+    assert stored.count() == stored.select("_id", "_place").distinct().count() < 20 * 28
+    assert stored.select("_id", F.inline("_windows")).count() == 20 * 28
+
+
+def test_runs_take_short_last_lines(spark):
     para = " ".join(f"w{i}" for i in range(60))
     run = f"{para}\nshort one\nshort two"
     blank = "\n\n\n\n\nx y z"
     rows = [(1, f"a\n{run}\nb"), (2, f"c\n{run}\nd"), (3, run), (None, f"e\n{run}"), (4, blank), (5, "q" + blank)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup(docs, extend=True).collect()}
+    got = {r.doc_id: r.text for r in line_dedup(docs).collect()}
     assert got == {1: "a\nb", 2: "c\nd", 3: "", None: f"e\n{run}", 4: blank, 5: "q"}
-
-
-def test_extended_runs_of_odd_documents(spark):
-    docs = documents(spark).drop("lines").withColumnRenamed("kept", "removed_lines")
-    cleaned = line_dedup(docs, extend=True)
-    assert cleaned.columns == [*docs.columns, "lines", "_removed_lines"] and cleaned.count() == docs.count()
-    assert line_dedup(empty(spark).drop("lines"), extend=True).count() == 0
