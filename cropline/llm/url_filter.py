@@ -5,7 +5,8 @@ URL and two bits in each of its four words, is broadcast and passes every listed
 URL and a few others; it has at most ``MAX_BLOCKS`` blocks of 40 bytes whatever the
 list holds, so a longer list costs more false hits and no memory. Only the
 possible hits are then joined with the list itself, by the whole canonical URL,
-which removes the false ones.
+which removes the false ones. Both are stored tables, so the rows of a frequent URL are
+split by adaptive execution.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 fits no rule and is on no list. Repeated rows are judged alike. Nulls in the list
@@ -122,10 +123,12 @@ def judge_urls(
     for i, mask in enumerate(_masks("canonical")):
         possible = possible & (F.col(f"_w{i}").bitwiseAND(mask) == mask)
     columns = ["_id", "host", "path", "canonical"]
-    hits = probed.filter(possible).select(*columns)
-    exact = hits.join(names.hint("shuffle_hash"), F.col("canonical") == F.col("_listed"), "left")
+    # Urls are taken apart once; both branches read the stored parts.
+    probed = materialise(probed.select(*columns, possible.alias("_hit")))
+    hits = probed.filter("_hit").select(*columns)
+    exact = hits.join(names, F.col("canonical") == F.col("_listed"), "left")
     found = exact.select(*columns, F.col("_listed").isNotNull().alias("listed"))
-    judged = found.unionByName(probed.filter(~possible).select(*columns, F.lit(False).alias("listed")))
+    judged = found.unionByName(probed.filter("NOT _hit").select(*columns, F.lit(False).alias("listed")))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
     return judged.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, by_list))
