@@ -37,6 +37,8 @@ SHARE = 1.5
 CEILING = 2.0
 LEAF = 256
 SEED = 20
+# Copies of one row that one task makes.
+CHUNK = 1_000
 
 
 @dataclass(frozen=True)
@@ -258,7 +260,9 @@ def mix_sources(
     long = materialise(_rounded(rated.filter(is_open & is_long), mix))
     short = rated.filter(is_open & ~is_long)
     # What the long documents are off, in words, moves the fractions of the short ones.
-    off = long.groupBy("_key").agg(F.sum((F.col("_extra") - F.col("_part")) * F.col("_size")).alias("_off"))
+    # Summed as decimals, in any order alike.
+    each = ((F.col("_extra") - F.col("_part")) * F.col("_size")).cast("decimal(28,9)")
+    off = long.groupBy("_key").agg(F.sum(each).cast("double").alias("_off"))
     room = short.groupBy(F.col("_key").alias("_room")).agg(F.sum("_size").alias("_words"))
     shifts = materialise(
         off.join(room, F.col("_key") == F.col("_room")).select(
@@ -275,8 +279,17 @@ def mix_sources(
     total = (F.col("_whole") + F.col("_extra")) * (F.col("_size") > 0).cast("int")
     even, over = F.floor(total / F.col("_rows")), total % F.col("_rows")
     single = both.filter("_rows = 1").withColumn("_copies", total)
-    several = both.filter("_rows > 1").withColumn("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_rows"))))
-    several = several.withColumn("_copies", even + (F.col("_row") <= over).cast("int")).drop("_row")
+    # Rows alike come back from the rows themselves, numbered across tasks: one group may be very large.
+    shared = both.filter("_rows > 1").select(
+        *[F.col(c).alias(f"_of{c}") for c in ("_key", "_id", "_size")], "_total", "_target", even.alias("_even"), over.alias("_over")
+    )
+    alike_rows = sizes.select("_key", "_id", "_size", F.monotonically_increasing_id().alias("_at"))
+    members = lookup(alike_rows, materialise(shared), {c: f"_of{c}" for c in ("_key", "_id", "_size")}, "inner")
+    several = ordinals(members, ["_key", "_id", "_size"], ["_at"], "_row").withColumn(
+        "_copies", F.col("_even") + (F.col("_row") < F.col("_over")).cast("int")
+    )
+    wanted = ["_id", "_size", "_total", "_target", "_copies"]
+    single, several = single.select(*wanted), several.select(*wanted)
     copies = F.col("_copies").cast("int")
     return single.unionByName(several).select(
         F.col("_id.id").alias("_id"),
@@ -313,6 +326,11 @@ def apply_mix(
     repeated = counts.filter("_repeated").drop("_repeated")
     if not repeated.isEmpty():
         one_each = marked.join(repeated.drop(times), same, "left_semi").dropDuplicates([id_column, own])
-        taken = taken.unionByName(one_each.join(repeated, same))
+        # So many copies of one row are made by several tasks.
+        chunk = fresh(taken.columns, "_chunk")
+        left = F.col(times) - F.col(chunk) * CHUNK
+        chunks = F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / CHUNK).cast("int")))
+        spread = one_each.join(repeated, same).withColumn(chunk, chunks).repartition(F.col(own), F.col(chunk))
+        taken = taken.unionByName(spread.withColumn(times, F.least(left, F.lit(CHUNK)).cast("int")).drop(chunk))
     repeats = F.explode(F.sequence(F.lit(1), F.col(times)))
     return taken.withColumn(times, repeats).select(*[column(c) for c in docs.columns])
