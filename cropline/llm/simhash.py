@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cropline.llm.common import column, drop_matches
+from cropline.llm.common import column, drop_matches, fresh
 from cropline.llm.components import connected_components
 from cropline.session import materialise
 
@@ -60,20 +60,25 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > count, bitorder="little").view("<i8")[0])
 
 
+def _mark(text: str) -> Column:
+    return F.xxhash64(F.coalesce(column(text).cast("string"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``(_id, _fp)`` of every row."""
+    """``(_id, _mark, _fp)`` of every row; ``_mark`` is a hash of its text."""
     texts = docs.select(
         column(id_column).alias("_id"),
+        _mark(text_column).alias("_mark"),
         F.coalesce(column(text_column).cast("string"), F.lit("")).cast("binary").alias("_text"),
     )
     kind = texts.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(v.as_py(), shingle) for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["_id", "_fp"])
+            values = [fingerprint(v.as_py(), shingle) for v in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(values, pa.int64())], ["_id", "_mark", "_fp"])
 
-    return texts.mapInArrow(run, f"_id {kind}, _fp bigint")
+    return texts.mapInArrow(run, f"_id {kind}, _mark bigint, _fp bigint")
 
 
 def _slices(fp: str, parts: int) -> Column:
@@ -183,19 +188,22 @@ def near_groups(
     shingle: int = SHINGLE,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """One row per document: ``_id``, ``_fp``, ``_group`` (least fingerprint of
-    the group), ``component_id`` (least id of the group)."""
+    """One row per document: ``_id``, ``_mark``, ``_fp``, ``_group`` (least fingerprint of
+    the group), ``component_id`` (least id of the group), ``_stays`` (id and mark of the
+    document that stands for it)."""
     rows = materialise(fingerprints(docs, id_column, text_column, shingle))
-    distinct = materialise(rows.groupBy("_fp").agg(F.min("_id").alias("_least")))
+    first = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_mark").alias("mark"))
+    distinct = materialise(rows.groupBy("_fp").agg(F.min(first).alias("_least")))
     links = materialise(near_links(distinct, "_fp", radius))
     roots = materialise(connected_components(links, "a", "b"))
     grouped = distinct.join(roots, F.col("_fp") == F.col("node"), "left").select(
         F.col("_fp").alias("_f"), "_least", F.coalesce("root", "_fp").alias("_group")
     )
-    least = grouped.groupBy(F.col("_group").alias("_g")).agg(F.min("_least").alias("component_id"))
-    named = materialise(grouped.join(least, F.col("_group") == F.col("_g")).select("_f", "_group", "component_id"))
+    least = grouped.groupBy(F.col("_group").alias("_g")).agg(F.min("_least").alias("_stays"))
+    named = materialise(grouped.join(least, F.col("_group") == F.col("_g")).select("_f", "_group", "_stays"))
     # Both sides are stored tables, so the rows of a frequent fingerprint are split.
-    return rows.join(named, F.col("_fp") == F.col("_f")).select("_id", "_fp", "_group", "component_id")
+    joined = rows.join(named, F.col("_fp") == F.col("_f"))
+    return joined.select("_id", "_mark", "_fp", "_group", F.col("_stays.id").alias("component_id"), "_stays")
 
 
 def near_dedup(
@@ -205,12 +213,23 @@ def near_dedup(
     shingle: int = SHINGLE,
     radius: int = RADIUS,
 ) -> DataFrame:
-    """``docs`` with one document of each group, that with the least id.
+    """``docs`` with one row of each group, that with the least id.
 
-    Rows that share an id are one document, which stays if it is the least of any
-    group. Rows without an id are kept: no group names them apart.
+    Of rows that share it, or have none, the one whose text has the least hash; of rows that
+    repeat the text as well, any one.
     """
-    groups = near_groups(docs, id_column, text_column, shingle, radius)
-    stays = F.max(F.col("_id") == F.col("component_id"))
-    losers = materialise(groups.filter("_id IS NOT NULL").groupBy("_id").agg(stays.alias("_stays")).filter("NOT _stays"))
-    return drop_matches(docs, losers, {id_column: "_id"})
+    mark = fresh(docs.columns, "_mark")
+    groups = materialise(near_groups(docs, id_column, text_column, shingle, radius))
+    wins = F.col("_id").eqNullSafe(F.col("_stays.id")) & (F.col("_mark") == F.col("_stays.mark"))
+    losers = materialise(groups.filter(~wins).select("_id", "_mark").distinct())
+    marked = docs.withColumn(mark, _mark(text_column))
+    keys = {id_column: "_id", mark: "_mark"}
+    kept = drop_matches(marked, losers, keys)
+    # Of a winner that repeats, one row comes back.
+    several = groups.filter(wins).groupBy("_id", "_mark").count().filter("count > 1")
+    twins = materialise(several.select(F.col("_id").alias("_ti"), F.col("_mark").alias("_tm")))
+    if not twins.isEmpty():
+        same = column(id_column).eqNullSafe(F.col("_ti")) & (F.col(mark) == F.col("_tm"))
+        one_each = kept.join(twins, same, "left_semi").dropDuplicates([id_column, mark])
+        kept = kept.join(twins, same, "left_anti").unionByName(one_each)
+    return kept.drop(mark)

@@ -87,10 +87,26 @@ def test_one_document_of_each_group_stays(spark):
     docs = documents(spark)
     kept = near_dedup(docs)
     assert kept.columns == docs.columns
-    groups = near_groups(docs).collect()
-    winners = {r._id for r in groups if r._id is None or r._id == r.component_id}
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id in winners)
-    assert 8 not in winners and 7 in winners
+    rows = docs.collect()
+    prints = [plain_fingerprint(r.text) for r in rows]
+    number = plain_components(
+        [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2], range(len(rows))
+    )
+    groups = {}
+    for i, row in enumerate(rows):
+        groups.setdefault(number[i], []).append((row.doc_id is None, row.doc_id))
+    want = sorted(str(min(ids, key=str if all(n for n, _ in ids) else lambda x: (x[0], x[1] or 0))[1]) for ids in groups.values())
+    assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def test_near_copies_without_an_id_or_with_one_id(spark):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(None, text), (None, text + " end"), (None, text), (5, "a b c d"), (5, "q r s t"), (5, "a b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert (plain_fingerprint(text) ^ plain_fingerprint(text + " end")).bit_count() <= 2
+    kept = [(r.doc_id, r.text) for r in near_dedup(docs).collect()]
+    assert sorted(t for i, t in kept if i == 5) == ["a b c d", "q r s t"]
+    assert len([t for i, t in kept if i is None]) == 1
 
 
 def test_empty_table(spark):
