@@ -234,28 +234,25 @@ class Codec:
         return "".join(out)
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
-def codec_of(model: bytes) -> Codec:
-    """One codec per process: its tables are shared by all tasks that a worker runs."""
-    if model not in _codecs:
-        _codecs.clear()
-        _codecs[model] = Codec.load(model)
-    return _codecs[model]
+def _codec(box: dict) -> Codec:
+    """The codec of a broadcast model. A worker process reads a broadcast value once and keeps
+    it, so the codec is kept there: all tasks that the process runs share its tables."""
+    if "codec" not in box:
+        box["codec"] = Codec.load(box["model"])
+    return box["codec"]
 
 
 def encode_texts(docs: DataFrame, model_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(_id, ids, decoded)``: packed ids of every text, and the bytes they decode to."""
     with open(model_path, "rb") as file:
-        model = docs.sparkSession.sparkContext.broadcast(file.read())
+        model = docs.sparkSession.sparkContext.broadcast({"model": file.read()})
     texts = docs.select(
         column(id_column).alias("_id"), F.coalesce(column(text_column).cast("string"), F.lit("")).alias("_text")
     )
     kind = texts.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(model.value)
+        codec = _codec(model.value)
         for whole in batches:
             # Results are larger than texts, so they leave in small batches.
             for at in range(0, whole.num_rows, SLICE):
