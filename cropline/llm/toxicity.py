@@ -8,14 +8,15 @@ these probabilities, and the most likely side of the first threshold.
 
 Grades of labelled documents are 0 (not toxic), 1 (toxic) and 2 (toxic and of low
 quality as well). The model is fitted on at most ``TRAINING`` labelled documents,
-those with the least hash of their id. Words are counted in tasks; features are
+those with the least hash of their id, and of the texts these have, those with the least
+hash of id and text. Words are counted in tasks; features are
 chosen by how much more often one class has them. Only the counts of the chosen
 features of the training documents come to the driver. Every document is scored,
 whole.
 
 Defined results: a null text is an empty one and has no features. Labels without a
-document, with a null or with an id that several documents share count per pair
-found; without toxic and non-toxic labels every text has severity 0. Repeated rows
+document or with a null count for nothing, those with an id that several documents share
+for each of them, equal rows for one; without toxic and non-toxic labels every text has severity 0. Repeated rows
 get equal scores. An empty table gives an empty result. Extra columns are kept.
 """
 
@@ -172,9 +173,14 @@ def fit_severity(
     texts = docs.select(
         column(id_column).alias("_id"), F.coalesce(column(text_column).cast("string"), F.lit("")).alias("_text")
     )
-    # The sample has at most ``training`` rows, so it is broadcast.
+    # Ids can be shared by many texts, so the bound holds for what the join gives: of equal rows one
+    # counts, and of the others those with the least hash. Both sides of broadcasts have at most ``training`` rows.
+    joined = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label")).select(
+        "_id", "_grade", "_text", F.xxhash64("_id", "_text", "_grade").alias("_mark")
+    )
+    marks = materialise(joined.select(F.col("_mark").alias("_taken")).distinct().orderBy("_taken").limit(training))
     sample = materialise(
-        texts.join(F.broadcast(chosen), F.col("_id") == F.col("_label")).select("_id", "_grade", "_text")
+        joined.join(F.broadcast(marks), F.col("_mark") == F.col("_taken"), "left_semi").dropDuplicates(["_mark"]).drop("_mark")
     )
     sizes = dict(sample.groupBy((F.col("_grade") > 0).cast("int")).count().collect())
     ill, well = sizes.get(1, 0), sizes.get(0, 0)

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from cropline.llm import toxicity
 from cropline.llm.toxicity import Matcher, Model, _fit, _starts, drop_toxic, fit_severity, score_severity
 from tests.llm.rows import documents, empty
 
@@ -21,6 +22,26 @@ def test_held_out_documents(spark):
     assert found.filter((F.col("severity") < F.col("toxic_probability")) | (F.col("severity") > 2)).count() == 0
 
 
+def test_scores_match_brute_force(spark):
+    """Every document, against counts of whole words and their starts by splitting the text."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_severity(docs, labels)
+    size = len(model.starts)
+    want = {}
+    for row in docs.collect():
+        text = (row.text or "").lower()
+        counted, words, score = _starts(text), max(len(text.split()), 1), 0.0
+        for i, start in enumerate(model.starts):
+            if n := counted.get(start, 0):
+                score += model.weights[i] + model.weights[size + i] * np.log1p(1000.0 * n / words) / 4
+        above = [1 / (1 + np.exp(cut - score)) for cut in model.cuts]
+        want[row.doc_id] = (above[0], sum(above))
+    found = {r._id: (r.toxic_probability, r.severity, r.rejected) for r in score_severity(docs, model).collect()}
+    assert size > 100 and found.keys() == want.keys()
+    for i, (chance, severity) in want.items():
+        assert np.isclose(found[i][0], chance) and np.isclose(found[i][1], severity) and found[i][2] == (found[i][0] >= 0.5)
+
+
 def test_thresholds_share_weights():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 4))
@@ -49,6 +70,21 @@ def test_odd_documents(spark):
     assert score_severity(empty(spark), model).count() == 0 and drop_toxic(empty(spark), model).count() == 0
 
 
+def test_many_documents_on_few_ids_stay_within_the_bound(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(toxicity, "_fit", lambda x, grades: rows.append(len(x)) or _fit(x, grades))
+    docs = spark.range(50_000).select(
+        (F.col("id") % 2).alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, "idiot word").otherwise("plain word"), F.lit(" x"), F.col("id") % 30_000).alias("text")
+    )
+    labels = spark.createDataFrame([(0, 1, 1), (1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = fit_severity(docs, labels, training=300)
+    assert rows == [300] and "idio" in model.starts
+    # Equal rows count once.
+    few = spark.range(50_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 20).alias("text"))
+    fit_severity(few, labels, training=300)
+    assert rows == [300, 20]
+
+
 def test_no_labels_reject_nothing(spark):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (99, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     model = fit_severity(documents(spark), labels)
