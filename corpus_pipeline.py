@@ -29,7 +29,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash neighbours, the document with the least id."""
+    """Of each group of SimHash neighbours, one document: that with the least id."""
     return near_dedup(docs)
 
 
@@ -39,8 +39,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document taken, once for each time it is."""
-    return pieces_of(docs)
+    """Token ids of every document taken, once for each time it is: little-endian unsigned
+    32-bit integers, their number and digest, and the digest of what they decode to."""
+    return pieces_of(docs, with_ids=True)
 
 
 STAGES = [
