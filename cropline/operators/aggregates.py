@@ -23,6 +23,7 @@ from cropline.functions.scalars import (
 )
 from cropline.operators.clean import drop_nulls, filter_contains, yield_per_area
 from cropline.operators.matching import match_contains, preferred
+from cropline.session import derived
 
 KEY = ["State", "District", "Crop"]
 PRICE_COLUMNS = ["Min_Price", "Max_Price", "Modal_Price"]
@@ -157,7 +158,7 @@ def defaults_with_fallback(requests: DataFrame, defaults: DataFrame) -> DataFram
 
     An unknown key gets the mean over the known keys that share its state or its
     crop, each key counting once. Sums by state, by crop and by both replace the
-    "or" (inclusion and exclusion). ``defaults`` is read four times and should
+    "or" (inclusion and exclusion); they are computed once for ``defaults``, which should
     be stored or materialised.
     """
     features = list(K.DEFAULT_SCALED)
@@ -171,11 +172,14 @@ def defaults_with_fallback(requests: DataFrame, defaults: DataFrame) -> DataFram
         "both": {"state": "State", "crop": "Crop"},
     }
     for name, on in groups.items():
-        sums = defaults.groupBy(*on.values()).agg(
-            F.count(F.lit(1)).alias(f"_n_{name}"),
-            *[exact_sum(c).alias(f"_{name}_{c}") for c in features],
-        )
-        df = lookup(df, sums, on, source=defaults)
+
+        def sums(rows: DataFrame) -> DataFrame:
+            return rows.groupBy(*on.values()).agg(
+                F.count(F.lit(1)).alias(f"_n_{name}"),
+                *[exact_sum(c).alias(f"_{name}_{c}") for c in features],
+            )
+
+        df = lookup(df, derived(defaults, f"sums by {name}", sums), on, source=defaults)
 
     def either(prefix: str, suffix: str = "") -> Column:
         a, b, both = (F.coalesce(F.col(f"_{prefix}{g}{suffix}"), F.lit(0)) for g in groups)
@@ -272,15 +276,18 @@ def fallback_yield(
     and crop, else of the crop, else a constant; times area, not below zero.
 
     Adds ``avg_yield_ha``, ``yield_level`` (1 to 4) and ``predicted_yield``; the
-    three are null outside ``states``, if given. ``trends`` is read three times
-    and should be stored or materialised.
+    three are null outside ``states``, if given. The means are computed once for ``trends``,
+    which should be stored or materialised.
     """
     levels = [["State", "District", "Crop"], ["State", "Crop"], ["Crop"]]
     sides = {"State": "_state", "District": "_district", "Crop": "crop"}
     df = requests.withColumns({"_state": upper_key("state"), "_district": upper_key("district")})
     for i, keys in enumerate(levels):
-        means = trends.groupBy(*keys).agg(exact_mean("yield").alias(f"_yield{i}"))
-        df = lookup(df, means, {sides[k]: k for k in keys}, source=trends)
+
+        def means(rows: DataFrame) -> DataFrame:
+            return rows.groupBy(*keys).agg(exact_mean("yield").alias(f"_yield{i}"))
+
+        df = lookup(df, derived(trends, f"yields by {' '.join(keys)}", means), {sides[k]: k for k in keys}, source=trends)
     found = [F.col(f"_yield{i}") for i in range(len(levels))]
     level = F.lit(len(levels) + 1)
     for i in reversed(range(len(levels))):

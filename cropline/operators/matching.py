@@ -8,34 +8,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cropline.functions.joins import lookup
 from cropline.functions.matching import first_containing
 from cropline.functions.scalars import lower_key, strip
-from cropline.session import materialise
+from cropline.session import derived, materialise
 
 
 def _entries(vocab: DataFrame, feature: str) -> DataFrame:
     return vocab.filter(F.col("feature") == feature)
 
 
-def _first(vocab: DataFrame, feature: str) -> tuple[Column, Column]:
-    """Value and code of the first entry.
-
-    The firsts of all features, few as they are, come from one aggregate: the
-    same subquery for every feature, so that it runs once in a plan.
-    """
+def _firsts(vocab: DataFrame) -> DataFrame:
+    """First entry of every feature, few as they are, as one map."""
     entry = F.min(F.struct(F.col("ordinal").alias("o"), F.col("value").alias("v"))).alias("first")
     firsts = vocab.groupBy("feature").agg(entry)
-    one = firsts.agg(F.map_from_entries(F.collect_list(F.struct("feature", "first"))).alias("m")).scalar()
+    return firsts.agg(F.map_from_entries(F.collect_list(F.struct("feature", "first"))).alias("m"))
+
+
+def _first(vocab: DataFrame, feature: str) -> tuple[Column, Column]:
+    """Value and code of the first entry: the same subquery for every feature, so that it
+    runs once in a plan."""
+    one = derived(vocab, "firsts", _firsts).scalar()
     return one[F.lit(feature)]["v"], one[F.lit(feature)]["o"]
 
 
-def _by_folded_name(vocab: DataFrame, feature: str) -> DataFrame:
+def _folded_names(vocab: DataFrame) -> DataFrame:
     """First entry of each name, names compared without case and outer blanks."""
-    return (
-        _entries(vocab, feature)
-        .groupBy(lower_key("value").alias("_name"))
-        .agg(F.min("ordinal").alias("_ordinal"), F.min_by("value", "ordinal").alias("_value"))
+    return vocab.groupBy("feature", lower_key("value").alias("_name")).agg(
+        F.min("ordinal").alias("_ordinal"), F.min_by("value", "ordinal").alias("_value")
     )
 
 
+def _by_folded_name(vocab: DataFrame, feature: str) -> DataFrame:
+    names = derived(vocab, "names", _folded_names)
+    return names.filter(F.col("feature") == feature).drop("feature")
+
+
 def match_category(
     requests: DataFrame, vocab: DataFrame, name: str, feature: str | None = None, out: str | None = None
 ) -> DataFrame:

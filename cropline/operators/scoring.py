@@ -12,7 +12,7 @@ from cropline.functions.joins import lookup
 from cropline.functions.scalars import clamp, round_even, safe_ratio, scale
 from cropline.operators.aggregates import nest_trends
 from cropline.operators.matching import encode
-from cropline.session import materialise
+from cropline.session import derived, materialise
 
 REQUEST_KEY = {"state": "State", "district": "District", "crop": "Crop"}
 YIELD_CATEGORIES = {"State": "state", "Crop": "crop", "Season": "season"}
@@ -144,7 +144,7 @@ def synthetic_history() -> Column:
 def history_or_synthetic(predictions: DataFrame, trends: DataFrame) -> DataFrame:
     """Add ``historical_trend``: the known trend of the key or a synthetic one.
     ``trends`` should be stored or materialised."""
-    nested = nest_trends(trends).withColumnRenamed("historical_trend", "_trend")
+    nested = derived(trends, "nested", nest_trends).withColumnRenamed("historical_trend", "_trend")
     df = lookup(predictions, nested, REQUEST_KEY, source=trends)
     kind = "array<struct<year:int,yield:double,price:double>>"
     trend = F.coalesce(F.col("_trend").cast(kind), synthetic_history().cast(kind))

@@ -67,7 +67,8 @@ def predict(
     the log needs are kept: see :func:`published`.
     """
     price_vocab = artefacts.price_vocab
-    df = validate_requests(normalise_requests(requests, as_of))
+    # The words to look up and the results both read the checked requests.
+    df = materialise(validate_requests(normalise_requests(requests, as_of)))
     df = choose_market_inputs(df, price_vocab)
     df = resolve_inputs(df, artefacts.defaults)
     rejected = None

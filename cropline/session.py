@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,26 @@ def passing_tables(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+_derived: WeakKeyDictionary[DataFrame, dict[str, DataFrame]] = WeakKeyDictionary()
+
+
+def derived(source: DataFrame, name: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``make(source)``, computed once for a table and stored as long as the table is in use.
+
+    For what every batch of requests would otherwise compute again from the same lookup
+    table. ``source`` must not change: it is a stored version, read once. What derives from
+    it outlives the micro-batch that asks for it first.
+    """
+    known = _derived.setdefault(source, {})
+    if name not in known:
+        token = _tables.set(None)
+        try:
+            known[name] = materialise(make(source))
+        finally:
+            _tables.reset(token)
+    return known[name]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and read it back from a table in the shared folder.
 

@@ -44,3 +44,18 @@ def test_passing_tables_are_deleted(spark):
         assert os.path.exists(path)
     assert not os.path.exists(path)
     assert session.materialise(spark.range(3)).count() == 3
+
+
+def test_what_derives_from_a_table_is_computed_once_and_outlives_a_batch(spark):
+    source, made = session.materialise(spark.range(5)), []
+
+    def doubled(rows):
+        made.append(1)
+        return rows.selectExpr("id * 2 AS id")
+
+    with session.passing_tables(spark):
+        first = session.derived(source, "doubled", doubled)
+    again = session.derived(source, "doubled", doubled)
+    assert made == [1] and first is again and sorted(r.id for r in again.collect()) == [0, 2, 4, 6, 8]
+    other = session.derived(session.materialise(spark.range(1)), "doubled", doubled)
+    assert made == [1, 1] and [r.id for r in other.collect()] == [0]
