@@ -4,42 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cropline.functions.joins import fits_broadcast
+from cropline.functions.joins import fits_broadcast, split_hot_keys
 from cropline.session import materialise
 
 REGEX_BLOCKS = 64
+# Characters of the pieces that words and names are joined by.
+GRAM = 3
 
 
 def _words(df: DataFrame, word: str) -> DataFrame:
     return df.select(word).filter(F.length(word) > 0).distinct()
 
 
-def pieces(names: DataFrame, name: str, words: DataFrame, word: str) -> DataFrame:
-    """``names`` with every different ``_piece`` of the name that is as long as some
-    word. Work grows with the text of the names."""
-    lengths = words.agg(F.collect_set(F.length(word)).alias("_lengths")).scalar()
-    last = F.length(name) - F.col("_length") + 1
-    cut = F.transform(
-        F.sequence(F.lit(1), last), lambda at: F.substring(F.col(name), at, F.col("_length"))
-    )
+def grams(texts: DataFrame, text: str, sizes: Column) -> DataFrame:
+    """``texts`` with every different ``_gram`` of the text that has one of ``sizes``: fewer
+    than the text has characters, for each size."""
+    last = F.length(text) - F.col("_size") + 1
+    cut = F.transform(F.sequence(F.lit(1), last), lambda at: F.substring(F.col(text), at, F.col("_size")))
     return (
-        names.withColumn("_lengths", lengths)
-        .withColumn("_length", F.explode("_lengths"))
+        texts.withColumn("_size", F.explode(sizes))
         .filter(last >= 1)
-        .withColumn("_piece", F.explode(F.array_distinct(cut)))
-        .drop("_lengths", "_length")
+        .withColumn("_gram", F.explode(F.array_distinct(cut)))
+        .drop("_size")
     )
 
 
-def containing(words: DataFrame, names: DataFrame, word: str, name: str) -> DataFrame:
-    """Pairs ``(word, name)`` where the name contains the non-empty word.
+def rarest_grams(words: DataFrame, cut: DataFrame, word: str, size: Column, small: bool) -> DataFrame:
+    """``(word, _gram)``: of the grams of a word that which the fewest names have, ties by the
+    gram. A word with a gram that no name has is in no name and is left out. ``cut`` are the
+    :func:`grams` of the names; ``small`` words are not checked for hot grams."""
+    own = grams(words, word, F.array(size))
+    counts = cut.groupBy(F.col("_gram").alias("_of")).agg(F.count(F.lit(1)).alias("_names"))
+    if small:
+        known = own.join(counts, F.col("_gram") == F.col("_of"), "left")
+    else:
+        known = split_hot_keys(own, counts, {"_gram": "_of"})
+    rarity = F.struct(F.coalesce("_names", F.lit(0).cast("bigint")).alias("names"), F.col("_gram").alias("gram"))
+    rarest = known.groupBy(word).agg(F.min(rarity).alias("_rarest")).filter(F.col("_rarest.names") > 0)
+    return rarest.select(word, F.col("_rarest.gram").alias("_key"))
+
+
+def _pairs(words: DataFrame, names: DataFrame, word: str, name: str, small: bool) -> DataFrame:
+    """``names`` with each of the distinct non-empty words that it contains.
 
-    The pieces of the names are joined to the words by equality; names and words
-    are never paired to be compared.
+    Names are cut into pieces of up to ``GRAM`` characters, so their number is bounded by the
+    length of the names, whatever words there are. Each word is joined by the rarest of its own
+    pieces, shorter words as a whole, and only the names that have that piece are searched for it.
     """
+    size = F.least(F.length(word), F.lit(GRAM))
+    sizes = words.agg(F.collect_set(size).alias("_sizes")).scalar()
+    keyed = rarest_grams(words, grams(names.select(name), name, sizes), word, size, small)
+    # Both sides are bare shuffles where they are not broadcast, so hot pieces are split at run time.
+    found = grams(names, name, sizes).join(F.broadcast(keyed) if small else keyed, F.col("_gram") == F.col("_key"))
+    return found.filter((F.col("_gram") == F.col(word)) | F.col(name).contains(F.col(word))).drop("_gram", "_key")
+
+
+def containing(words: DataFrame, names: DataFrame, word: str, name: str) -> DataFrame:
+    """Pairs ``(word, name)`` where the name contains the non-empty word."""
     wanted = _words(words, word)
     distinct = names.select(name).filter(F.col(name).isNotNull()).distinct()
-    return pieces(distinct, name, wanted, word).join(wanted, F.col("_piece") == F.col(word)).select(word, name)
+    return _pairs(wanted, distinct, word, name, fits_broadcast(wanted)).select(word, name)
 
 
 def first_containing(
@@ -48,15 +72,11 @@ def first_containing(
     """For each non-empty word of a materialised table, the lowest ``rank`` among the
     names that contain it. Words in no name are left out.
 
-    The ranks are reduced per piece before the shuffle, so that a word in most
-    names costs no more than any other.
+    The ranks of a word are reduced in each task before they are shuffled, so that a word in
+    most names costs no more than any other.
     """
-    wanted = _words(words, word)
-    found = pieces(names.select(name, rank), name, wanted, word)
-    if fits_broadcast(words):
-        found = found.join(F.broadcast(wanted), F.col("_piece") == F.col(word), "left_semi")
-    best = found.groupBy("_piece").agg(F.min(rank).alias(rank))
-    return best.join(wanted, F.col("_piece") == F.col(word)).select(word, rank)
+    found = _pairs(_words(words, word), names.select(name, rank), word, name, fits_broadcast(words))
+    return found.groupBy(word).agg(F.min(rank).alias(rank))
 
 
 # Patterns in which a text need not stand as it is written: alternatives, inline flags, quoting,

@@ -1,5 +1,7 @@
+import random
 import re
 from collections import Counter
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +80,42 @@ def test_first_containing_equals_brute_force(frame, monkeypatch, small):
     assert dict(map(tuple, found.collect())) == expected
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_random_words_in_random_names(frame, monkeypatch, small):
+    monkeypatch.setattr(matching, "fits_broadcast", lambda df: small)
+    monkeypatch.setattr(matching, "split_hot_keys", partial(joins.split_hot_keys, share=0.01, min_rows=3))
+    rng = random.Random(5)
+
+    def texts(n, longest):
+        return ["".join(rng.choices("abcé ", [5, 3, 1, 1, 1], k=rng.randrange(longest + 1))) for _ in range(n)]
+
+    words, names = texts(120, 7), texts(200, 30) + ["a" * 500, "ab" * 300]
+    want = {(w, n) for w in words for n in names if w and w in n}
+    pairs = containing(frame("w string", [(w,) for w in words]), frame("n string", [(n,) for n in names]), "w", "n")
+    assert Counter(map(tuple, pairs.collect())) == Counter(want)
+    ranked = [(n, i * 7919 % 1009) for i, n in enumerate(names)]
+    first = first_containing(frame("w string", [(w,) for w in set(words)]), frame("n string, r int", ranked), "w", "n", "r")
+    assert dict(map(tuple, first.collect())) == {w: min(r for n, r in ranked if w in n) for w, _ in want}
+
+
+def test_pieces_do_not_grow_with_the_words(frame):
+    names = frame("n string", [("".join(chr(97 + (i * i + j) % 26) for i in range(60)),) for j in range(5)])
+    assert matching.grams(names, "n", F.array(F.lit(1), F.lit(2), F.lit(3))).count() <= 3 * 60 * 5
+    words = frame("w string", [(("abcdefghij" * 6)[i : i + k],) for k in range(3, 50) for i in range(3)])
+    size = F.least(F.length("w"), F.lit(matching.GRAM))
+    keyed = matching.rarest_grams(words.distinct(), matching.grams(names, "n", F.array(F.lit(3))), "w", size, True)
+    assert all(len(r._key) == 3 and r._key in r.w for r in keyed.collect())
+
+
+def test_words_are_joined_by_their_rarest_piece(frame):
+    names = frame("n string", [("rice fine",), ("rice",), ("price",), ("wheat",)])
+    words = frame("w string", [("rice f",), ("price",), ("ricex",), ("oats",)])
+    cut = matching.grams(names, "n", F.array(F.lit(3)))
+    keyed = matching.rarest_grams(words, cut, "w", F.lit(3), True)
+    # "ce " and "e f" are in one name each; "cex" and "oat" are in none.
+    assert dict(map(tuple, keyed.collect())) == {"rice f": "ce ", "price": "pri"}
+
+
 PATTERNS = ["x(y)", "ring", "a|b", "^r", "r.d", "", "(lobia) cow", "dal+", "m(n)(o)p"]
 TARGETS = ["xy", "x(y)", "a", "red", "rid", "boring", "lobia cow", "dall", "mnop", "moong(green gram)"]
 
