@@ -36,7 +36,7 @@ from cropline.plans.artefacts import (
 from cropline.plans.incremental import refresh_artefacts as refreshed
 from cropline.plans.models import Models, load_models, save_models
 from cropline.plans.prediction import encode_price_inputs, predict as score_requests, published
-from cropline.plans.views import ALIASES, COLD_STATE, VIEWS, tables_of, version, view
+from cropline.plans.views import ALIASES, COLD_STATE, VIEWS, stored_view, tables_of, version, view
 from cropline.session import materialise, shared_folder
 from cropline.sources import files as IO
 from cropline.sources.versions import version_rows, versions
@@ -75,8 +75,8 @@ def _artefacts(spark, sf) -> Artefacts:
 
 @lru_cache(maxsize=4)
 def _built(spark, sf, changed) -> Artefacts:
-    agri = _agri(spark, sf)
-    return derive_artefacts(agri, fit_vocabulary(agri, view(spark, sf, "price_facts")))
+    agri = stored_view(spark, sf, "agri")
+    return derive_artefacts(agri, fit_vocabulary(agri, stored_view(spark, sf, "price_facts")))
 
 
 def _keys(spark, sf):
@@ -92,7 +92,7 @@ def _valid(spark, sf):
 
 def _predictions(spark, sf):
     """Predictions from history and given prices."""
-    return score_requests(view(spark, sf, "full_requests"), _artefacts(spark, sf), AS_OF)
+    return score_requests(stored_view(spark, sf, "full_requests"), _artefacts(spark, sf), AS_OF)
 
 
 def _published(spark, sf):
