@@ -771,7 +771,7 @@ def publish_agri(spark, sf):
 @query
 def publish_states(spark, sf):
     """The facts by state, with one state written again, read back whole."""
-    agri, path = _agri(spark, sf), _trip(spark)
+    agri, path = stored_view(spark, sf, "agri"), _trip(spark)
     IO.publish_states(agri, path)
     IO.publish_states(agri.filter(F.col("State") == "AFRICA"), path)
     return rounded(IO.read_states(spark, path))
@@ -780,7 +780,7 @@ def publish_states(spark, sf):
 @query
 def state_versions(spark, sf):
     """Both versions of the facts, the second with half of one state, read after it was committed."""
-    agri, path = _agri(spark, sf), _trip(spark)
+    agri, path = stored_view(spark, sf, "agri"), _trip(spark)
     IO.publish_states(agri, path)
     half = IO.read_states(spark, path).filter((F.col("State") == "AFRICA") & (F.col("Year") % 2 == 0))
     IO.publish_states(half, path)
@@ -790,7 +790,7 @@ def state_versions(spark, sf):
 
 @query
 def publish_prices(spark, sf):
-    return rounded(IO.read_published_prices(spark, IO.publish_prices(view(spark, sf, "prices"), _trip(spark))))
+    return rounded(IO.read_published_prices(spark, IO.publish_prices(stored_view(spark, sf, "prices"), _trip(spark))))
 
 
 @query
