@@ -884,10 +884,10 @@ def refresh_shape(spark, sf):
 @query
 def refresh_artefacts(spark, sf):
     """Defaults and trends after one state of the facts was replaced, from that state's rows alone."""
-    path, root = IO.publish_states(_agri(spark, sf), _trip(spark)), _trip(spark)
+    path, root = IO.publish_states(stored_view(spark, sf, "agri"), _trip(spark)), _trip(spark)
     refreshed(spark, path, root)
     refresh_partition(
-        path, view(spark, sf, "production"), view(spark, sf, "prices"), view(spark, sf, "rainfall"),
+        path, stored_view(spark, sf, "production"), stored_view(spark, sf, "prices"), view(spark, sf, "rainfall"),
         COLD_STATE, COLD_STATE, ALIASES,
     )
     found = refreshed(spark, path, root)
