@@ -861,9 +861,9 @@ def append_auth_events(spark, sf):
 @query
 def refresh_state(spark, sf):
     """One state of the published facts replaced, the others left."""
-    path = IO.publish_states(_agri(spark, sf), _trip(spark))
+    path = IO.publish_states(stored_view(spark, sf, "agri"), _trip(spark))
     refresh_partition(
-        path, view(spark, sf, "production"), view(spark, sf, "prices"), view(spark, sf, "rainfall"),
+        path, stored_view(spark, sf, "production"), stored_view(spark, sf, "prices"), view(spark, sf, "rainfall"),
         COLD_STATE, COLD_STATE, ALIASES,
     )
     return rounded(IO.read_states(spark, path).drop(IO.STATE_KEY))
@@ -981,7 +981,7 @@ def build_artefacts(spark, sf):
 @query
 def align_state(spark, sf):
     df = L.align_state(
-        view(spark, sf, "production"), view(spark, sf, "prices"), view(spark, sf, "rainfall"),
+        stored_view(spark, sf, "production"), stored_view(spark, sf, "prices"), view(spark, sf, "rainfall"),
         COLD_STATE, COLD_STATE, ALIASES,
     )
     return rounded(df)
