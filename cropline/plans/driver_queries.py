@@ -299,7 +299,7 @@ def rain_means(spark, sf):
 
 @query
 def region_lookup(spark, sf):
-    meta = materialise(A.metadata(_agri(spark, sf), _artefacts(spark, sf).production_vocab))
+    meta = materialise(A.metadata(stored_view(spark, sf, "agri"), _artefacts(spark, sf).production_vocab))
     states = J.regions(meta).select(F.lit("states").alias("selector"), "value")
     districts = J.regions(meta, COLD_STATE).select(F.lit("districts").alias("selector"), "value")
     crops = J.regions(meta, "AFRICA", "NATION_5").select(F.lit("crops").alias("selector"), "value")
@@ -641,7 +641,7 @@ WHEN min_price_scaled < 0 THEN 100 * max_price_scaled ELSE 900.5 + variety_code
 
 @query
 def score_yield_fixed(spark, sf):
-    rows = M.yield_training_rows(_agri(spark, sf), _artefacts(spark, sf).production_vocab)
+    rows = M.yield_training_rows(stored_view(spark, sf, "agri"), _artefacts(spark, sf).production_vocab)
     scored = M.score_yield(rows, _fixed_tree(YIELD_TREE))
     return rounded(scored.select("state", "District", "crop", "season", "Year", "area", "Production", "predicted_yield"))
 
@@ -651,13 +651,13 @@ _PRICED = ["state", "market", "commodity", "Year", "Month", "Modal_Price", "pred
 
 @query
 def score_price_fixed(spark, sf):
-    rows = M.price_training_rows(view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab)
+    rows = M.price_training_rows(stored_view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab)
     return rounded(M.score_price(rows, _fixed_tree(PRICE_TREE)).select(*_PRICED))
 
 
 @query
 def score_direct_fixed(spark, sf):
-    rows = M.price_training_rows(view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab)
+    rows = M.price_training_rows(stored_view(spark, sf, "price_facts"), _artefacts(spark, sf).price_vocab)
     chosen = rows.withColumnsRenamed({"Min_Price": "min_price", "Max_Price": "max_price"})
     return rounded(M.score_price(chosen, _fixed_tree(PRICE_TREE), scaled=False).select(*_PRICED))
 
@@ -674,7 +674,7 @@ def score_yield_saved(spark, sf):
     """As ``score_yield_fixed``, by a stored model."""
     vocab = _artefacts(spark, sf).vocab
     model = _stored(spark, Models(_fixed_tree(YIELD_TREE), _fixed_tree(PRICE_TREE)), vocab).yields
-    scored = M.score_yield(M.yield_training_rows(_agri(spark, sf), vocab.filter("model = 'production'")), model)
+    scored = M.score_yield(M.yield_training_rows(stored_view(spark, sf, "agri"), vocab.filter("model = 'production'")), model)
     return rounded(scored.select("state", "District", "crop", "season", "Year", "area", "Production", "predicted_yield"))
 
 
@@ -969,8 +969,8 @@ def valuation_report_technical(spark, sf):
 @query
 def build_artefacts(spark, sf):
     """Builds and stores all lookup tables, without the tables of the session."""
-    agri, root = _agri(spark, sf), f"{shared_folder(spark)}/artefacts-{uuid.uuid4().hex}"
-    built = store_artefacts(agri, root, "1", fit_vocabulary(agri, view(spark, sf, "price_facts")))
+    agri, root = stored_view(spark, sf, "agri"), f"{shared_folder(spark)}/artefacts-{uuid.uuid4().hex}"
+    built = store_artefacts(agri, root, "1", fit_vocabulary(agri, stored_view(spark, sf, "price_facts")))
     sizes = [
         getattr(built, name).agg(F.lit(name).alias("artefact"), F.count(F.lit(1)).alias("rows"))
         for name in ARTEFACT_TABLES
