@@ -10,6 +10,7 @@ from cropline.functions import joins
 from cropline.functions import matching
 from cropline.functions.matching import containing, first_containing, matching_regex
 from cropline.functions.ranking import exact_quantiles, ordinals
+from cropline.session import materialise
 
 
 @pytest.fixture(scope="module")
@@ -57,6 +58,28 @@ def test_repeated_right_rows_survive_the_split(frame):
     assert joins.split_hot_keys(left, right, {"k": "key"}, "inner", 0.1, 2).count() == 100
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_stored_counts_do_not_change_the_join(frame, how):
+    left = frame("id long, k string, j int", [(i, [None, "hot", f"k{i}"][i % 3], i % 2) for i in range(200)])
+    right = frame("key string, jj int, v long", [("hot", 0, 1), ("hot", 0, 2), ("k2", 0, 3), ("k2", 1, 4), (None, 1, 5)])
+    on = {"k": "key", "j": "jj"}
+    plain = left.join(right, (F.col("k") == F.col("key")) & (F.col("j") == F.col("jj")), how).drop("key", "jj")
+    split = joins.split_hot_keys(left, right, on, how, share=0.05, min_rows=10, chained=True)
+    assert split.columns == plain.columns and bag(split) == bag(plain)
+    spread, _ = joins.spread_hot_keys(left, right, on, share=0.05, min_rows=10, chained=True)
+    parts = {tuple(r)[:2]: r.n for r in spread.groupBy("k", "j").agg(F.countDistinct("_part").alias("n")).collect()}
+    assert parts[None, 0] > 1 and parts["hot", 1] > 1 and parts["k2", 0] == 1
+
+
+def test_plan_of_chained_joins_holds_each_table_once(spark):
+    df = materialise(spark.range(20).select(F.col("id").alias("req"), (F.col("id") % 3).alias("k")))
+    for i in range(4):
+        right = spark.range(3).select(F.col("id").alias("key"), F.col("id").alias(f"v{i}"))
+        df = joins.split_hot_keys(df, right, {"k": "key"}, chained=True)
+    assert df._jdf.queryExecution().analyzed().toString().count("Relation [req#") == 1
+    assert df.filter("v0 = k AND v1 = k AND v2 = k AND v3 = k").count() == 20
+
+
 WORDS = ["ring", "a", "rod", "", "bolt", "ringring", "n r", None]
 NAMES = ["small ring", "red ring rod", "anvil", "ring", "ringringring", None]
 

@@ -4,8 +4,10 @@ import pytest
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import functions as F
 
+from cropline.functions import joins
 from cropline.functions.matching import matching_regex, required_literal
 from cropline.operators import aggregates as A, matching as J
+from cropline.session import materialise
 
 VOCAB = "model string, feature string, ordinal int, value string"
 
@@ -33,6 +35,30 @@ def test_category_ignores_case_and_blanks(frame, vocab):
     assert one(df, "season_code") == {1: 1, 2: 2, 3: 0, 4: 0}
 
 
+@pytest.mark.parametrize("shuffled", [{"market"}, {"season", "market", "variety", "grade", "commodity"}])
+def test_large_features_are_shuffled_one_by_one(frame, vocab, monkeypatch, shuffled):
+    features = ["season", "market", "variety", "grade"]
+    rows = [(1, "kharif", "SILCHAR", "local", "FAQ", "rice", "x"), (2, "x", None, "Basmati ", "medium", "x", "wheat"), (3, "rabi", "cachar", "x", "", None, None)]
+    df = frame("req long, season string, market string, variety string, grade string, commodity string, crop string", rows)
+
+    def coded(df, vocab):
+        found = J.encode(df, vocab, {f: f for f in features})
+        return J.match_either(found, vocab, "commodity", "crop", "commodity", "commodity")
+
+    want = coded(df, vocab)
+    small, known = joins.fits_broadcast, materialise(vocab)
+    large = [J._by_folded_name(known, f) for f in shuffled]
+    for module in (joins, J):
+        monkeypatch.setattr(module, "fits_broadcast", lambda df, *size: df is not known and all(df is not x for x in large) and small(df, *size))
+    found = coded(materialise(df), known)
+    plan = found._jdf.queryExecution()
+    assert plan.analyzed().toString().count("Relation [req#") == 1
+    assert plan.analyzed().toString().count("_rpart") > 0
+    if shuffled == {"market"}:
+        assert plan.optimizedPlan().toString().count("strategy=broadcast") > len(features)
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_either_follows_the_vocabulary_order(frame, vocab):
     rows = [(1, "wheat", "Rice"), (2, "rice", "x"), (3, "x", " WHEAT "), (4, "x", "y")]
     df = J.match_either(frame("req_id long, a string, b string", rows), vocab, "a", "b", "commodity", "c")
