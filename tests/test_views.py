@@ -76,6 +76,15 @@ def test_rows_are_encoded_once_to_fit_and_score(spark, monkeypatch):
     assert sorted(encoded) == ["price_training_rows", "yield_training_rows"]
 
 
+def test_fit_models_grows_all_trees(spark, monkeypatch):
+    fitted = []
+    for kind in ("fit_yield", "fit_price"):
+        fit = getattr(M, kind)
+        monkeypatch.setattr(M, kind, lambda *a, fit=fit, **b: fitted.append(fit(*a, **b)) or fitted[-1])
+    Q.fit_models(spark, FOLDER)
+    assert [len(m.trees) for m in fitted] == [20, 20] and max(t.depth for m in fitted for t in m.trees) == 5
+
+
 def test_fit_on_stored_rows_is_that_on_the_facts(spark):
     facts, vocab = V.view(spark, FOLDER, "price_facts"), Q._artefacts(spark, FOLDER).price_vocab
     rows = Q._price_rows(spark, FOLDER, "market")
